@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup
+from sparktap.llm import chat_format, exact_dedup, near_dedup
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE = {
