@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, near_dedup
+from sparktap.llm import chat_format, exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op7_packing": packing.op7_packing,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE = {
