@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktap.llm.arrays import running
+
 #: How roles are shown; another role is shown as role= and its hex form.
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
 KINDS = ("image", "audio", "document")
@@ -75,8 +77,7 @@ def format_chats(turns: DataFrame, conv="conv_id", turn="turn", role="role", par
     whole = visible.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # The number of attachments before each turn, as running sums over the ordered turns.
     count = lambda t: F.size(F.filter(t["parts"], lambda p: ~_is_text(p)))
-    running = _running(F.transform("turns", count))
-    whole = whole.withColumn("before", running)
+    whole = whole.withColumn("before", running(F.transform("turns", count)))
 
     def content(t: Column, first: Column) -> Column:
         rank = lambda i: F.size(F.filter(F.slice(t["parts"], 1, i + 1), lambda p: ~_is_text(p)))
@@ -85,7 +86,7 @@ def format_chats(turns: DataFrame, conv="conv_id", turn="turn", role="role", par
 
     whole = whole.withColumn("seen", F.zip_with("turns", "before", lambda t, b: F.struct(t["role"].alias("role"), F.concat(F.lit("### "), show_role(t["role"]), F.lit(": ")).alias("head"), content(t, b).alias("content"))))
     lengths = F.transform("seen", lambda s: F.char_length(s["head"]) + F.char_length(s["content"]) + F.lit(len(END) + 1))
-    whole = whole.withColumn("starts", _running(lengths))
+    whole = whole.withColumn("starts", running(lengths))
     spans = F.zip_with("seen", "starts", lambda s, b: F.struct((s["role"] == "assistant").alias("on"), (b + F.char_length(s["head"])).cast("long").alias("start"), F.char_length(s["content"]).cast("long").alias("length")))
     per = lambda p: F.coalesce(p["units"], F.lit(1)) * _by_kind(_kind(p))
     attached = F.flatten(F.transform("turns", lambda t: F.transform(F.filter(t["parts"], lambda p: ~_is_text(p)), lambda p: F.struct(_kind(p).alias("type"), p["ref"].alias("ref"), per(p).alias("tokens")))))
@@ -103,19 +104,6 @@ def _by_kind(kind: Column) -> Column:
     return F.create_map(*[x for k, v in TOKENS_PER_UNIT.items() for x in (F.lit(k), F.lit(v).cast("long"))])[kind]
 
 
-def _running(counts: Column) -> Column:
-    """Sums of what stands before each entry of an array of numbers, in blocks so that the work stays near linear."""
-    step = 64
-    zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y.cast("long"))
-    n = F.size(counts)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int")), lambda k: F.slice(counts, k * step + 1, step))
-    sums = F.transform(blocks, total)
-    bases = F.transform(sums, lambda _, k: total(F.slice(sums, 1, k)))
-    inner = F.zip_with(blocks, bases, lambda b, base: F.transform(b, lambda _, i: base + total(F.slice(b, 1, i))))
-    return F.flatten(inner)
-
-
 def read_back(formatted: Column) -> Column:
     """The turns (role, content) of a formatted conversation, contents unescaped, placeholders as they stand."""
     pieces = F.split(formatted, END + "\n", -1)
