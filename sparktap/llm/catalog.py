@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, near_dedup, packing, secret_scan
+from sparktap.llm import chat_format, exact_dedup, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,

@@ -60,13 +60,18 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def word_spans(codes: np.ndarray, breaks: np.ndarray = BREAKS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that aren't breaks."""
+    solid = np.zeros(len(codes) + 2, np.int8)
+    solid[1:-1] = ~breaks[codes]
+    turns = np.diff(solid)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
 def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and where each starts."""
     codes = np.frombuffer(text, np.uint8)
-    solid = np.zeros(len(codes) + 2, np.int8)
-    solid[1:-1] = ~BREAKS[codes]
-    turns = np.diff(solid)
-    starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    starts, ends = word_spans(codes)
     return span_hashes(prefix(codes), starts, ends), starts
 
 
