@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = np.argsort(np.concatenate([x_rows, np.repeat(np.arange(len(y)), N_PATTERNS)]), kind="stable")
     x.columns = np.concatenate([x_cols, np.tile(len(kept) + np.arange(N_PATTERNS), len(y))])[order]
     x.values = np.concatenate([x_vals, patterns.reshape(-1)])[order].astype(float)
-    w, b = linear.fit(x, post, weight, penalty=0.3)
+    w, b = linear.fit(x, post, weight, penalty=0.02)
     return {"columns": kept, "weights": w[: len(kept)].astype(np.float32), "patterns": w[len(kept) :], "bias": b, "voters": len(lexicon), "label_model": stats}
 
 
