@@ -6,9 +6,9 @@ BANDS follow from the threshold, so that a pair at the threshold is missed with
 
 Documents with equal shingle sets are one vertex, so copies are never paired. Within a bucket a leader is compared with
 each member; linked members are joined, and only members of different components are compared further. First more
-leaders are tried while that settles much, then all pairs of members that are still apart, whatever their number: no
-link between members of a bucket is lost, and a group of near copies isn't expanded into its pairs. Every link is
-confirmed on the full sets.
+leaders are tried while that settles much, then all pairs of members that are still apart, whatever their number, whose
+sketches (a bit of each signature value) allow the threshold; at the threshold they rule out a pair in a million. So a
+group of near copies isn't expanded into its pairs. Every link is confirmed on the full sets.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component. A row whose id is
 null has a null component and is kept. Rows that repeat an id are one vertex, with the links of each of its texts.
@@ -28,9 +28,12 @@ from sparktap.llm import spans
 from sparktap.llm.components import components
 from sparktap.session import materialise, ship
 
-ROWS = 6
+ROWS = 8
 MISS = 1e-6
 WIDTH = 5
+#: Standard deviations by which a pair's sketch may stray from the threshold before the pair is left out; a pair at the
+#: threshold strays further with probability 1e-6.
+STRAY = 4.9
 #: Ids up to this number may be broadcast (8 bytes each); above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -39,8 +42,18 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
-    """Band hashes (texts x bands) of texts with at least one run."""
+def sketch_values(n_bands: int, rows: int = ROWS) -> int:
+    return 2 * ((n_bands * rows + 1) // 2)
+
+
+def most_unlike(similarity: float, n: int) -> int:
+    """Bits in which sketches of n bits may differ: each does with chance (1 - similarity) / 2."""
+    p = (1 - similarity) / 2
+    return math.ceil(n * p + STRAY * math.sqrt(n * p * (1 - p)))
+
+
+def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (texts x bands) of texts with at least one run, and sketches (texts x words): a bit of each value."""
     perms = (n_bands * rows + 1) // 2
     masks, factors = spans.seeds(perms, 1), spans.seeds(perms, 2) | spans.U(1)
     starts = bounds[:-1]
@@ -55,7 +68,10 @@ def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = R
         for i in range(rows):
             acc = spans.mix(acc * spans.U(spans.BASE) + values[b * rows + i])
         out[:, b] = acc
-    return out
+    bits = np.zeros((-(-len(values) // 64) * 64, len(starts)), np.uint8)
+    for k in range(len(values)):
+        bits[k] = spans.mix(values[k]) & spans.U(1)
+    return out, np.packbits(bits, axis=0).T.copy().view(spans.U)
 
 
 def _runs(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -70,6 +86,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _sign(n_bands: int, width: int):
+    width_s = -(-sketch_values(n_bands) // 64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, runs, bounds in _runs(batch, width):
@@ -78,13 +96,13 @@ def _sign(n_bands: int, width: int):
                 own = np.concatenate([bounds[:-1][full], bounds[-1:]])
                 sums = np.zeros((2, len(sizes)), spans.U)
                 bands = np.zeros((0, n_bands), spans.U)
+                sketches = np.zeros((0, width_s), spans.U)
                 if len(full):
-                    bands = signatures(runs, own, n_bands)
+                    bands, sketches = signatures(runs, own, n_bands)
                     for k in range(2):
                         sums[k, full] = np.add.reduceat(spans.mix(runs + spans.U(3 + k)), own[:-1])
-                lens = np.zeros(len(sizes), np.int64)
-                lens[full] = n_bands
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bands.reshape(-1), np.concatenate([[0], np.cumsum(lens)]))], names=["id", "n", "h1", "h2", "bands"])
+                upto = np.concatenate([[0], np.cumsum(sizes > 0)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bands.reshape(-1), upto * n_bands), _lists(sketches.reshape(-1), upto * width_s)], names=["id", "n", "h1", "h2", "bands", "sketch"])
 
     return run
 
@@ -114,8 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bands = bands_for(num / den)
     id_type = docs.schema[id_col].dataType.simpleString()
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(bare.mapInArrow(_sign(n_bands, width), f"id {id_type}, n long, h1 long, h2 long, bands array<long>"), "signed")
-    classes = materialise(signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    signed = materialise(bare.mapInArrow(_sign(n_bands, width), f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"), "signed")
+    classes = materialise(signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
     stats = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", F.col("low").alias("lead"))
@@ -127,6 +145,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(lead(shared), "pairs")
     edges = materialise(_confirm(pairs, sets, num, den), "edges")
     tested = pairs
+    n_bits = sketch_values(n_bands)
+    words = range(-(-n_bits // 64))
+    sketches = classes.select(F.col("rep").alias("of"), *[F.col("sketch")[i].alias(f"w{i}") for i in words])
+    unlike = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in words), F.lit(0))
     before = None
     while True:
         labels = components(edges)
@@ -141,9 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         minor = open_.where("comp <> most")
         last = size["cross"] <= 4 * size["rows"] or (before is not None and size["cross"] > 0.7 * before)
         if last:
-            x = minor.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            y = open_.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            new = x.join(y, "key").where((F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            side = lambda d, s: d.select("key", F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words])
+            drawn = materialise(open_.join(sketches, F.col("rep") == F.col("of")), "drawn")
+            near = (F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny")) & (unlike <= most_unlike(num / den, n_bits))
+            new = side(drawn.where("comp <> most"), "x").join(side(drawn, "y"), "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:
             new = minor.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).where("a <> b")
         new = materialise(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
