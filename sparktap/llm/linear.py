@@ -12,11 +12,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of (column, value), stored end to end."""
+    """Entries (row, column, value)."""
 
-    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
-        self.rows = np.repeat(np.arange(len(sizes)), sizes)
-        self.columns, self.values, self.shape = columns, values, (len(sizes), width)
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])

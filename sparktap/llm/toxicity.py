@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from sparktap.llm import linear, spans
 from sparktap.session import ship
 
-MOST_PER_CLASS = 5000
-MOST_ROWS = 10000
+MOST_PER_CLASS = 4000
+MOST_ROWS = 8000
 MOST_VOTERS = 80
 BITS = 20
+#: Columns whose shares in the two classes differ by less, in standard errors, are left out of the classifier.
+LEAST_Z = 1.5
 #: Bytes of a word that its beginnings have.
 BEGINNINGS = (4, 6, 8)
 N_PATTERNS = 6
@@ -101,6 +103,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["label", "columns", "vals", "patterns"])
 
 
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a binary column, end to end, and how many each row has."""
+    parts = [(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1], c.buffers()[2]) for c in column.chunks if len(c)]
+    flat = [np.frombuffer(data, kind, (o[-1] - o[0]) // 4, o[0]) if data is not None else np.zeros(0, kind) for o, data in parts]
+    return np.concatenate(flat), np.concatenate([np.diff(o) // 4 for o, _ in parts])
+
+
 def label_model(fires: np.ndarray, given: np.ndarray, share: float, steps: int = 25) -> tuple[np.ndarray, dict]:
     """Posterior chances of toxic. fires: texts x voters (0 or 1); given: the labels; share: of toxic texts at the start."""
     votes = np.column_stack([fires, given]).astype(float)
@@ -137,23 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array(table.column("label").to_pylist())
     if len(set(y.tolist())) < 2:
         return None
-    columns = [np.frombuffer(x, "<i4") for x in table.column("columns").to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in table.column("vals").to_pylist()]
+    flat, sizes = _flat(table.column("columns"), "<i4")
+    values, _ = _flat(table.column("vals"), "<f4")
     patterns = np.array([np.frombuffer(x) for x in table.column("patterns").to_pylist()])
-    flat = np.concatenate(columns)
+    del table
     used = np.bincount(flat, minlength=1 << BITS)
-    kept = np.flatnonzero(used >= 3)
-    place = np.full(1 << BITS, -1)
+    toxic = np.bincount(flat, np.repeat(y, sizes), minlength=1 << BITS)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    p1, p0, p = toxic / n1, (used - toxic) / n0, used / (n1 + n0)
+    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+    kept = np.flatnonzero((used >= 3) & (np.abs(z) >= LEAST_Z))
+    z = z[kept]
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    x_rows = np.repeat(np.arange(len(y)), list(map(len, columns)))
-    good = place[flat] >= 0
-    x_rows, x_cols, x_vals = x_rows[good], place[flat][good], np.concatenate(values)[good]
+    at = place[flat]
+    good = at >= 0
+    x_rows, x_cols, x_vals = np.repeat(np.arange(len(y)), sizes)[good], at[good].astype(np.int64), values[good].astype(float)
+    del flat, values, at, good
     # Lexicon voters: columns that fire far more often in toxic than in clean texts, given their numbers.
-    n1, n0 = y.sum(), (1 - y).sum()
-    hit1 = np.bincount(x_cols, y[x_rows], len(kept))
-    hit0 = np.bincount(x_cols, 1 - y[x_rows], len(kept))
-    p1, p0, p = hit1 / n1, hit0 / n0, (hit1 + hit0) / (n1 + n0)
-    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
     lexicon = np.argsort(-z, kind="stable")[:MOST_VOTERS]
     lexicon = lexicon[z[lexicon] > 3]
     voter = np.full(len(kept), -1)
@@ -167,10 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     post, stats = label_model(np.column_stack([fires, marks, quiet]), y, float(n1 / (n0 + n1)))
     # All texts count as often as their class occurs among the learning rows.
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0)
-    x = linear.Sparse(np.bincount(x_rows, minlength=len(y)) + N_PATTERNS, np.zeros(0, int), np.zeros(0), len(kept) + N_PATTERNS)
-    order = np.argsort(np.concatenate([x_rows, np.repeat(np.arange(len(y)), N_PATTERNS)]), kind="stable")
-    x.columns = np.concatenate([x_cols, np.tile(len(kept) + np.arange(N_PATTERNS), len(y))])[order]
-    x.values = np.concatenate([x_vals, patterns.reshape(-1)])[order].astype(float)
+    x_rows = np.concatenate([x_rows, np.repeat(np.arange(len(y)), N_PATTERNS)])
+    x_cols = np.concatenate([x_cols, np.tile(len(kept) + np.arange(N_PATTERNS), len(y))])
+    x = linear.Sparse(x_rows, x_cols, np.concatenate([x_vals, patterns.reshape(-1)]), (len(y), len(kept) + N_PATTERNS))
     w, b = linear.fit(x, post, weight, penalty=0.02)
     return {"columns": kept, "weights": w[: len(kept)].astype(np.float32), "patterns": w[len(kept) :], "bias": b, "voters": len(lexicon), "label_model": stats}
 
