@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, language_id, near_dedup, packing, secret_scan, toxicity
+from sparktap.llm import chat_format, exact_dedup, language_id, near_dedup, packing, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
+    "op6_sentencepiece": piece_bpe.op6_sentencepiece,
     "op5_language_id": language_id.op5_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scan": secret_scan.op3_secret_scan,
