@@ -34,6 +34,8 @@ WIDTH = 5
 #: Standard deviations by which a pair's sketch may stray from the threshold before the pair is left out; a pair at the
 #: threshold strays further with probability 1e-6.
 STRAY = 4.9
+#: Bits of a sketch, one of each signature value; the bands take the first of these values.
+SKETCH = 1024
 #: Ids up to this number may be broadcast (8 bytes each); above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -42,10 +44,6 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def sketch_values(n_bands: int, rows: int = ROWS) -> int:
-    return 2 * ((n_bands * rows + 1) // 2)
-
-
 def most_unlike(similarity: float, n: int) -> int:
     """Bits in which sketches of n bits may differ: each does with chance (1 - similarity) / 2."""
     p = (1 - similarity) / 2
@@ -54,7 +52,7 @@ def most_unlike(similarity: float, n: int) -> int:
 
 def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (texts x bands) of texts with at least one run, and sketches (texts x words): a bit of each value."""
-    perms = (n_bands * rows + 1) // 2
+    perms = max(SKETCH // 2, (n_bands * rows + 1) // 2)
     masks, factors = spans.seeds(perms, 1), spans.seeds(perms, 2) | spans.U(1)
     starts = bounds[:-1]
     values = np.empty((2 * perms, len(starts)), spans.U)
@@ -68,8 +66,8 @@ def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = R
         for i in range(rows):
             acc = spans.mix(acc * spans.U(spans.BASE) + values[b * rows + i])
         out[:, b] = acc
-    bits = np.zeros((-(-len(values) // 64) * 64, len(starts)), np.uint8)
-    for k in range(len(values)):
+    bits = np.empty((SKETCH, len(starts)), np.uint8)
+    for k in range(SKETCH):
         bits[k] = spans.mix(values[k]) & spans.U(1)
     return out, np.packbits(bits, axis=0).T.copy().view(spans.U)
 
@@ -86,7 +84,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _sign(n_bands: int, width: int):
-    width_s = -(-sketch_values(n_bands) // 64)
+    width_s = SKETCH // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(lead(shared), "pairs")
     edges = materialise(_confirm(pairs, sets, num, den), "edges")
     tested = pairs
-    n_bits = sketch_values(n_bands)
-    words = range(-(-n_bits // 64))
-    sketches = classes.select(F.col("rep").alias("of"), *[F.col("sketch")[i].alias(f"w{i}") for i in words])
+    words = range(SKETCH // 64)
+    sketches = classes.select(F.col("rep").alias("of"), "bands", *[F.col("sketch")[i].alias(f"w{i}") for i in words])
     unlike = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in words), F.lit(0))
     before = None
     while True:
@@ -163,9 +160,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         minor = open_.where("comp <> most")
         last = size["cross"] <= 4 * size["rows"] or (before is not None and size["cross"] > 0.7 * before)
         if last:
-            side = lambda d, s: d.select("key", F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words])
+            side = lambda d, s: d.select("key", F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), F.col("bands").alias("b" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words])
             drawn = materialise(open_.join(sketches, F.col("rep") == F.col("of")), "drawn")
-            near = (F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny")) & (unlike <= most_unlike(num / den, n_bits))
+            near = (F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny")) & (unlike <= most_unlike(num / den, SKETCH))
+            near = near & (F.array_min(F.array_intersect("bx", "by")) == F.col("key"))  # a pair counts in its first common bucket only
             new = side(drawn.where("comp <> most"), "x").join(side(drawn, "y"), "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:
             new = minor.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).where("a <> b")
