@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktap.llm.keep import without
 from sparktap.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,9 +79,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Ids are unique here; a repeated id stays once for each row."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    """The documents that stay, with all their columns. Rows that repeat an id go only together."""
+    marked = exact_dedup(docs, id_col, text_col)
+    return without(docs, marked.groupBy(id_col).agg(F.max("kept").alias("kept")).where("NOT kept").select(id_col), id_col)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

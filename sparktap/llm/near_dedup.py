@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sparktap.llm import spans
 from sparktap.llm.components import components
+from sparktap.llm.keep import BROADCAST_IDS, without
 from sparktap.session import materialise, ship
 
 ROWS = 8
@@ -36,8 +37,6 @@ WIDTH = 5
 STRAY = 4.9
 #: Bits of a sketch, one of each signature value; the bands take the first of these values.
 SKETCH = 1024
-#: Ids up to this number may be broadcast (8 bytes each); above it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -182,8 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group stays, the one with the least id."""
-    stay = near_duplicates(docs, id_col, text_col, num, den).where("kept").select(F.col(id_col).alias("__stay"))
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    return without(docs, near_duplicates(docs, id_col, text_col, num, den).where("NOT kept").select(id_col), id_col)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
