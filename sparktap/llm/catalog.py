@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, piece_bpe, secret_scan, toxicity
+from sparktap.llm import chat_format, exact_dedup, html_extract, language_id, media_match, near_dedup, packing, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
+    "op1_media_match": media_match.op1_media_match,
     "op8_html_extract": html_extract.op8_html_extract,
     "op6_sentencepiece": piece_bpe.op6_sentencepiece,
     "op5_language_id": language_id.op5_language_id,
