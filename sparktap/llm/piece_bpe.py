@@ -30,9 +30,9 @@ LITERAL, BREAK = 0x110000, 0x110001
 VARIANTS = 8
 DROPOUT = 0.1
 SEED = 17
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Units kept for each worker; beyond it the memory starts anew, which changes no result.
-KEEP = 2_000_000
+KEEP = 1_000_000
 #: Symbols of a unit from which the heap is used.
 LONG = 256
 
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, dropout, seed)
-        for batch in batches:
+        for batch in spans.slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = c.encode([x or "" for x in texts], list(map(str, batch.column(0).to_pylist())))
             packed = pa.array([None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids)], pa.binary())
@@ -307,7 +307,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, 0.0, 0)
-        for batch in batches:
+        for batch in spans.slices(batches):
             packed = batch.column(at).to_pylist()
             texts = c.decode([np.frombuffer(x or b"", "<u4") for x in packed])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if p is None else t for p, t in zip(packed, texts)], pa.string())], names=[*batch.schema.names, text_col])

@@ -87,6 +87,13 @@ def pieces(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
     yield text[at:]
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """The same rows in smaller record batches, so that what comes out of them is small too."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def blocks(sizes: list[int], size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of entries of about the given size; a larger entry has a range of its own."""
     low = total = 0
