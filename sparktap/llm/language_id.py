@@ -37,7 +37,7 @@ PLAIN = np.array([b if chr(b).isascii() and chr(b).isalpha() or b >= 0x80 else 3
 def vectors(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
     """For ranges of texts: low, high, and rows of root n-gram shares."""
     raw = [b" " + x.lower().encode() + b" " for x in texts]
-    for low, high in spans.blocks([len(x) for x in raw], spans.BLOCK // 2):
+    for low, high in spans.blocks([len(x) for x in raw], spans.BLOCK):
         for first in range(low, high, 256):
             last = min(high, first + 256)
             codes = PLAIN[np.frombuffer(b"".join(raw[first:last]), np.uint8)].astype(np.uint32)
@@ -71,7 +71,7 @@ def codebook(n: int) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in spans.slices(batches):
         texts = [x or "" for x in batch.column(1).to_pylist()]
         cut = [x[(h := window_start(x)) : h + WINDOW] for x in texts]
         for part in (texts, cut):
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spans.slices(batches):
             names, score, unclear = predict(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unclear)], names=["id", "lang_pred", "score", "ambiguous"])
 

@@ -16,7 +16,7 @@ BREAKS = np.zeros(256, bool)
 BREAKS[[32, 9, 10, 11, 12, 13]] = True
 _BREAK = re.compile(rb"[\x20\x09-\x0d]")
 #: About how many bytes are worked on at once; a single longer word is never cut.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _powers = np.ones(1, U)
 _inverses = np.ones(1, U)
