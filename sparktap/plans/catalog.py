@@ -1,12 +1,292 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, with the SQL that they are held against.
+
+Names begin with the ids of the operators that they cover.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparktap.functions import scalars as S
+from sparktap.operators import connections as C
+from sparktap.operators import filters, metrics, processes, sse, topic
+from sparktap.sources.fixtures import duck, view
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+PORTS = [80, 443, 8080]
+NUMBERED = """, numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN direction = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY conn_id ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS incarnation FROM {0}
+), records AS (
+  SELECT conn_id, incarnation, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns, max(CASE WHEN direction = 3 THEN timestamp_ns END) AS closed_ns,
+    count(*) FILTER (direction = 1) AS packets_sent, count(*) FILTER (direction = 2) AS packets_recv,
+    sum(CASE WHEN direction = 1 THEN original_len ELSE 0 END)::BIGINT AS bytes_sent, sum(CASE WHEN direction = 2 THEN original_len ELSE 0 END)::BIGINT AS bytes_recv,
+    arg_min(pid, timestamp_ns) AS pid
+  FROM numbered GROUP BY 1, 2
+), full_records AS (
+  SELECT *, packets_sent + packets_recv AS packets_total, bytes_sent + bytes_recv AS bytes_total, round((coalesce(closed_ns, last_ns) - first_ns) / 1e6, 3) AS duration_ms, closed_ns IS NULL AS is_open FROM records
+) """
+ALL_PACKETS = duck("packets") + NUMBERED.format("packets")
+ON_PORTS = duck("packets") + ", allowed AS (SELECT * FROM packets WHERE src_port IN (80, 443, 8080) OR dst_port IN (80, 443, 8080))" + NUMBERED.format("allowed")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    return C.totals(C.incarnations(view(spark, sf, "packets")), protocol=None)
+
+
+@query("f1_w4_a1_o1_top_connections", ON_PORTS + "SELECT * FROM full_records ORDER BY bytes_total DESC, conn_id, incarnation LIMIT 10")
+def flagship(spark, sf):
+    """The busiest lives of connections on allowed ports."""
+    allowed = view(spark, sf, "packets").where(filters.allowed(PORTS, "src_port", "dst_port"))
+    return C.top_connections(C.totals(C.incarnations(allowed), protocol=None))
+
+
+@query("a1_p4_d1_connection_records", ALL_PACKETS + "SELECT * FROM full_records")
+def _(spark, sf):
+    return records(spark, sf)
+
+
+@query("a3_tracker_stats", ALL_PACKETS + "SELECT count(*) FILTER (is_open) AS active, count(*) AS created, count(*) FILTER (NOT is_open) AS closed FROM full_records")
+def _(spark, sf):
+    return C.stats(records(spark, sf))
+
+
+@query("a3a_live_records", ALL_PACKETS + "SELECT conn_id, incarnation, last_ns, packets_total FROM full_records WHERE is_open")
+def _(spark, sf):
+    return records(spark, sf).where("is_open").select("conn_id", "incarnation", "last_ns", "packets_total")
+
+
+@query("t3_expired", ALL_PACKETS + ", now AS (SELECT max(timestamp_ns) AS n FROM packets) SELECT conn_id, incarnation, last_ns FROM full_records, now WHERE is_open AND last_ns < n - 3600000000000")
+def _(spark, sf):
+    packets = view(spark, sf, "packets")
+    now = packets.agg(F.max("timestamp_ns")).first()[0] or 0
+    return C.expired(records(spark, sf), now, 3_600_000_000_000).select("conn_id", "incarnation", "last_ns")
+
+
+@query("t10_promotion")
+def _(spark, sf):
+    return C.totals(C.incarnations(view(spark, sf, "packets"))).select("conn_id", "incarnation", "protocol")
+
+
+@query("w3_first_protocol", duck("packets") + "SELECT event_id, coalesce(first_value(nullif(protocol, 0) IGNORE NULLS) OVER (PARTITION BY conn_id ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), protocol) AS sticky_protocol FROM packets")
+def _(spark, sf):
+    return C.first_protocol(view(spark, sf, "packets")).select("event_id", "sticky_protocol")
+
+
+@query("w2_packet_number", duck("packets") + "SELECT event_id, row_number() OVER (PARTITION BY conn_id ORDER BY timestamp_ns, event_id) AS packet_no FROM packets")
+def _(spark, sf):
+    return C.numbered(view(spark, sf, "packets")).select("event_id", F.col("packet_no").cast("long").alias("packet_no"))
+
+
+@query("w1_ssl_sequence", duck("ssl_events") + "SELECT pid, seq, row_number() OVER (PARTITION BY pid, direction ORDER BY timestamp_ns) - 1 AS dir_seq FROM ssl_events")
+def _(spark, sf):
+    w = C.W.partitionBy("pid", "direction").orderBy("timestamp_ns")
+    return view(spark, sf, "ssl_events").select("pid", "seq", (F.row_number().over(w) - 1).cast("long").alias("dir_seq"))
+
+
+@query("j3_packet_with_record", ALL_PACKETS + "SELECT n.event_id, r.packets_total, r.bytes_total FROM numbered n LEFT JOIN full_records r USING (conn_id, incarnation)")
+def _(spark, sf):
+    packets = C.incarnations(view(spark, sf, "packets"))
+    return packets.join(C.totals(packets, protocol=None).select("conn_id", "incarnation", "packets_total", "bytes_total"), ["conn_id", "incarnation"], "left").select("event_id", "packets_total", "bytes_total")
+
+
+@query("p2_p22_m2_m3_packet_dict", duck("packets") + """SELECT event_id, '0x' || lpad(lower(to_hex(conn_id)), 16, '0') AS conn_id_hex, conn_id, timestamp_ns, pid, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst,
+  CASE protocol WHEN 0 THEN 'unknown' WHEN 1 THEN 'HTTP/1.x' WHEN 2 THEN 'HTTP/2' WHEN 3 THEN 'gRPC' WHEN 4 THEN 'WebSocket' WHEN 5 THEN 'MCP' WHEN 6 THEN 'TLS' WHEN 7 THEN 'HTTP/1.x+TLS' ELSE 'HTTP/2+TLS' END AS protocol, payload_len, original_len, truncated FROM packets""")
+def _(spark, sf):
+    return topic.packet_dict(view(spark, sf, "packets"))
+
+
+@query("f6_output_filter", duck("packets") + "SELECT event_id FROM packets WHERE protocol IN (1, 2, 6) AND protocol <> 6 AND (src_port IN (80, 443) OR dst_port IN (80, 443)) AND direction IN (1, 2) AND coalesce(payload_len >= 1000, true)")
+def _(spark, sf):
+    f = filters.OutputFilter.of({"protocols": ["HTTP/1.x", "HTTP2", "TLS"], "drop_tls_only": True, "ports": [80, 443], "directions": ["egress", "INGRESS"], "min_body_bytes": 1000})
+    return view(spark, sf, "packets").where(f.column(body="payload_len")).select("event_id")
+
+
+@query("f2_f4_pid_and_comm", duck("packets") + "SELECT event_id FROM packets WHERE pid IN (1001, 1002, 1003) AND substr(comm, 1, 15) = 'python'")
+def _(spark, sf):
+    return view(spark, sf, "packets").where(filters.allowed([1001, 1002, 1003, "x"], "pid") & filters.same_comm("comm", "python")).select("event_id")
+
+
+@query("f13_enum_predicates", duck("packets") + "SELECT event_id, protocol IN (6, 7, 8) AS is_encrypted, protocol IN (1, 2, 3, 7, 8) AS is_http, CASE direction WHEN 2 THEN 'INGRESS' WHEN 3 THEN 'CLOSE' ELSE 'EGRESS' END AS direction FROM packets")
+def _(spark, sf):
+    return view(spark, sf, "packets").select("event_id", S.is_encrypted(F.col("protocol")).alias("is_encrypted"), S.is_http(F.col("protocol")).alias("is_http"), S.direction_name(F.col("direction")).alias("direction"))
+
+
+@query("a2_protocol_breakdown", duck("packets") + "SELECT CASE protocol WHEN 0 THEN 'unknown' WHEN 1 THEN 'HTTP/1.x' WHEN 2 THEN 'HTTP/2' WHEN 3 THEN 'gRPC' WHEN 4 THEN 'WebSocket' WHEN 5 THEN 'MCP' WHEN 6 THEN 'TLS' WHEN 7 THEN 'HTTP/1.x+TLS' ELSE 'HTTP/2+TLS' END AS protocol, count(*) AS n FROM packets GROUP BY 1")
+def _(spark, sf):
+    return metrics.protocol_breakdown(view(spark, sf, "packets"))
+
+
+@query("a4_counters", duck("packets") + "SELECT count(*) AS events, sum(payload_len)::BIGINT AS bytes_captured, sum(original_len)::BIGINT AS bytes_original, count(*) FILTER (truncated) AS truncated, count(*) FILTER (direction = 3) AS closes FROM packets")
+def _(spark, sf):
+    return metrics.counters(view(spark, sf, "packets"))
+
+
+@query("a5_drop_rate", duck("packets") + "SELECT pid, coalesce(count(*) FILTER (truncated) * 100.0 / nullif(count(*) FILTER (truncated) + count(*), 0), 0)::DOUBLE AS drop_rate_pct FROM packets GROUP BY pid")
+def _(spark, sf):
+    return view(spark, sf, "packets").groupBy("pid").agg(F.count_if("truncated").alias("d"), F.count(F.lit(1)).alias("n")).select("pid", metrics.drop_rate_pct(F.col("d"), F.col("n")).cast("double").alias("drop_rate_pct"))
+
+
+@query("a8_a9_counter_deltas", duck("packets") + "SELECT event_id, greatest(0, original_len - coalesce(lag(original_len) OVER (PARTITION BY conn_id ORDER BY timestamp_ns, event_id), 0)) AS delta FROM packets")
+def _(spark, sf):
+    return metrics.deltas(view(spark, sf, "packets"), ["conn_id"], list(C.ORDER), "original_len").select("event_id", "delta")
+
+
+@query("t9_rates", duck("packets") + "SELECT (timestamp_ns // 10000000000) * 10 AS window_start_s, count(*) AS n, count(*) / 10.0 AS rate FROM packets GROUP BY 1")
+def _(spark, sf):
+    return metrics.rates(view(spark, sf, "packets"))
+
+
+@query("a11_process_children", duck("proc_tree") + "SELECT ppid, count(*) AS n_children, min(pid) AS first_child, max(pid) AS last_child FROM proc_tree WHERE ppid > 0 GROUP BY ppid")
+def _(spark, sf):
+    return processes.children(view(spark, sf, "proc_tree"))
+
+
+UP = duck("proc_tree").replace("WITH ", "WITH RECURSIVE ", 1) + """, up(pid, anc, depth) AS (SELECT pid, pid, 0 FROM proc_tree UNION ALL SELECT up.pid, t.ppid, up.depth + 1 FROM up JOIN proc_tree t ON up.anc = t.pid WHERE up.depth < {0} AND t.ppid > 0 AND up.anc > 12),
+  found AS (SELECT up.pid, coalesce(arg_min(anc, depth) FILTER (anc <= 12), up.pid) AS root_pid FROM up GROUP BY up.pid) """
+
+
+def _forest(spark, sf):
+    tree = view(spark, sf, "proc_tree")
+    return tree, tree.where("is_root").select("pid")
+
+
+@query("g1_j6_root_resolution", UP.format(15) + "SELECT pid, root_pid FROM found")
+def _(spark, sf):
+    return processes.roots(*_forest(spark, sf))
+
+
+@query("f5_f14_monitored", UP.format(8) + "SELECT pid FROM found WHERE root_pid <= 12")
+def _(spark, sf):
+    return processes.monitored(*_forest(spark, sf))
+
+
+@query("j1_f9_entry_exit_pairs", duck("syscalls") + ", s AS (SELECT *, lag(is_entry) OVER w AS pe, lag(l_partkey) OVER w AS entry_l_partkey FROM syscalls WINDOW w AS (PARTITION BY tid ORDER BY l_orderkey, l_linenumber, l_partkey)) SELECT tid, l_orderkey, l_linenumber, l_partkey, entry_l_partkey FROM s WHERE NOT is_entry AND pe AND ret > 0")
+def _(spark, sf):
+    pairs = processes.paired(view(spark, sf, "syscalls"), "tid", ["l_orderkey", "l_linenumber", "l_partkey"], ["l_partkey"])
+    return pairs.where(filters.syscall_ok("read")).select("tid", "l_orderkey", "l_linenumber", "l_partkey", "entry_l_partkey")
+
+
+@query("j5_registered_pids", duck("proc_events", "ssl_events") + "SELECT e.event_id FROM proc_events e JOIN (SELECT pid, min(timestamp_ns) AS since FROM ssl_events GROUP BY pid) s USING (pid) WHERE e.timestamp_ns >= since / 1000000000000")
+def _(spark, sf):
+    ssl = view(spark, sf, "ssl_events").withColumn("timestamp_ns", (F.col("timestamp_ns") / 1e12).cast("double"))
+    return processes.after_first_seen(view(spark, sf, "proc_events"), ssl).select("event_id")
+
+
+@query("j7_resolved_paths", duck("proc_events") + ", o AS (SELECT pid, fd, timestamp_ns, path FROM proc_events WHERE event_type = 3) SELECT w.event_id, w.pid, w.fd, w.timestamp_ns, o.path AS resolved_path FROM (SELECT * FROM proc_events WHERE event_type = 4) w ASOF LEFT JOIN o ON w.pid = o.pid AND w.fd = o.fd AND w.timestamp_ns >= o.timestamp_ns")
+def _(spark, sf):
+    e = view(spark, sf, "proc_events")
+    return processes.resolved_paths(e.where("event_type = 4"), e.where("event_type = 3"))
+
+
+@query("f9_syscall_success", duck("proc_events") + "SELECT event_id FROM proc_events WHERE (event_type = 3 AND retval >= 0) OR (event_type = 4 AND retval > 0) OR (event_type = 1)")
+def _(spark, sf):
+    ok = ((F.col("event_type") == 3) & filters.syscall_ok("open", "retval")) | ((F.col("event_type") == 4) & filters.syscall_ok("write", "retval")) | (F.col("event_type") == 1)
+    return view(spark, sf, "proc_events").where(ok).select("event_id")
+
+
+SSE = duck("ssl_events") + """, r AS (SELECT *, contains(data, 'data: [DONE]') OR contains(data, '"finish_reason"') AS fin FROM ssl_events WHERE direction = 'read' AND NOT starts_with(data, 'HTTP/') AND NOT starts_with(data, '{') AND (contains(data, 'data: ') OR contains(data, 'event: '))),
+  c AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY pid ORDER BY timestamp_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut, coalesce((timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY pid ORDER BY timestamp_ns, seq) > 2000000000)::INT, 0) AS gap FROM r),
+  p AS (SELECT *, cut + GAPS AS part FROM c) SELECT pid, part::BIGINT AS part, count(*) AS n_chunks, string_agg(data, '' ORDER BY timestamp_ns, seq) AS data, bool_or(fin) AS complete FROM p GROUP BY 1, 2"""
+
+
+@query("t7_f11_sse_reassembly", SSE.replace("GAPS", "0"))
+def _(spark, sf):
+    return sse.reassemble(view(spark, sf, "ssl_events"))
+
+
+@query("t8_sse_idle_flush", SSE.replace("GAPS", "sum(gap) OVER (PARTITION BY pid ORDER BY timestamp_ns, seq)"))
+def _(spark, sf):
+    return sse.reassemble(view(spark, sf, "ssl_events"), sse.IDLE_NS)
+
+
+@query("p10_ssl_payload", duck("ssl_events") + "SELECT (pid << 16) | (seq & 65535) AS conn_id, timestamp_ns, pid, comm AS process_name, '127.0.0.1' AS src_ip, 443 AS dst_port, CASE direction WHEN 'write' THEN 'EGRESS' ELSE 'INGRESS' END AS direction, 'HTTPS' AS protocol, data AS ssl_content, root_pid FROM ssl_events")
+def _(spark, sf):
+    return topic.ssl_payload(view(spark, sf, "ssl_events"))
+
+
+@query("p11_proc_payload", duck("proc_events") + "SELECT (pid << 16) | (timestamp_ns & 65535) AS conn_id, timestamp_ns, pid, comm, '0.0.0.0' AS src_ip, 'KERNEL' AS protocol, event_type, bytes_count, path FROM proc_events")
+def _(spark, sf):
+    return topic.proc_payload(view(spark, sf, "proc_events"))
+
+
+def _messages(spark, sf):
+    """All streams in one topic; some messages without a key, some with a broken value."""
+    ssl = topic.envelope(topic.ssl_payload(view(spark, sf, "ssl_events")), "ssl", F.lit(" key-1 "), F.col("root_pid"))
+    proc = topic.envelope(topic.proc_payload(view(spark, sf, "proc_events")), "proc", F.lit("key-2"))
+    both = ssl.unionByName(proc).withColumn("n", F.decode("key", "UTF-8").cast("long"))
+    lost = F.filter("headers", lambda h: h["key"] != "X-Agent-Key")
+    return both.select("key", F.when(F.col("n") % 17 == 0, F.encode(F.lit('{"broken'), "UTF-8")).otherwise(F.col("value")).alias("value"), F.when(F.col("n") % 10 == 0, lost).otherwise(F.col("headers")).alias("headers"))
+
+
+@query("k4_p12_u1_envelope", duck("ssl_events", "proc_events") + ", t AS (SELECT (pid << 16) | (seq & 65535) AS k, 'ssl' AS kind, root_pid AS r FROM ssl_events UNION ALL SELECT (pid << 16) | (timestamp_ns & 65535), 'proc', 0 FROM proc_events) SELECT CAST(k AS VARCHAR) AS key, kind, CAST(r AS VARCHAR) AS root_pid, '2' AS version FROM t")
+def _(spark, sf):
+    ssl = topic.envelope(topic.ssl_payload(view(spark, sf, "ssl_events")), "ssl", F.lit("k"), F.col("root_pid"))
+    proc = topic.envelope(topic.proc_payload(view(spark, sf, "proc_events")), "proc", F.lit("k"))
+    h = lambda i: F.decode(F.col("headers")[i]["value"], "UTF-8")
+    return ssl.unionByName(proc).select(F.decode("key", "UTF-8").alias("key"), h(2).alias("kind"), h(3).alias("root_pid"), h(1).alias("version"))
+
+
+@query("s5_f10_p13_p18_p19_p20_consumer", duck("ssl_events", "proc_events") + """, t AS (
+  SELECT 'key-1' AS agent_key, (pid << 16) | (seq & 65535) AS conn_id, timestamp_ns, pid, comm AS process_name, 'HTTPS' AS protocol, CASE direction WHEN 'write' THEN 'EGRESS' ELSE 'INGRESS' END AS direction,
+    CASE WHEN contains(data, '"messages"') OR contains(data, '"model"') THEN 'POST' END AS method, CAST(NULL AS VARCHAR) AS raw_path, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS bytes_count FROM ssl_events
+  UNION ALL SELECT 'key-2', (pid << 16) | (timestamp_ns & 65535), timestamp_ns, pid, CASE WHEN event_type = 1 AND comm = '' THEN string_split(path, '/')[-1] ELSE comm END, 'KERNEL', '', NULL, NULL, path, bytes_count FROM proc_events)
+  SELECT * FROM t WHERE conn_id % 10 <> 0 AND conn_id % 17 <> 0""")
+def _(spark, sf):
+    return topic.normalise(_messages(spark, sf)).drop("occurred_at")
+
+
+@query("m9_p14_request_lines", "SELECT page_id, 'GET' AS method, '/' || CASE WHEN contains(t, '/') THEN split_part(substr(t, instr(t, '/') + 1), '?', 1) ELSE '' END AS path, nullif(CASE WHEN contains(t, '?') THEN substr(t, instr(t, '?') + 1) ELSE '' END, '') AS query FROM (SELECT page_id, split_part(split_part(url, '#', 1), '//', 2) AS t FROM pages)")
+def _(spark, sf):
+    r = view(spark, sf, "requests")
+    target = F.concat(F.lit("/"), F.when(F.contains("rest", F.lit("/")), F.substring(F.col("rest"), F.instr("rest", "/") + 1, F.length("rest"))).otherwise(""))
+    line = S.request_line(F.concat(F.lit("get "), target, F.lit(" HTTP/1.1")))
+    return r.select("page_id", line.alias("l")).select("page_id", "l.method", "l.path", F.nullif("l.query", F.lit("")).alias("query"))
+
+
+
+
+@query("m16_format_tokens", "WITH t AS (SELECT url AS s FROM pages UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT c_name FROM customer UNION ALL SELECT CAST(o_orderkey * 1000003 AS VARCHAR) FROM orders UNION ALL SELECT '10.0.' || (c_custkey % 256) || '.1' FROM customer UNION ALL SELECT '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') FROM customer) SELECT token, count(*) AS n FROM (SELECT " + S.format_sql("s") + " AS token FROM t) GROUP BY token")
+def _(spark, sf):
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    parts = [t("pages").select("url"), t("orders").select("o_orderpriority"), t("customer").select("c_name"), t("orders").select((F.col("o_orderkey") * 1000003).cast("string")), t("customer").select(F.concat(F.lit("10.0."), (F.col("c_custkey") % 256).cast("string"), F.lit(".1"))), t("customer").select(F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.toDF("s").groupBy(S.format_token(F.col("s")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d3_basename", duck("proc_events") + "SELECT event_id, string_split(path, '/')[-1] AS name FROM proc_events")
+def _(spark, sf):
+    return view(spark, sf, "proc_events").select("event_id", S.basename(F.col("path")).alias("name"))
+
+
+@query("m4_preview", "SELECT page_id, regexp_replace(substr(url, 1, 40), '[^ -~]', '.', 'gs') AS preview FROM pages")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", S.preview(F.encode("url", "ISO-8859-1"), 40).alias("preview"))
+
+
+@query("m5_conn_id")
+def _(spark, sf):
+    return view(spark, sf, "packets").select("event_id", S.fold_conn_id([F.col("pid"), F.col("conn_id"), F.col("src_port"), F.col("dst_port"), F.col("timestamp_ns")]).alias("folded"))
+
+
+@query("x3_form_schema", "SELECT page_id, list_sort(list_distinct([split_part(p, '=', 1) FOR p IN string_split(split_part(split_part(url, '#', 1), '?', 2), '&') IF contains(p, '=')])) AS names FROM pages")
+def _(spark, sf):
+    body = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_sort(F.json_object_keys(S.form_schema(body))).alias("names"))
