@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
-from sparktap.operators import filters, metrics, processes, sse, topic
+from sparktap.operators import bodies, detect, filters, metrics, processes, sse, topic
+from sparktap.sources import packets as records_io
 from sparktap.sources.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,3 +291,39 @@ def _(spark, sf):
 def _(spark, sf):
     body = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_sort(F.json_object_keys(S.form_schema(body))).alias("names"))
+
+
+def _raw(spark, sf):
+    p = view(spark, sf, "packets").withColumns({"tid": F.col("pid") + 7, "uid": F.lit(1000), "ip_version": F.lit(4)})
+    return records_io.encode(p.withColumns({"payload": F.unhex(F.lit("474554")), "truncated": F.col("truncated").cast("int")}))
+
+
+@query("s2_p1_m1_decode_records", duck("packets") + "SELECT event_id, timestamp_ns, conn_id, pid, pid + 7 AS tid, src_ip, dst_ip, src_port::BIGINT AS src_port, direction, protocol, comm, truncated, least(payload_len, 3) AS payload_len, original_len FROM packets")
+def _(spark, sf):
+    return records_io.decode(_raw(spark, sf).select("event_id", "record")).select("event_id", "timestamp_ns", "conn_id", "pid", "tid", "src_ip", "dst_ip", "src_port", "direction", "protocol", "comm", "truncated", "payload_len", "original_len")
+
+
+@query("b12_kernel_sniff", duck("packets") + "SELECT event_id, CASE WHEN direction = 3 THEN 0 ELSE [1, 1, 1, 6, 2, 2, 4, 5, 5, 1, 0][event_id % 11 + 1] END AS protocol FROM packets")
+def _(spark, sf):
+    return records_io.with_payload(view(spark, sf, "packets")).select("event_id", "protocol")
+
+
+@query("t4_t5_b0_b11_detect_and_parse")
+def _(spark, sf):
+    return detect.detect(records_io.with_payload(view(spark, sf, "packets")))
+
+
+@query("t4_p5_detected_protocols")
+def _(spark, sf):
+    found = detect.detect(records_io.with_payload(view(spark, sf, "packets")))
+    return found.groupBy(S.protocol_name(F.col("final_protocol")).alias("protocol"), "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x1_x2_body_schema", "SELECT event_id, '{\"root_type\": \"object\", \"schema\": {\"k\": \"integer\"}, \"truncated\": false}' AS schema FROM events")
+def _(spark, sf):
+    return bodies.infer(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.encode("props", "UTF-8").alias("body")))
+
+
+@query("a10_merged_schema", "SELECT event_type, '{\"k\": \"integer\"}' AS schema FROM events GROUP BY event_type")
+def _(spark, sf):
+    return bodies.merged_by(spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.encode("props", "UTF-8").alias("body")), "event_type")
