@@ -327,3 +327,44 @@ def _(spark, sf):
 @query("a10_merged_schema", "SELECT event_type, '{\"k\": \"integer\"}' AS schema FROM events GROUP BY event_type")
 def _(spark, sf):
     return bodies.merged_by(spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.encode("props", "UTF-8").alias("body")), "event_type")
+
+
+def _http_text(spark, sf):
+    """A request and a response text of each page."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    n = F.col("page_id").cast("string")
+    request = F.concat(F.lit("GET /x HTTP/1.1\r\nHost: "), host, F.lit("\r\nAuthorization: secret\r\nX-Id: "), n, F.lit("\r\nx-id: again\r\nConnection: Close\r\n\r\nbody"))
+    response = F.concat(F.lit("HTTP/1.1 "), (F.col("page_id") % 5 + 200).cast("string"), F.lit(" All Fine \r\nContent-Length: "), n, F.lit("\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n"))
+    return p.select("page_id", request.alias("request"), response.alias("response"))
+
+
+def _block(c):
+    return F.substring_index(F.substring(c, F.instr(c, "\r\n") + 2, F.length(c)), "\r\n\r\n", 1)
+
+
+@query("m6_m7_m8_m11_p7_request_headers", "SELECT page_id, true AS is_request, split_part(split_part(url, '//', 2), '/', 1) AS host, CAST(page_id AS VARCHAR) AS x_id, 'connection,host,x-id' AS names, false AS keep_alive FROM pages")
+def _(spark, sf):
+    r = _http_text(spark, sf)
+    named = S.redact(S.headers(_block(F.col("request"))))
+    return r.select("page_id", S.is_request(F.col("request")).alias("is_request"), S.header(F.col("request"), "host").alias("host"), named["x-id"].alias("x_id"), F.array_join(F.array_sort(F.map_keys(named)), ",").alias("names"), S.keep_alive(named["connection"]).alias("keep_alive"))
+
+
+@query("m10_m12_response_lines", "SELECT page_id, 'HTTP/1.1' AS http_version, CAST(page_id % 5 + 200 AS INT) AS status_code, 'All Fine' AS reason, page_id AS body_len, 'a=1; b=2' AS cookies FROM pages")
+def _(spark, sf):
+    r = _http_text(spark, sf)
+    line = S.status_line(F.substring_index("response", "\r\n", 1))
+    named = S.headers(_block(F.col("response")))
+    return r.select("page_id", line.alias("l"), named.alias("h")).select("page_id", "l.http_version", "l.status_code", "l.reason", S.body_length(F.col("h")["content-length"], F.lit(0).cast("long")).alias("body_len"), F.col("h")["set-cookie"].alias("cookies"))
+
+
+@query("f12_l1_payload_clip", "SELECT page_id, substr(html, 1, 1000) AS clipped, length(html) > 1000 AS truncated FROM pages")
+def _(spark, sf):
+    cut, over = filters.clip("html", 1000)
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", cut.alias("clipped"), over.alias("truncated"))
+
+
+@query("u2_a6_a7_fan_out", duck("packets") + "SELECT sink, count(*) AS written FROM packets, (VALUES ('a'), ('b')) s(sink) WHERE direction <> 3 GROUP BY sink")
+def _(spark, sf):
+    kept, _rest = filters.split_by_filter(view(spark, sf, "packets"), F.col("direction") != 3)
+    return kept.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("sink")).groupBy("sink").agg(F.count(F.lit(1)).alias("written"))
