@@ -53,8 +53,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10000: long texts make such batches large on both sides.
+ARROW_ROWS = "1024"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and keep Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
