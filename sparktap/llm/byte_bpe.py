@@ -18,9 +18,9 @@ from sparktap.llm import spans
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 #: Code points of Unicode White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Pre-tokens kept for each worker; beyond it the memory starts anew, which changes no result.
-KEEP = 3_000_000
+KEEP = 1_000_000
 
 _classes: np.ndarray | None = None
 
