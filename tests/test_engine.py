@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pytest
 
@@ -43,8 +45,14 @@ def test_stream_equals_batch(spark, sf_small, tmp_path):
     want = {(r.event_id, r.final_protocol, r.confidence, r.packet_no) for r in detect.detect(packets).collect()}
     packets.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in"))
-    q = lifecycle.detect_stream(stream).writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = lifecycle.detect_stream(stream).writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).start()
+    # With processing-time timeouts batches without data go on for ever, so the test waits for the rows.
+    end = time.time() + 120
+    try:
+        while time.time() < end and spark.table("found").count() < len(want):
+            time.sleep(1)
+    finally:
+        q.stop()
     got = {(r.event_id, r.final_protocol, r.confidence, r.packet_no) for r in spark.table("found").collect()}
     assert got == want
 
