@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktap.session import ship
+
 MAX_BYTES = 256 * 1024
 IDLE_NS = 2_000_000_000
 
@@ -20,16 +25,37 @@ def is_last(data: str = "data") -> Column:
 
 
 def reassemble(events: DataFrame, idle_ns: int | None = None) -> DataFrame:
-    """Eligible reads of each pid, cut after a last chunk, and before a gap over the idle limit where one is given.
+    """Eligible reads of each pid, cut after a last chunk, after the read with which a part holds MAX_BYTES or more, and
+    before a gap over the idle limit where one is given.
 
     Rows: pid, part, n_chunks, data, complete. Streams are cut by sequence, so a pid's parts are built in its order.
+    A part without a last chunk is not complete, whatever its size.
     """
     w = W.partitionBy("pid").orderBy("timestamp_ns", "seq")
     reads = events.where(eligible()).withColumn("last", is_last())
-    cuts = F.coalesce(F.sum(F.col("last").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    if idle_ns is not None:
-        gap = (F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > idle_ns).cast("int")
-        reads = reads.withColumn("gap", F.coalesce(gap, F.lit(0)))
-        cuts = cuts + F.sum("gap").over(w.rowsBetween(W.unboundedPreceding, 0))
-    parts = reads.withColumn("part", cuts.cast("long")).groupBy("pid", "part").agg(F.array_sort(F.collect_list(F.struct("timestamp_ns", "seq", "data"))).alias("chunks"), F.max("last").alias("complete"))
+    gap = F.lit(False) if idle_ns is None else F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > idle_ns, F.lit(False))
+    ship(events.sparkSession)
+    reads = reads.select("pid", "timestamp_ns", "seq", "data", "last", gap.alias("gap"), F.octet_length("data").cast("long").alias("bytes"))
+    schema = reads.schema.add("part", "long")
+    parts = reads.repartition("pid").sortWithinPartitions("pid", "timestamp_ns", "seq").mapInArrow(_number, schema)
+    parts = parts.groupBy("pid", "part").agg(F.array_sort(F.collect_list(F.struct("timestamp_ns", "seq", "data"))).alias("chunks"), F.max("last").alias("complete"))
     return parts.select("pid", "part", F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.transform("chunks", lambda c: c["data"]), "").alias("data"), "complete")
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the part's number to each pid's reads in order; whether the byte count cuts depends on the cuts before."""
+    now, part, held, ended = None, 0, 0, False
+    first = True
+    for batch in batches:
+        parts = []
+        for pid, last, gap, n in zip(*(batch.column(c).to_pylist() for c in ("pid", "last", "gap", "bytes"))):
+            if first or pid != now:
+                now, part, held, ended, first = pid, 0, 0, False, False
+            # Both a last chunk and a gap count, as two cuts with nothing between them.
+            cuts = int(ended) + int(gap)
+            if cuts:
+                part, held = part + cuts, 0
+            held += n
+            ended = bool(last) or held >= MAX_BYTES
+            parts.append(part)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "part"])

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sparktap.operators import connections, detect, filters
+from sparktap.operators import connections, detect, filters, sse
 from sparktap.plans import catalog
 from sparktap.sources import sinks
 from sparktap.sources.fixtures import view
@@ -79,3 +79,14 @@ def test_sinks(spark, tmp_path):
 def test_filter_names_unknown_keys():
     with pytest.raises(ValueError, match="parse_errors"):
         filters.OutputFilter.of({"parse_errors": True})
+
+
+@pytest.mark.parametrize("idle_ns", [None, sse.IDLE_NS])
+def test_long_stream_is_cut_at_its_byte_limit(spark, idle_ns):
+    chunk = "data: " + "é" * 32765  # 65536 bytes
+    sizes = [chunk] * 9 + ["data: a", "data: [DONE]", "data: b"]
+    rows = [(p, k, k, "read", d) for p in (1, 2) for k, d in enumerate(sizes)] + [(3, 0, 0, "read", chunk * 5), (3, 1, 1, "read", "data: c")]
+    d = spark.createDataFrame(rows, "pid long, timestamp_ns long, seq long, direction string, data string")
+    got = [(r.pid, r.part, r.n_chunks, len(r.data.encode()), r.complete) for r in sse.reassemble(d, idle_ns).orderBy("pid", "part").collect()]
+    one = [(0, 4, 4 * 65536, False), (1, 4, 4 * 65536, False), (2, 3, 65536 + 7 + 12, True), (3, 1, 7, False)]
+    assert got == [(p, *x) for p in (1, 2) for x in one] + [(3, 0, 1, 5 * 65536, False), (3, 1, 1, 7, False)]
