@@ -4,7 +4,8 @@ The pages of a host are merged by presentation: a node is the path of tags, clas
 node of a host the entropy of its child layouts (presentation) and of its texts (content) over the host's pages is its
 importance: what looks and reads the same on all pages has none. Nodes whose own mark-up says what they are have a fixed
 importance: 1 for an article and what holds it, 0 for menus, headers, footers, sidebars, notices, adverts, forms and
-comments. Branches of low importance are cut from each page; where a page has an article, the rest of it is the text.
+comments. Branches of low importance are cut from each page, within articles too; where a page has an article, the rest
+of it is the text.
 
 Counts are combined map-side and by value, then by node, so a host with most pages is no hot group. A page's cut
 branches come from a broadcast of the low nodes while these are few, and from a join by page beyond that.
@@ -57,11 +58,12 @@ def _node(parent: int, tag: str, attrs: str) -> tuple[int, int, bool]:
     if found is None:
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
         role = named.get("role", "").strip().lower()
-        style = f"{parent}/{tag}.{' '.join(named.get('class', '').split())}#{role}"
         article = tag in ("article", "main") or role in ("main", "article")
         names = f"{named.get('class', '')} {named.get('id', '')}"
         low = tag in LOW_TAGS or role in LOW_ROLES or (tag not in ("body", "html") and bool(names.strip()) and bool(LOW_NAMES.search(names)))
-        found = (xxhash.xxh64_intdigest(style) >> 1, 0 if low else 1 if article else -1, article and not low)
+        fixed = 0 if low else 1 if article else -1
+        style = f"{parent}/{tag}.{' '.join(named.get('class', '').split())}#{role}{fixed}"  # ids may fix it too
+        found = (xxhash.xxh64_intdigest(style) >> 1, fixed, article and not low)
         if len(_paths) > 200_000:
             _paths.clear()
         _paths[key] = found
@@ -145,7 +147,7 @@ def walk(page: str, opened, closed, said) -> None:
 
 
 def styles(page: str) -> list[tuple[int, int, int, int]]:
-    """Of each path outside articles: path, fixed importance, layout hash and content hash over its nodes of this page."""
+    """Of each block's path: path, fixed importance, layout hash and content hash over its nodes of this page."""
     import xxhash
 
     texts: list[str] = []
@@ -157,10 +159,6 @@ def styles(page: str) -> list[tuple[int, int, int, int]]:
     def closed(n: Node) -> None:
         if n.tag not in BLOCK and n.fixed < 0:
             return  # inline mark-up is part of the content around it
-        if n.inside and not n.article:
-            if n.fixed == 0:
-                found.setdefault(n.path, [0, [], []])
-            return
         own = found.setdefault(n.path, [n.fixed, [], []])
         if n.holds or n.article:
             own[0] = 1
@@ -168,7 +166,7 @@ def styles(page: str) -> list[tuple[int, int, int, int]]:
             own[1].append(",".join(map(str, n.kids)))
             own[2].append(" ".join("".join(texts[n.text_at :]).split()))
 
-    walk(page, opened, closed, lambda t, n: None if n.inside else texts.append(t))
+    walk(page, opened, closed, lambda t, n: texts.append(t))
     digest = lambda x: xxhash.xxh64_intdigest("\n".join(x)) >> 1
     return [(p, f, digest(a), digest(b)) for p, (f, a, b) in found.items()]
 
@@ -251,7 +249,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bare = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col(html_col).alias("html"))
     bare = bare.withColumn("name", F.xxhash64("id", "url", "html"))
     nodes = materialise(bare.select("host", "name", "html").mapInArrow(_style_rows, "host string, name long, path long, fixed int, layout long, content long"), "styles")
-    low = materialise(importance(nodes).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path"), "low")
+    # Pages of a host with the same html say nothing about each other: they count once.
+    once = bare.groupBy("host", F.xxhash64("html").alias("h")).agg(F.min("name").alias("name")).select("name")
+    counted = nodes.join(once, "name", "left_semi").dropDuplicates(["name", "path"])
+    low = materialise(importance(counted).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path"), "low")
     by_host = low.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
     if by_host["n"] <= broadcast_nodes and by_host["most"] <= MOST_OF_HOST:
         cuts = low.groupBy("host").agg(F.collect_set("path").alias("low"))

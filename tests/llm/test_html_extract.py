@@ -47,3 +47,18 @@ def test_broken_pages_never_raise():
         H.main_text(page, set())
     assert H.main_text("<table><tr><td>a<td>b<tr><td>c</table>", set()) == "a\nb\nc"
     assert H.main_text("<article><p>x &am y &quo</p></article><p>z", set()) == "x &am y &quo"
+
+
+def test_entropy_decides_within_articles(spark):
+    page = "<body><article><h1>Title {n}</h1><div class=x7><p>Read our terms before use</p></div><div class=y2><p>Body {n}</p></div><div {box}>Box {n}</div></article></body>"
+    pages = [(i, f"http://a.example/{i}", page.format(n=i, box="id=comments" if i % 2 else "id=part")) for i in range(8)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for limit in (H.BROADCAST_NODES, 0):
+        got = {r.page_id: r.text for r in H.extract(d, broadcast_nodes=limit).collect()}
+        assert got == {i: f"Title {i}\nBody {i}" + ("" if i % 2 else f"\nBox {i}") for i in range(8)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><article><h1>Title</h1><p>All copies are alike</p></article></body>"
+    d = spark.createDataFrame([(i // 2, f"http://a.example/{i // 2}", page) for i in range(16)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract(d).collect()} == {"Title\nAll copies are alike"}
