@@ -43,22 +43,61 @@ def agent_key(headers: Column) -> Column:
 
 
 FIELDS = "conn_id long, timestamp_ns long, pid long, process_name string, src_ip string, dst_port int, protocol string, direction string, ssl_content string, event_type int, comm string, path string, bytes_count long, root_pid long"
+#: What a message of the http stream holds; schemas stay JSON text, and of mcp also whether a key is there.
+BRANCHES = (
+    "http1 struct<headers: map<string, string>, is_request: boolean, is_response: boolean, method: string, path: string, query: string, body_len: long, body_schema: string, status_code: int>, "
+    "http2 struct<request: struct<method: string, path: string, authority: string, status: int>, frames: array<struct<type: string, data_schema: string>>>, "
+    "grpc struct<service: string, method: string, message_len: long>, mcp map<string, string>"
+)
+HTTP_COLUMNS = ("host", "query", "status_code", "request_size", "response_size", "request_schema", "response_schema", "grpc_service", "grpc_method", "mcp_method", "mcp_params_schema", "mcp_result_schema")
+
+
+def http_fields(e: Column) -> dict[str, Column]:
+    """method, raw_path and HTTP_COLUMNS of a parsed message, by the first of its http1, http2, grpc and mcp."""
+    h1, h2, grpc, mcp = e["http1"], e["http2"], e["grpc"], e["mcp"]
+    pick = lambda a=None, b=None, c=None, d=None: F.when(h1.isNotNull(), F.lit(None) if a is None else a).when(h2.isNotNull(), F.lit(None) if b is None else b).when(grpc.isNotNull(), F.lit(None) if c is None else c).when(mcp.isNotNull(), F.lit(None) if d is None else d)
+    asked = lambda n: F.when(h1["is_request"], h1[n])
+    said = lambda n: F.when(h1["is_response"], h1[n])
+    request = h2["request"]
+    data = F.filter(h2["frames"], lambda f: (f["type"] == "DATA") & ~F.coalesce(f["data_schema"], F.lit("")).isin("", "{}", "[]"))
+    service = F.nullif(grpc["service"], F.lit(""))
+    tool = F.when(F.map_contains_key(mcp, "method"), F.coalesce(mcp["method"], F.lit("None"))).otherwise("unknown")
+    return {
+        "method": pick(asked("method"), request["method"], F.lit("POST"), F.lit("POST")),
+        "raw_path": pick(asked("path"), request["path"], F.concat(F.lit("/"), service, F.lit("/"), F.coalesce(grpc["method"], F.lit("None"))), F.concat(F.lit("/mcp/"), tool)),
+        "host": pick(F.coalesce(F.nullif(h1["headers"]["host"], F.lit("")), h1["headers"][":authority"]), request["authority"]),
+        "query": pick(asked("query")),
+        "status_code": pick(said("status_code"), request["status"]),
+        "request_size": pick(asked("body_len"), None, grpc["message_len"]),
+        "response_size": pick(said("body_len")),
+        "request_schema": pick(asked("body_schema")),
+        "response_schema": pick(said("body_schema"), F.get(data, F.lit(0))["data_schema"]),
+        "grpc_service": pick(None, None, grpc["service"]),
+        "grpc_method": pick(None, None, grpc["method"]),
+        "mcp_method": pick(None, None, None, mcp["method"]),
+        "mcp_params_schema": pick(None, None, None, mcp["params_schema"]),
+        "mcp_result_schema": pick(None, None, None, mcp["result_schema"]),
+    }
 
 
 def normalise(messages: DataFrame) -> DataFrame:
     """Flat rows of good messages: without an agent key, or where the value is no JSON object, a message is dropped."""
     text = F.decode("value", "UTF-8")
     read = messages.withColumns({"agent_key": agent_key(F.col("headers")), "text": text}).where(F.col("agent_key").isNotNull() & F.ltrim("text").startswith("{") & F.try_parse_json("text").isNotNull())
-    read = read.withColumn("e", F.from_json("text", FIELDS))
+    read = read.withColumn("e", F.from_json("text", f"{FIELDS}, {BRANCHES}"))
     e = lambda n: F.col(f"e.{n}")
     ssl = e("ssl_content")
     line = request_line(F.substring_index(ssl, "\r\n", 1))
     posted = ssl.startswith("POST ") | ssl.startswith("GET ")
     model = ssl.contains('"messages"') | ssl.contains('"model"')
     proc = e("event_type").isNotNull()
+    http = http_fields(F.col("e"))
+    hosts = F.regexp_extract_all(ssl, F.lit(r"(?is)\r\nhost: (.*?)(?=\r\n|\z)"), F.lit(1))
+    http["host"] = F.coalesce(F.when(posted, F.trim(F.try_element_at(hosts, F.lit(-1)))), http["host"])
     return read.select(
         "agent_key", F.coalesce(e("conn_id"), F.lit(0)).alias("conn_id"), F.coalesce(e("timestamp_ns"), F.lit(0)).alias("timestamp_ns"), F.timestamp_micros(F.floor(F.coalesce(e("timestamp_ns"), F.lit(0)) / 1000).cast("long")).alias("occurred_at"), F.coalesce(e("pid"), F.lit(0)).alias("pid"),
         F.coalesce(e("process_name"), F.when(proc & (e("event_type") == 1) & (F.coalesce(e("comm"), F.lit("")) == ""), basename(e("path"))).otherwise(e("comm")), F.lit("")).alias("process_name"),
         F.when(proc, "KERNEL").when(ssl.isNotNull(), "HTTPS").otherwise(F.coalesce(e("protocol"), F.lit(""))).alias("protocol"), F.coalesce(e("direction"), F.lit("")).alias("direction"),
-        F.when(posted, line["method"]).when(model, "POST").alias("method"), F.when(posted, line["path"]).alias("raw_path"), "e.path", "e.bytes_count",
+        F.when(posted, line["method"]).when(model, F.coalesce(F.nullif(http["method"], F.lit("")), F.lit("POST"))).otherwise(http["method"]).alias("method"), F.when(posted, line["path"]).otherwise(http["raw_path"]).alias("raw_path"), "e.path", "e.bytes_count",
+        *[http[c].alias(c) for c in HTTP_COLUMNS],
     )

@@ -249,7 +249,7 @@ def _(spark, sf):
   UNION ALL SELECT 'key-2', (pid << 16) | (timestamp_ns & 65535), timestamp_ns, pid, CASE WHEN event_type = 1 AND comm = '' THEN string_split(path, '/')[-1] ELSE comm END, 'KERNEL', '', NULL, NULL, path, bytes_count FROM proc_events)
   SELECT * FROM t WHERE conn_id % 10 <> 0 AND conn_id % 17 <> 0""")
 def _(spark, sf):
-    return topic.normalise(_messages(spark, sf)).drop("occurred_at")
+    return topic.normalise(_messages(spark, sf)).drop("occurred_at", *topic.HTTP_COLUMNS)
 
 
 @query("m9_p14_request_lines", "SELECT page_id, 'GET' AS method, '/' || CASE WHEN contains(t, '/') THEN split_part(substr(t, instr(t, '/') + 1), '?', 1) ELSE '' END AS path, nullif(CASE WHEN contains(t, '?') THEN substr(t, instr(t, '?') + 1) ELSE '' END, '') AS query FROM (SELECT page_id, split_part(split_part(url, '#', 1), '//', 2) AS t FROM pages)")

@@ -1,10 +1,11 @@
+import json
 import time
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sparktap.operators import connections, detect, filters, sse
+from sparktap.operators import connections, detect, filters, sse, topic
 from sparktap.plans import catalog
 from sparktap.sources import sinks
 from sparktap.sources.fixtures import view
@@ -90,3 +91,25 @@ def test_long_stream_is_cut_at_its_byte_limit(spark, idle_ns):
     got = [(r.pid, r.part, r.n_chunks, len(r.data.encode()), r.complete) for r in sse.reassemble(d, idle_ns).orderBy("pid", "part").collect()]
     one = [(0, 4, 4 * 65536, False), (1, 4, 4 * 65536, False), (2, 3, 65536 + 7 + 12, True), (3, 1, 7, False)]
     assert got == [(p, *x) for p in (1, 2) for x in one] + [(3, 0, 1, 5 * 65536, False), (3, 1, 1, 7, False)]
+
+
+def test_consumer_reads_one_http_branch_of_a_message(spark):
+    h1 = {"headers": {"host": "", ":authority": "a.example"}, "method": "GET", "path": "/x", "query": "q=1", "body_len": 5, "body_schema": {"a": "int"}, "status_code": 404}
+    h2 = {"request": {"method": "PUT", "path": "/h2", "authority": "b.example", "status": 201}, "frames": [{"type": "HEADERS", "data_schema": {"z": 1}}, {"type": "DATA", "data_schema": {}}, {"type": "DATA", "data_schema": {"b": "str"}}, {"type": "DATA", "data_schema": {"c": "str"}}]}
+    grpc, mcp = {"service": "pkg.S", "method": "M", "message_len": 9}, {"method": "tools/call", "params_schema": {"p": "int"}}
+    sent = [
+        {"http1": h1 | {"is_request": True}}, {"http1": h1 | {"is_response": True}, "mcp": mcp}, {"http2": h2, "grpc": grpc}, {"grpc": grpc, "mcp": mcp}, {"grpc": {"method": "M"}}, {"mcp": mcp}, {"mcp": {}}, {"mcp": {"method": None}},
+        {"mcp": mcp, "ssl_content": "GET /own HTTP/1.1\r\nHost: c.example\r\nA: b"}, {"http2": h2, "ssl_content": '"model"'}, {"pid": 1},
+    ]
+    rows = [(json.dumps({"conn_id": i} | m).encode(), [("X-Agent-Key", b"k")]) for i, m in enumerate(sent)]
+    d = spark.createDataFrame(rows, "value binary, headers array<struct<key: string, value: binary>>")
+    got = [{k: v for k, v in r.asDict().items() if v is not None} for r in topic.normalise(d).orderBy("conn_id").select("method", "raw_path", *topic.HTTP_COLUMNS).collect()]
+    tool = {"method": "POST", "raw_path": "/mcp/tools/call", "mcp_method": "tools/call", "mcp_params_schema": '{"p":"int"}'}
+    assert got == [
+        {"method": "GET", "raw_path": "/x", "host": "a.example", "query": "q=1", "request_size": 5, "request_schema": '{"a":"int"}'},
+        {"host": "a.example", "status_code": 404, "response_size": 5, "response_schema": '{"a":"int"}'},
+        {"method": "PUT", "raw_path": "/h2", "host": "b.example", "status_code": 201, "response_schema": '{"b":"str"}'},
+        {"method": "POST", "raw_path": "/pkg.S/M", "request_size": 9, "grpc_service": "pkg.S", "grpc_method": "M"},
+        {"method": "POST", "grpc_method": "M"}, tool, {"method": "POST", "raw_path": "/mcp/unknown"}, {"method": "POST", "raw_path": "/mcp/None"},
+        tool | {"method": "GET", "raw_path": "/own", "host": "c.example"}, {"method": "PUT", "raw_path": "/h2", "host": "b.example", "status_code": 201, "response_schema": '{"b":"str"}'}, {},
+    ]
