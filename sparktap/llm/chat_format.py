@@ -7,8 +7,11 @@ stands for. A control string inside a text gets a backslash (`<\/turn>`, `###\ A
 has backslashes there already gets one more, so it never occurs in a content and taking one backslash away restores it.
 The loss mask lists the spans, in code points, of assistant content.
 
+Text parts that stand side by side are one text: they are joined, then escaped, so a control string whose halves come
+from two parts is escaped as any other.
+
 Defined results: a null text is empty; a null role is the empty role; a null part list has no parts; an unknown part
-type is shown as a document. Turns with the same number are ordered by role, then text; null turns come first. A
+type, and a null part, is shown as a document; null units count as one. Turns with the same number are ordered by role, then text; null turns come first. A
 conversation is one output string, so its turns meet in one row; they are gathered map-side first, and the size of that
 row is the size of the asked-for output.
 """
@@ -80,9 +83,18 @@ def format_chats(turns: DataFrame, conv="conv_id", turn="turn", role="role", par
     whole = whole.withColumn("before", running(F.transform("turns", count)))
 
     def content(t: Column, first: Column) -> Column:
-        rank = lambda i: F.size(F.filter(F.slice(t["parts"], 1, i + 1), lambda p: ~_is_text(p)))
-        shown = F.transform(t["parts"], lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit(":"), (first + rank(i)).cast("string"), F.lit("|>"))))
-        return F.array_join(shown, "")
+        """Neighbouring texts are joined before they are escaped, so no control string arises where two of them meet."""
+        shut = lambda a: F.concat(a["shown"], F.array(escape(a["open"])))
+
+        def visit(a: Column, p: Column) -> Column:
+            number = a["n"] + 1
+            mark = F.concat(F.lit("<|"), _kind(p), F.lit(":"), (first + number).cast("string"), F.lit("|>"))
+            text = F.struct(a["n"].alias("n"), a["shown"].alias("shown"), F.concat(a["open"], F.coalesce(p["text"], F.lit(""))).alias("open"))
+            other = F.struct(number.alias("n"), F.concat(shut(a), F.array(mark)).alias("shown"), F.lit("").alias("open"))
+            return F.when(_is_text(p), text).otherwise(other)
+
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("shown"), F.lit("").alias("open"))
+        return F.aggregate(t["parts"], start, visit, lambda a: F.array_join(shut(a), ""))
 
     whole = whole.withColumn("seen", F.zip_with("turns", "before", lambda t, b: F.struct(t["role"].alias("role"), F.concat(F.lit("### "), show_role(t["role"]), F.lit(": ")).alias("head"), content(t, b).alias("content"))))
     lengths = F.transform("seen", lambda s: F.char_length(s["head"]) + F.char_length(s["content"]) + F.lit(len(END) + 1))
