@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,34 +36,88 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A folder of our own is made on a local master only,
+    where all tasks run on this machine; elsewhere a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="sparktap-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables written and not released yet, of each application, in the order of their making.
+_tables: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The table stays until release() or the end of a temporary_tables() block around it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no plan reads any more. What isn't such a table is passed over."""
+    for t in tables:
+        path = getattr(t, "table_path", None)
+        if path is None:
+            continue
+        mine = _tables.get(t.sparkSession.sparkContext.applicationId, [])
+        if path in mine:
+            mine.remove(path)
+            _delete(t.sparkSession, path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """On leaving, deletes all tables materialised inside but those passed to the function that it gives.
+
+    For callers that write an operator's result: `with temporary_tables(spark): near_duplicates(docs).write...`.
+    """
+    mine = _tables.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(mine), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.table_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [x for x in mine if x not in before and x not in kept]:
+            mine.remove(path)
+            _delete(spark, path)
 
 
 _shipped: set[str] = set()
 
 
-#: Rows of an Arrow batch where the session has Spark's default of 10000: long texts make such batches large on both sides.
-ARROW_ROWS = "1024"
+#: Bytes of an Arrow batch where the session has no setting of its own: Spark's 64 MB is large for Python's objects.
+ARROW_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, and keep Arrow batches small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, ARROW_ROWS)
+    """Send this package to the executors, once for each application. A setting that the caller made stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
