@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
 }

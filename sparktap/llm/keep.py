@@ -15,4 +15,4 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The documents, with all their columns, whose id isn't in ids (one column); a null id stays."""
     gone = materialise(ids.toDF("__gone").where(F.col("__gone").isNotNull()).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")

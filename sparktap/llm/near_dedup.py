@@ -7,8 +7,9 @@ BANDS follow from the threshold, so that a pair at the threshold is missed with
 Documents with equal shingle sets are one vertex, so copies are never paired. Within a bucket a leader is compared with
 each member; linked members are joined, and only members of different components are compared further. First more
 leaders are tried while that settles much, then all pairs of members that are still apart, whatever their number, whose
-sketches (a bit of each signature value) allow the threshold; at the threshold they rule out a pair in a million. So a
-group of near copies isn't expanded into its pairs. Every link is confirmed on the full sets.
+sketches (two bits of each signature value) allow the threshold; at the threshold they rule out a pair in a million, and
+sketch=False leaves them out. So a group of near copies isn't expanded into its pairs. The pairs of a large bucket are
+compared in blocks, so that no task holds the bucket. Every link is confirmed on the full sets.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component. A row whose id is
 null has a null component and is kept. Rows that repeat an id are one vertex, with the links of each of its texts.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from sparktap.llm import spans
 from sparktap.llm.components import components
 from sparktap.llm.keep import BROADCAST_IDS, without
-from sparktap.session import materialise, ship
+from sparktap.session import materialise, release, ship
 
 ROWS = 8
 MISS = 1e-6
@@ -35,23 +36,32 @@ WIDTH = 5
 #: Standard deviations by which a pair's sketch may stray from the threshold before the pair is left out; a pair at the
 #: threshold strays further with probability 1e-6.
 STRAY = 4.9
-#: Bits of a sketch, one of each signature value; the bands take the first of these values.
-SKETCH = 1024
+#: Bits of a sketch for each signature value.
+SKETCH = 2
+#: Members of a bucket that are compared with as many others in one group of a join.
+BLOCK = 1024
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def most_unlike(similarity: float, n: int) -> int:
-    """Bits in which sketches of n bits may differ: each does with chance (1 - similarity) / 2."""
-    p = (1 - similarity) / 2
-    return math.ceil(n * p + STRAY * math.sqrt(n * p * (1 - p)))
+def most_unlike(similarity: float, values: int) -> int:
+    """Bits in which sketches of so many values may differ: a value differs with chance 1 - similarity, and then each of
+    its bits with chance 1/2."""
+    apart = values * (1 - similarity)
+    spread = apart * similarity * (SKETCH / 2) ** 2 + apart * SKETCH / 4
+    return math.ceil(apart * SKETCH / 2 + STRAY * math.sqrt(spread))
+
+
+def sketch_words(n_bands: int, rows: int = ROWS) -> int:
+    return -(-n_bands * rows * SKETCH // 64)
 
 
 def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (texts x bands) of texts with at least one run, and sketches (texts x words): a bit of each value."""
-    perms = max(SKETCH // 2, (n_bands * rows + 1) // 2)
+    """Band hashes (texts x bands) of texts with at least one run, and sketches (texts x words): two bits of each value."""
+    used = n_bands * rows
+    perms = (used + 1) // 2
     masks, factors = spans.seeds(perms, 1), spans.seeds(perms, 2) | spans.U(1)
     starts = bounds[:-1]
     values = np.empty((2 * perms, len(starts)), spans.U)
@@ -65,9 +75,11 @@ def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = R
         for i in range(rows):
             acc = spans.mix(acc * spans.U(spans.BASE) + values[b * rows + i])
         out[:, b] = acc
-    bits = np.empty((SKETCH, len(starts)), np.uint8)
-    for k in range(SKETCH):
-        bits[k] = spans.mix(values[k]) & spans.U(1)
+    bits = np.zeros((64 * sketch_words(n_bands, rows), len(starts)), np.uint8)
+    for k in range(used):
+        mixed = spans.mix(values[k])
+        for j in range(SKETCH):
+            bits[SKETCH * k + j] = mixed >> spans.U(j) & spans.U(1)
     return out, np.packbits(bits, axis=0).T.copy().view(spans.U)
 
 
@@ -83,7 +95,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _sign(n_bands: int, width: int):
-    width_s = SKETCH // 64
+    width_s = sketch_words(n_bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans.slices(batches):
@@ -122,59 +134,90 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(b, "b").join(a, "a").where(den * both >= num * union).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = WIDTH) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept. Linked: den * intersection >= num * union."""
+def _blocks(rows: DataFrame, minor: bool, cols: list) -> DataFrame:
+    """A bucket's members dealt into blocks: each of the minor ones has a row of blocks, each member a column of them."""
+    count = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), count).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), count - 1))
+    at = (own.alias("i"), all_.alias("j")) if minor else (all_.alias("i"), own.alias("j"))
+    return rows.select("key", *at, *cols)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, sketch: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept. Linked: den * intersection >= num * union.
+
+    sketch: whether sketches rule out pairs before they are confirmed; without them all pairs that still count are.
+    """
     spark = docs.sparkSession
     ship(spark)
     n_bands = bands_for(num / den)
+    words = range(sketch_words(n_bands))
     id_type = docs.schema[id_col].dataType.simpleString()
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(bare.mapInArrow(_sign(n_bands, width), f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"), "signed")
-    classes = materialise(signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
+    signed = materialise(bare.mapInArrow(_sign(n_bands, width), shown), "signed")
+    own = signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n")
+    classes = own.agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes, "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    stats = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", F.col("low").alias("lead"))
+    stats = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    stats = stats.where("low < high").select("key", F.col("low").alias("lead"))
     shared = materialise(members.join(stats, "key"), "shared")
-    lead = lambda d: d.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     involved = materialise(shared.select(F.col("rep").alias("id")).distinct(), "involved")
     few = involved.count() <= BROADCAST_IDS
-    sets = materialise(bare.join(F.broadcast(involved) if few else involved, "id", "left_semi").mapInArrow(_sets(width), f"id {id_type}, runs array<long>"), "sets")
-    pairs = materialise(lead(shared), "pairs")
-    edges = materialise(_confirm(pairs, sets, num, den), "edges")
-    tested = pairs
-    words = range(SKETCH // 64)
-    sketches = classes.select(F.col("rep").alias("of"), "bands", *[F.col("sketch")[i].alias(f"w{i}") for i in words])
-    unlike = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in words), F.lit(0))
+    some = bare.join(F.broadcast(involved) if few else involved, "id", "left_semi")
+    sets = materialise(some.mapInArrow(_sets(width), f"id {id_type}, runs array<long>"), "sets")
+    first = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = materialise(first, "pairs")
+    links = materialise(_confirm(tested, sets, num, den), "links")
+    labels = components(links)
+    release(links, involved)
+    spare = classes.select(F.col("rep").alias("of"), "bands", *[F.col("sketch")[i].alias(f"w{i}") for i in words])
+    fits = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    if sketch:
+        unlike = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in words), F.lit(0))
+        fits = fits & (unlike <= most_unlike(num / den, n_bands * ROWS))
     before = None
     while True:
-        labels = components(edges)
-        at = shared.join(labels, shared["rep"] == labels["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(before or 0)).alias("h"), "rep")).alias("lead"))
-        mixed = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "lead")).alias("most"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("most.c < c")
-        mixed = mixed.select("key", F.col("most.comp").alias("most"), F.col("most.lead.rep").alias("lead"), ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("cross"))
+        at = shared.join(labels, shared["rep"] == labels["id"], "left")
+        at = at.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        lead = F.min(F.struct(F.xxhash64("rep", F.lit(before or 0)).alias("h"), "rep")).alias("lead")
+        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), lead)
+        most = F.max(F.struct("c", "comp", "lead")).alias("most")
+        mixed = parts.groupBy("key").agg(most, F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("most.c < c")
+        cross = (F.col("c") * F.col("c") - F.col("squares")) / 2
+        mixed = mixed.select("key", F.col("most.comp").alias("most"), F.col("most.lead.rep").alias("lead"), cross.alias("cross"), "c")
         open_ = materialise(at.join(mixed, "key"), "open")
-        size = open_.groupBy("key").agg(F.first("cross").alias("cross"), F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
+        each = open_.groupBy("key").agg(F.first("cross").alias("cross"), F.first("c").alias("c"))
+        size = each.agg(F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
         if not size["rows"]:
             break
-        minor = open_.where("comp <> most")
+        minor = F.col("comp") != F.col("most")
         last = size["cross"] <= 4 * size["rows"] or (before is not None and size["cross"] > 0.7 * before)
+        drawn = None
         if last:
-            side = lambda d, s: d.select("key", F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), F.col("bands").alias("b" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words])
-            drawn = materialise(open_.join(sketches, F.col("rep") == F.col("of")), "drawn")
-            near = (F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny")) & (unlike <= most_unlike(num / den, SKETCH))
-            near = near & (F.array_min(F.array_intersect("bx", "by")) == F.col("key"))  # a pair counts in its first common bucket only
-            new = side(drawn.where("comp <> most"), "x").join(side(drawn, "y"), "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            drawn = materialise(open_.join(spare, F.col("rep") == F.col("of")), "drawn")
+            cols = lambda s: [F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), F.col("bands").alias("b" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words]]
+            # A pair counts in its first common bucket only.
+            near = (F.col("cx") != F.col("cy")) & fits & (F.array_min(F.array_intersect("bx", "by")) == F.col("key"))
+            new = _blocks(drawn.where(minor), True, cols("x")).join(_blocks(drawn, False, cols("y")), ["key", "i", "j"])
+            new = new.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:
-            new = minor.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).where("a <> b")
+            new = open_.where(minor).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).where("a <> b")
         new = materialise(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_confirm(new, sets, num, den), "edges")
-        edges, tested, before = edges.union(more), tested.union(new), size["cross"]
+        links = materialise(_confirm(new, sets, num, den), "links")
+        # Earlier links are in the labels already.
+        joined = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        release(labels, links, open_, drawn)
+        labels, before = joined, size["cross"]
         if last:
-            labels = components(edges)
             break
-    named = classes.select("h1", "h2", "n", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    named = named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), "component_id")
-    out = signed.join(named, (signed["h1"] == named["k1"]) & (signed["h2"] == named["k2"]) & (signed["n"] == named["kn"]) & signed["id"].isNotNull(), "left")
+        tested = materialise(tested.union(new), "tested")
+    release(shared, sets)
+    named = classes.join(labels, F.col("rep") == F.col("id"), "left")
+    named = named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "rep").alias("component_id"))
+    same = (signed["h1"] == named["k1"]) & (signed["h2"] == named["k2"]) & (signed["n"] == named["kn"]) & signed["id"].isNotNull()
+    out = signed.join(named, same, "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
@@ -186,3 +229,27 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), num=85, den=100)
+
+
+#: The links from all pairs that share a shingle, and their transitive closure; for small tables.
+SQL = r"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS sh FROM n
+), x AS (
+  SELECT doc_id, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT p.a, p.b FROM p JOIN s sa ON sa.doc_id = p.a JOIN s sb ON sb.doc_id = p.b WHERE 100 * c >= 85 * (len(sa.sh) + len(sb.sh) - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.doc_id = s.doc_id
+"""

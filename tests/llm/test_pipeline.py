@@ -1,44 +1,16 @@
 import re
 from collections import defaultdict
 
-import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from sparktap.llm.near_dedup import near_duplicates
 from sparktap.session import materialise
 
-UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def shingles(text):
-    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").translate(UP).encode())
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def groups(texts, num):
-    sets = {i: shingles(t) for i, t in texts.items()}
-    parent = {i: i for i in sets}
+from tests.llm.brute import groups
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    by = defaultdict(list)
-    for i in sorted(sets):
-        seen = defaultdict(int)
-        for s in sets[i]:
-            for j in by[s]:
-                seen[j] += 1
-            by[s].append(i)
-        for j, n in seen.items():
-            if 100 * n >= num * (len(sets[i]) + len(sets[j]) - n):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def rows(df):
@@ -91,31 +63,3 @@ def test_packing_stage(stages):
     for r in stages[5].collect():
         got[r.doc_id] += r.length
     assert got == want
-
-
-def test_near_duplicates_against_brute_force(spark, sf_mid):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_mid}/documents.parquet").collect()}
-    comp, n = groups(texts, 85)
-    for i, r in rows(near_duplicates(spark.read.parquet(f"{sf_mid}/documents.parquet"), num=85)).items():
-        assert (r.n_shingles, r.component_id, r.kept) == (n[i], comp[i], comp[i] == i)
-
-
-def test_near_duplicates_of_a_chain_and_odd_rows(spark):
-    rng = np.random.default_rng(2)
-    base = [f"w{k}" for k in range(300)]
-    texts, now = [], list(base)
-    for k in range(60):  # each like the last, the ends unlike
-        now[rng.integers(0, 300)] = f"x{k}"
-        texts.append(" ".join(now))
-    texts += ["", None, "one two", "ONE  two", "one two three", texts[3].upper(), "w " * 3000]
-    data = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 2), (3, texts[3], 3)]
-    d = spark.createDataFrame(data, "doc_id long, text string, component_id int")
-    comp, n = groups({i: t for i, t, _ in data if i is not None}, 85)
-    out = near_duplicates(d, num=85).collect()
-    assert len(out) == len(data)
-    for r in out:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id) == (n[r.doc_id], comp[r.doc_id])
-    assert near_duplicates(d.limit(0)).count() == 0
