@@ -13,6 +13,7 @@ text with a letter is of it. A null language teaches nothing; rows that repeat a
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ BITS = 13
 GRAMS = (2, 3, 4)
 WINDOW = 60
 AMBIGUOUS = 0.15
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character that may be a letter; numbers such as a half are sorted out by their category.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: What isn't a letter of a word becomes a space.
 PLAIN = np.array([b if chr(b).isascii() and chr(b).isalpha() or b >= 0x80 else 32 for b in range(256)], np.uint8)
 
@@ -79,6 +81,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())], names=["lang", "v"])
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode category L occurs."""
+    return bool(text) and any(unicodedata.category(m[0])[0] == "L" for m in _WORDLIKE.finditer(text))
+
+
 def window_start(text: str) -> int:
     """Where a text's training window starts: a place that its length and first characters fix."""
     room = max(len(text) - WINDOW, 0)
@@ -116,7 +123,7 @@ def predict(texts: list[str | None], model: dict | None) -> tuple[list[str], np.
     score, unclear, names = np.zeros(len(texts)), np.zeros(len(texts), bool), ["und"] * len(texts)
     if model is None:
         return names, score, unclear
-    some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    some = [i for i, t in enumerate(texts) if has_letter(t)]
     for low, high, x in vectors([texts[i] for i in some]):
         if len(model["langs"]) == 1:
             chance = np.ones((high - low, 1))

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Classes up to this number are broadcast with their counts; above it they are joined by shuffle.
+BROADCAST_CLASSES = 10_000
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
@@ -75,11 +79,14 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 def sample_by_class(rows: DataFrame, class_col: str, id_col: str, most: int, in_all: int) -> DataFrame:
     """About `most` rows of each class, fewer where there are many classes, chosen by a hash of the id.
 
-    The classes are counted over all rows; a row's chance is the bound over its class's count.
+    The classes are counted over all rows; a row's chance is the bound over its class's count. Rows without a class are
+    left out; without classes there are no rows. Of many classes each keeps a row at least, by chance.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(1000).collect()}
-    if not counts:
-        return rows.limit(0)
-    bound = max(1, min(most, in_all // len(counts)))
-    chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, bound / n) * (1 << 30)))])[F.col(class_col)]
-    return rows.where(F.col(class_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < chance))
+    known = rows.where(F.col(class_col).isNotNull())
+    counts = known.groupBy(F.col(class_col).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    n_classes = counts.count()
+    bound = max(1, min(most, in_all // max(1, n_classes)))
+    chance = (F.least(F.lit(1.0), bound / F.col("__n")) * (1 << 30)).cast("long")
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
+    table = F.broadcast(counts) if n_classes <= BROADCAST_CLASSES else counts
+    return known.join(table, F.col(class_col) == F.col("__class")).where(drawn < chance).drop("__class", "__n")
