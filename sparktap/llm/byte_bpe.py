@@ -94,6 +94,9 @@ class Encoder:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        #: Bytes of each token.
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
+        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
         self.one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._forget()
 
