@@ -36,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, in sequences of at most 2048 tokens."""
-    return packing.digest(packing.pack(docs))
+    return packing.digest(packing.pack(docs, loss=packing.answer_spans(F.col("text"))))
 
 
 STAGES = [
