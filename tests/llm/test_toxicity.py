@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
 
-from sparktap.llm import linear, toxicity
+from sparktap.llm import linear, spans, toxicity
 
 
 def test_held_out_accuracy(spark):
@@ -13,15 +15,132 @@ def test_held_out_accuracy(spark):
     assert hits >= 0.8 * toxic and sum(b for _, b in held) - hits <= 0.02 * len(held)
 
 
-def test_label_model_finds_noise_and_correlation():
-    rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    votes = np.column_stack([np.where(rng.random(4000) < 0.8, y, rng.random(4000) < 0.05) for _ in range(6)])
-    votes = np.column_stack([votes, votes[:, 0], votes[:, 0], ~votes.any(1)]).astype(int)
-    given = np.where(rng.random(4000) < 0.1, ~y, y).astype(int)
-    post, stats = toxicity.label_model(votes, given, 0.3)
-    assert ((post > 0.5) == y).mean() > (given == y).mean()
-    assert stats["weight"][0] < stats["weight"][1] < 1
+def gold(votes, share, given):
+    return np.where(given == 1, 1.0, 0.0)
+
+
+def test_labels_come_from_the_voters(spark):
+    """Gold labels in place of the posteriors give another result, and a worse one on rows that were held out."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    held = docs.where(linear.held_out("doc_id", 5, 0))
+    out = {}
+    for name, other in (("model", None), ("gold", gold)):
+        model = toxicity.train(docs, labels, posteriors=other)
+        out[name] = {r.doc_id: int(r.score >= 0.5) for r in toxicity.score(held, model).collect() if known.get(r.doc_id) is not None}
+    hits = {k: sum(p == known[i] for i, p in v.items()) for k, v in out.items()}
+    assert out["model"] != out["gold"] and hits["model"] > hits["gold"]
+
+
+def planted(n=6000, share=0.2, seed=0):
+    """Texts of two kinds of toxicity, each with eight voters of known accuracy; two voters are copies of another."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < share
+    kind = rng.integers(0, 2, n)
+    fire = np.array([[0.5, 0.6, 0.4, 0.7, 0.5, 0.6, 0.4, 0.5]] * 2)
+    votes = np.zeros((n, 16), int)
+    for k in range(2):
+        on = (y & (kind == k))[:, None]
+        votes[:, 8 * k : 8 * k + 8] = rng.random((n, 8)) < np.where(on, fire[k], 0.01)
+    return np.column_stack([votes, votes[:, 0], votes[:, 0]]), y, kind, fire
+
+
+def test_label_model_finds_accuracies_without_labels():
+    votes, y, kind, fire = planted()
+    states, found = toxicity.label_model(votes)
+    assert states.shape[1] == 3 and abs(found["share"][1:].sum() - 0.2) < 0.02
+    assert ((states[:, 1:].sum(1) > 0.5) == y).mean() > 0.98
+    for k in range(2):
+        own = found["accuracy"][1:, 8 * k : 8 * k + 8]
+        assert np.abs(own[own.sum(1).argmax()] - fire[k]).max() < 0.1
+    assert np.abs(found["accuracy"][0] - 0.01).max() < 0.01
+
+
+def test_copies_of_a_voter_hang_together_and_count_once():
+    votes, y, _, _ = planted()
+    states, found = toxicity.label_model(votes)
+    tied = {(i, int(p)) for i, p in enumerate(found["parent"]) if p >= 0}
+    group = {0, 16, 17}
+    assert sum(a in group and b in group for a, b in tied) == 2 and len(tied) <= 4
+    few = votes.sum(1) == 3  # nothing but the copied voter fires in these
+    few &= votes[:, 0] == 1
+    alone = toxicity.posterior(votes.astype(float), np.full(18, -1), toxicity.chances(votes.astype(float), states, np.full(18, -1)), found["share"])
+    assert states[few, 1:].sum(1).max() < 0.5 < alone[few, 1:].sum(1).min()
+
+
+def test_posterior_against_plain_python():
+    """Every factor of the model, text by text."""
+    rng = np.random.default_rng(4)
+    votes = (rng.random((50, 6)) < 0.4).astype(float)
+    states = rng.dirichlet([1, 1, 1], 50)
+    parent = np.array([-1, 0, 0, 2, -1, 4])
+    chance = toxicity.chances(votes, states, parent)
+    share = np.array([0.5, 0.3, 0.2])
+    got = toxicity.posterior(votes, parent, chance, share)
+    for t in range(50):
+        odds = []
+        for k in range(3):
+            p = share[k]
+            for i in range(6):
+                on = int(parent[i] >= 0 and votes[t, parent[i]])
+                rows = [r for r in range(50) if int(parent[i] >= 0 and votes[r, parent[i]]) == on]
+                prior = (sum(states[r, k] * votes[r, i] for r in range(50)) + 1) / (sum(states[:, k]) + 2)
+                c = (sum(states[r, k] * votes[r, i] for r in rows) + 2 * prior) / (sum(states[r, k] for r in rows) + 2)
+                p *= c if votes[t, i] else 1 - c
+            odds.append(p)
+        assert np.allclose(got[t], np.array(odds) / sum(odds))
+
+
+def test_scores_against_plain_python(spark, sf_small):
+    """Each text's words and beginnings by a dictionary, for words of letters."""
+    docs, labels = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "IDIOT! idiots 12", "é ÀB c"]
+    at = {int(c): float(w) for c, w in zip(model["columns"], model["weights"])}
+    got = toxicity.scores(texts, model)
+    for text, score in zip(texts, got):
+        small = text.lower().encode()
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", small)
+        counts = {}
+        for w in words:
+            for k, part in enumerate([w, *[w[:n] for n in toxicity.BEGINNINGS if len(w) >= n]]):
+                h = plain_hash(part)
+                if k:
+                    h = plain_mix((h + toxicity.BEGINNINGS.index(len(part)) + 1) & M)
+                col = h >> (64 - toxicity.BITS)
+                counts[col] = counts.get(col, 0) + 1
+        z = sum(at.get(c, 0.0) * np.log1p(200 * n / (len(words) + 100)) for c, n in counts.items()) + model["bias"]
+        kinds = [sum(c.isascii() and c.isupper() for c in text), sum(c in "!?" for c in text), sum(c in "0123456789" for c in text)]
+        kinds += [sum(c.isascii() and c.isprintable() and not c.isalnum() and c not in " !?" for c in text), text.count("\n")]
+        shown = [n / max(1, len(text.encode())) for n in kinds] + [1 / (1 + len(words) / 20)]
+        z += float(np.dot(shown, model["patterns"]))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def plain_hash(part):
+    total = sum((b + 1) * pow(spans.BASE, i, 1 << 64) for i, b in enumerate(part))
+    return plain_mix((total + len(part) * 0xD6E8FEB86659FD93) & M)
+
+
+def test_an_id_with_two_labels_has_the_larger(spark):
+    docs = spark.createDataFrame([(i, "vile word " if i % 2 else "fine word ") for i in range(60)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    once = spark.createDataFrame(labels, "doc_id long, toxic int")
+    twice = spark.createDataFrame([(i, 0) for i, _ in labels] + labels, "doc_id long, toxic int").repartition(7)
+    score = lambda x: {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, x)).collect()}
+    assert score(once) == score(twice)
 
 
 def test_nulls_without_labels_and_columns(spark):
