@@ -32,6 +32,8 @@ LEAST_PAGES = 5
 #: Low nodes up to this number are broadcast (16 bytes and the host's name each), if no host has more than MOST_OF_HOST.
 BROADCAST_NODES = 200_000
 MOST_OF_HOST = 2000
+#: Parts of a host's pages in the join beyond the broadcast.
+DEAL = 64
 
 # Fixed values of HTML and of common mark-up.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,8 +232,12 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
 
-def importance(rows: DataFrame) -> DataFrame:
-    """Rows (host, path, importance, pages) from rows (host, path, fixed, layout, content), one for each page and path."""
+def importance(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Rows (host, path, importance, pages) from rows (host, path, fixed, layout, content), one for each page and path.
+
+    A node's importance is the mean of two entropies over the host's pages that have it, each as a share of the largest
+    one possible: of its layouts and of its contents. On fewer than `least_pages` pages there is too little to compare.
+    """
     parts = rows.select("host", "path", "fixed", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("layout").alias("v")), F.struct(F.lit(1).alias("k"), F.col("content").alias("v")))).alias("x"))
     each = parts.groupBy("host", "path", "x.k", "x.v").agg(F.count(F.lit(1)).alias("c"), F.max("fixed").alias("most"), F.min(F.when(F.col("fixed") >= 0, F.col("fixed"))).alias("least"))
     c = F.col("c").cast("double")
@@ -239,11 +245,16 @@ def importance(rows: DataFrame) -> DataFrame:
     m = F.col("m").cast("double")
     entropy = F.when(F.col("m") > 1, (F.log(m) - F.col("s") / m) / F.log(m)).otherwise(1.0)
     nodes = kinds.groupBy("host", "path").agg(F.avg(entropy).alias("entropy"), F.max("m").alias("pages"), F.max("most").alias("most"), F.min("least").alias("least"))
-    return nodes.select("host", "path", F.when(F.col("most") == 1, 1.0).when(F.col("least") == 0, 0.0).when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(F.col("entropy")).alias("importance"), "pages")
+    return nodes.select("host", "path", F.when(F.col("most") == 1, 1.0).when(F.col("least") == 0, 0.0).when(F.col("pages") < least_pages, 1.0).otherwise(F.col("entropy")).alias("importance"), "pages")
+
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, deal: int = DEAL) -> DataFrame:
+    """Rows (id, url, text) of all pages.
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """Rows (id, url, text) of all pages."""
+    least_importance: nodes below it are cut. least_pages: pages of a host on which a node occurs before its entropies
+    count; beyond the largest host's, mark-up alone decides. deal: parts that a host's low nodes are dealt into where they
+    are too many for a broadcast, so that no path of a giant host meets all its pages in one task.
+    """
     ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     bare = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col(html_col).alias("html"))
@@ -252,13 +263,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # Pages of a host with the same html say nothing about each other: they count once.
     once = bare.groupBy("host", F.xxhash64("html").alias("h")).agg(F.min("name").alias("name")).select("name")
     counted = nodes.join(once, "name", "left_semi").dropDuplicates(["name", "path"])
-    low = materialise(importance(counted).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path"), "low")
+    low = materialise(importance(counted, least_pages).where(F.col("importance") < least_importance).select("host", "path"), "low")
     by_host = low.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
     if by_host["n"] <= broadcast_nodes and by_host["most"] <= MOST_OF_HOST:
         cuts = low.groupBy("host").agg(F.collect_set("path").alias("low"))
         joined = bare.join(F.broadcast(cuts), "host", "left")
     else:
-        cuts = nodes.select("host", "name", "path").distinct().join(low, ["host", "path"]).groupBy("name").agg(F.collect_set("path").alias("low"))
+        dealt = low.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("part"))
+        mine = nodes.select("host", "name", "path", F.pmod("name", F.lit(deal)).cast("int").alias("part")).distinct()
+        cuts = mine.join(dealt, ["host", "path", "part"]).groupBy("name").agg(F.collect_set("path").alias("low"))
         joined = bare.join(cuts, "name", "left")
     out = joined.select("id", "url", "html", "low").mapInArrow(_text_rows, f"id {kind}, url string, text string")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

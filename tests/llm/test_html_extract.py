@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+from collections import Counter
 
 from sparktap.llm import html_extract as H
 
@@ -62,3 +65,73 @@ def test_copies_of_a_page_are_no_template(spark):
     page = "<body><article><h1>Title</h1><p>All copies are alike</p></article></body>"
     d = spark.createDataFrame([(i // 2, f"http://a.example/{i // 2}", page) for i in range(16)], "page_id long, url string, html string")
     assert {r.text for r in H.extract(d).collect()} == {"Title\nAll copies are alike"}
+
+
+def brute_importance(pages):
+    """{host: {path: importance}} by dictionaries, page by page; pages: (host, html)."""
+    seen, rows = set(), {}
+    for host, page in pages:
+        if (host, page) in seen:
+            continue
+        seen.add((host, page))
+        for path, fixed, layout, content in H.styles(page):
+            rows.setdefault((host, path), []).append((fixed, layout, content))
+    out = {}
+    for (host, path), found in rows.items():
+        fixed = [f for f, _, _ in found]
+        if 1 in fixed:
+            value = 1.0
+        elif 0 in fixed:
+            value = 0.0
+        elif len(found) < H.LEAST_PAGES:
+            value = 1.0
+        else:
+            parts = []
+            for k in (1, 2):
+                shares = [n / len(found) for n in Counter(x[k] for x in found).values()]
+                parts.append(-sum(p * math.log(p) for p in shares) / math.log(len(found)))
+            value = sum(parts) / 2
+        out.setdefault(host, {})[path] = value
+    return out
+
+
+#: No article, no telling names: only what pages of a host have in common tells what is template.
+SILENT = "<body><div class=a1><span>Shop of {host}</span><ul><li>Home<li>About us</ul></div><div class=b2><h2>Story {n}</h2><p>Text {n} of {host}</p>{more}</div><div class=c3>{box}</div><div class=d4>All rights reserved</div></body>"
+
+
+def silent_pages():
+    rng = random.Random(3)
+    for host in ("one.example", "two.example", "few.example"):
+        for n in range(3 if host.startswith("few") else 30):
+            more = f"<p>More {rng.random()}</p>" * rng.randint(0, 3)
+            yield f"http://{host}/{n}", SILENT.format(host=host, n=n, more=more, box="Offer of the day" if n % 10 else f"Offer {n}")
+
+
+def test_importance_and_texts_against_brute_force(spark, sf_small):
+    real = [(r.url, r.html) for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
+    pages = [*silent_pages(), *real]
+    host = lambda u: re.match("[a-z]+://([^/?#]*)", u)[1].lower()
+    known = brute_importance([(host(u), p) for u, p in pages])
+    want = [H.main_text(p, {x for x, v in known[host(u)].items() if v < H.LEAST_IMPORTANCE}) for u, p in pages]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for limit in (H.BROADCAST_NODES, 0):
+        got = {r.page_id: r.text for r in H.extract(d, broadcast_nodes=limit).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_without_entropy_other_texts_come_out(spark):
+    pages = list(silent_pages())
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    on = {r.page_id: r.text for r in H.extract(d).collect()}
+    off = {r.page_id: r.text for r in H.extract(d, least_pages=1 << 40).collect()}
+    differ = [i for i in on if on[i] != off[i]]
+    assert len(differ) == 60 and all("few." in pages[i][0] for i in set(on) - set(differ))
+    assert all(on[i].startswith("Story") and "rights" not in on[i] and "About us" in off[i] for i in differ)
+
+
+def test_long_pages_and_repeated_ids(spark):
+    long = "<article>" + "<div>" * 2000 + "<p>word </p>" * 50_000 + "</div>" * 2000 + "</article>"
+    d = spark.createDataFrame([(1, "http://a.example/1", long), (1, "http://a.example/1", "<article>other</article>"), (None, None, "<p>x")], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, len(r.text)) for r in H.extract(d).collect())
+    assert got == [(0, 1), (1, 5), (1, 50_000 * 5 - 1)]
+    assert H.extract(d.limit(0)).count() == 0
