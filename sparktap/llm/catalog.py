@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE = {
+    "op3_secret_scan": secret_scan.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_chat_format": chat_format.SQL,

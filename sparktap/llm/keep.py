@@ -1,4 +1,4 @@
-"""Taking rows away by id without moving texts where the ids are few."""
+"""Joins that keep texts and hot keys where they are: rows taken away by id, and rows named by key."""
 
 from __future__ import annotations
 
@@ -16,3 +16,16 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     gone = materialise(ids.toDF("__gone").where(F.col("__gone").isNotNull()).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """The rows with the columns of `named`, which has one row for each key and how often the key is used.
+
+    A key with over a thousandth of all uses (and over 1000) is hot: there are 1000 such keys at most, so they are
+    broadcast and their rows stay where they are. All others are joined by shuffle.
+    """
+    hot = F.col(uses) > max(1000, total // 1000)
+    few, many = named.where(hot).drop(uses), named.where(~hot).drop(uses)
+    by_few = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return by_few.unionByName(rest.join(many, key))

@@ -14,10 +14,13 @@ id are scanned each. Only the named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.llm.arrays import running
+from sparktap.llm.keep import join_named
 from sparktap.session import materialise
 
 #: The base kinds in order, with pattern, the group that is the value, and its least length.
@@ -29,6 +32,13 @@ BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|test|x{4}|0{6}|123456|abcdef"
 WIDE_OWNERS = 3
 LEAST_DISTINCT = 8
+#: What a text holds at least where a pattern can match, cheaper to look for than the pattern: any of these words in small
+#: letters, or as they stand, or a run of so many characters.
+WORDS = ("passw", "secret", "token", "apikey", "api_key")
+LONG = r"[A-Za-z0-9+/_=-]{20}"
+#: Documents with live credentials, and spans of these, that are broadcast at most; beyond that texts are joined by shuffle.
+BROADCAST_HITS = 100_000
+BROADCAST_SPANS = 1_000_000
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,key:string,live:boolean>>"
 
 
@@ -37,6 +47,14 @@ def looks_live(value: Column) -> Column:
     return (distinct >= LEAST_DISTINCT) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
 
+def may_match(text: Column, kind: str) -> Column:
+    """False only where the kind's pattern has no match."""
+    if kind == "assign":
+        small = F.lower(text)
+        return reduce(lambda a, b: a | b, (F.contains(small, F.lit(w)) for w in WORDS))
+    return F.contains(text, F.lit("AKIA")) if kind == "access" else text.rlike(LONG)
+
+
 def find(text: Column, kind: str, kind_no: int, pattern: str, group: int, least: int) -> Column:
     """Spans of one pattern's matches whose value has the least length."""
     between = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
@@ -48,7 +66,7 @@ def find(text: Column, kind: str, kind_no: int, pattern: str, group: int, least:
     raw = F.zip_with(F.zip_with(ends, lengths, lambda e, n: F.struct((e - n).alias("start"), e.alias("end"))), values, lambda s, v: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
     good = F.filter(raw, lambda s: F.char_length(s["value"]) >= least)
     shown = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("key"), looks_live(s["value"]).alias("live")))
-    return F.when(text.rlike(pattern), shown.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(may_match(text, kind) & text.rlike(pattern), shown.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_cols: list[str], repo_cols: list[str]) -> DataFrame:
@@ -63,11 +81,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_cols: list[str
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Rows (key, repos, owners, credential) of all candidate values."""
+    """Rows (key, repos, owners, uses, credential) of all candidate values."""
     each = found.select("owner", "repo", F.explode(F.concat("base", "bare")).alias("s")).select("owner", "repo", F.col("s.key").alias("key"), (F.col("s.kind") != "owned").alias("credential"))
-    by_repo = each.groupBy("key", "owner", "repo").agg(F.max("credential").alias("credential"))
-    by_owner = by_repo.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("repos"), F.max("credential").alias("credential"))
-    return by_owner.groupBy("key").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.max("credential").alias("credential"))
+    by_repo = each.groupBy("key", "owner", "repo").agg(F.count(F.lit(1)).alias("uses"), F.max("credential").alias("credential"))
+    by_owner = by_repo.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("uses").alias("uses"), F.max("credential").alias("credential"))
+    return by_owner.groupBy("key").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.sum("uses").alias("uses"), F.max("credential").alias("credential"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols=("source",), repo_cols=("source", "lang")) -> DataFrame:
@@ -78,8 +96,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     found = materialise(candidates(docs, id_col, text_col, list(owner_cols), list(repo_cols)), "candidates")
     some = found.where("size(base) + size(bare) > 0")
     each = some.select("row", F.explode(F.concat("base", "bare")).alias("s")).select("row", "s.*")
-    owned = ownership(some).where("credential").drop("credential")
-    each = each.join(owned, "key").withColumn("class", F.when(F.col("owners") >= WIDE_OWNERS, "example").when(F.col("live"), "live").otherwise("weak"))
+    owned = materialise(ownership(some).where("credential").drop("credential"), "owned")
+    total = owned.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    each = join_named(each, owned, "key", "uses", total).withColumn("class", F.when(F.col("owners") >= WIDE_OWNERS, "example").when(F.col("live"), "live").otherwise("weak"))
     each = each.where((F.col("kind") != "owned") | (F.col("class") == "live"))
     spans = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind", "class", "owners", "repos"))).alias("spans"))
     kind = spans.schema["spans"].dataType.simpleString()
@@ -102,9 +121,13 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols=("source",), repo_cols=("source", "lang"), mark: str = "[SECRET]") -> DataFrame:
     """The documents, with each live credential's span replaced by the mark; other texts and columns stay as they are."""
-    hits = scan(docs, id_col, text_col, owner_cols, repo_cols).select(F.col(id_col).alias("__id"), F.col("print").alias("__print"), F.transform(F.filter("spans", lambda s: s["class"] == "live"), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))).alias("__cuts")).where("size(__cuts) > 0").distinct()
+    cuts = F.transform(F.filter("spans", lambda s: s["class"] == "live"), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    found = scan(docs, id_col, text_col, owner_cols, repo_cols).select(F.col(id_col).alias("__id"), F.col("print").alias("__print"), cuts.alias("__cuts"))
+    hits = materialise(found.where("size(__cuts) > 0").distinct(), "hits")
+    size = hits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("spans")).first()
+    few = size["n"] <= BROADCAST_HITS and size["spans"] <= BROADCAST_SPANS
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(text) == hits["__print"]), "left")
+    joined = docs.join(F.broadcast(hits) if few else hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(text) == hits["__print"]), "left")
     # Spans come by their start; one that begins inside what is cut already only moves its end.
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(F.col("__t"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))).otherwise(a["out"]).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -115,3 +138,35 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     return report(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _sql_kind(kind: str, no: int, pattern: str, group: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT r, '{kind}' AS kind, {no} AS k, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gaps FROM d"
+
+
+#: The same spans by DuckDB: matches, and the lengths of what lies between them. RE2 needs no look behind: a run's match
+#: starts where the run does.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents
+), m AS (
+  {" UNION ALL ".join(_sql_kind(k, i, p, g) for i, (k, p, g, _) in enumerate((*BASE, ("owned", "[A-Za-z0-9+/_=-]{20,}", 0, 20))))}
+), e AS (
+  SELECT r, kind, k, vs[i] AS v, length(ms[i]) AS n, (list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0))::BIGINT AS a
+  FROM m, unnest(range(1, len(ms) + 1)) AS u(i)
+), f AS (
+  SELECT *, a + n AS z, len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') AS live
+  FROM e WHERE length(v) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 20 END
+), base AS (SELECT * FROM f WHERE kind <> 'owned'
+), bare AS (SELECT * FROM f WHERE kind = 'owned' AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.a < f.z AND f.a < b.z)
+), every AS (SELECT * FROM base UNION ALL SELECT * FROM bare
+), owned AS (SELECT v, count(DISTINCT owner) AS owners, bool_or(kind <> 'owned') AS credential FROM every JOIN d USING (r) GROUP BY v
+), s AS (
+  SELECT r, kind, k, a, z, CASE WHEN owners >= {WIDE_OWNERS} THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS class FROM every JOIN owned USING (v)
+  WHERE credential AND (kind <> 'owned' OR owners < {WIDE_OWNERS})
+)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (kind <> 'owned'), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k), '') AS spans, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id
+"""

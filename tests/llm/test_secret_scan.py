@@ -1,6 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
+
+from sparktap.llm import secret_scan as S
 from sparktap.llm.secret_scan import op3_secret_scan, redact, report, scan
 
 KINDS = (
@@ -61,3 +65,43 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in redact(d).collect()}
     assert out[8] == "later [SECRET] alone, and twice [SECRET]." and out[7] == '[SECRET]"' and out[10] == odd[10] and out[0] is None
     assert redact(d.limit(0)).count() == 0 and redact(d).columns == d.columns
+
+
+def wide_table(n):
+    """Values that three owners or more have, values of two and of one, and one that every text holds."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    value = lambda: "".join(rng.choice(letters, 24))
+    known = [(value(), owners) for owners in (1, 2, 3, 4) for _ in range(10)]
+    common, rows = value(), []
+    for i in range(n):
+        v, owners = known[i % len(known)]
+        said = f"token = {v}" if i < 400 else f"see {v} here"
+        rows.append((i, f"{said} and password={common}", f"src{(i // len(known)) % owners}", "en"))
+    return rows, {v: o for v, o in known}, common
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_owners_decide_on_planted_values(spark, monkeypatch, bound):
+    """2000 texts: a value of WIDE_OWNERS - 1 owners is live wherever it stands, one of WIDE_OWNERS is an example."""
+    monkeypatch.setattr(S, "BROADCAST_HITS", bound)
+    rows, known, common = wide_table(2000)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in S.report(S.scan(d)).collect()}
+    redacted = {r.doc_id: r.text for r in S.redact(d).collect()}
+    for i, text, _, _ in rows:
+        v = next(x for x in known if x in text)
+        live = known[v] < S.WIDE_OWNERS
+        assert (got[i].n_live, got[i].n_assign) == (int(live), 2 if i < 400 else 1)
+        assert got[i].n_example == (1 if live else 2 if i < 400 else 1)
+        assert got[i].spans.count("owned") == int(live and i >= 400)
+        assert (v not in redacted[i]) == live and common in redacted[i]
+
+
+def test_very_long_texts_and_repeated_ids(spark):
+    long = "word " * 400_000 + "token=Zq7wrtyu9opasd2fg " + "x" * 100_000
+    d = spark.createDataFrame([(1, long, "a", "en"), (1, "token=Zq7wrtyu9opasd2fg", "b", "en"), (None, None, None, None), (1, long, "a", "en")], "doc_id long, text string, source string, lang string")
+    spans = sorted(r.spans for r in S.report(S.scan(d)).collect())
+    assert spans == ["", "assign:0:23", "assign:2000000:2000023", "assign:2000000:2000023"]
+    assert sorted((r.text or "").count("[SECRET]") for r in S.redact(d).collect()) == [0, 1, 1, 1]
+    assert S.report(S.scan(d.limit(0))).count() == 0
