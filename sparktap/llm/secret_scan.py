@@ -126,14 +126,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     hits = materialise(found.where("size(__cuts) > 0").distinct(), "hits")
     size = hits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("spans")).first()
     few = size["n"] <= BROADCAST_HITS and size["spans"] <= BROADCAST_SPANS
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, cuts = F.coalesce(docs[text_col], F.lit("")), hits["__cuts"]
     joined = docs.join(F.broadcast(hits) if few else hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(text) == hits["__print"]), "left")
-    # Spans come by their start; one that begins inside what is cut already only moves its end.
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(F.col("__t"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))).otherwise(a["out"]).alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        """Spans come by their start; one that begins inside what is cut already only moves its end."""
+        new = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
+
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("__cuts", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("__t"), a["at"] + 1, F.char_length("__t"))))
-    new = F.when(F.col("__cuts").isNotNull(), cut).otherwise(F.col(text_col))
-    return joined.withColumn("__t", text).withColumn(text_col, new).select(*docs.columns)
+    cut = F.aggregate(cuts, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    new = F.when(cuts.isNotNull(), cut).otherwise(docs[text_col])
+    return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
