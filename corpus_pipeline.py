@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, secret redaction, packing.
 
 Each stage works on all that the one before kept and is written as Parquet, so a lost executor costs a stage's tasks at
-most. Stages but the last return the columns of documents.
+most. Stages but the last return the columns of documents. Near duplicates are those of 0.8 or more on five words (op9's
+own query has a threshold of its own).
+
+Defined results: null and empty texts pass all stages as empty texts, and of them one stays; null ids are kept by the
+stages that go by id, and are packed; ties go as each operator says (the largest id of equal texts, the least of near
+ones). Empty tables give empty tables. Further columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktap.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from sparktap.session import materialise
+from sparktap.session import materialise, release, temporary_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's table is kept until the next one is written; what a stage writes for itself goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with temporary_tables(spark) as keep:
+            docs = keep(materialise(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
