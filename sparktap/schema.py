@@ -16,3 +16,16 @@ PACKET = (
 )
 #: What a protocol may become: the promotion table.
 PROMOTIONS = {UNKNOWN: tuple(range(1, 9)), TLS: (HTTP1_TLS, HTTP2_TLS), HTTP1: (WEBSOCKET, MCP), HTTP2: (GRPC,)}
+SSL_DIRECTIONS = {1: "write", 2: "read"}
+#: TLS-plaintext record: the data follows the header.
+SSL = (
+    ("timestamp_ns", 0, 8, "s"), ("root_pid", 8, 8, "s"), ("pid", 16, 4, "u"), ("tid", 20, 4, "u"), ("uid", 24, 4, "u"), ("direction", 28, 1, "u"), ("truncated", 30, 1, "u"),
+    ("data_len", 32, 4, "u"), ("seq", 36, 4, "u"), ("comm", 40, 16, "text"),
+)
+SSL_BYTES = 56
+#: Process record (i: signed number); the path follows the header and ends at its first NUL.
+PROC = (
+    ("timestamp_ns", 0, 8, "s"), ("root_pid", 8, 8, "s"), ("pid", 16, 4, "u"), ("ppid", 20, 4, "u"), ("tid", 24, 4, "u"), ("uid", 28, 4, "u"), ("event_type", 32, 1, "u"), ("retval", 36, 4, "i"), ("flags", 40, 4, "u"),
+    ("dst_addr", 44, 4, "ip"), ("src_addr", 48, 4, "ip"), ("dst_port", 52, 2, "u"), ("src_port", 54, 2, "u"), ("bytes_count", 56, 8, "s"), ("comm", 64, 16, "text"),
+)
+PROC_BYTES = 80

@@ -31,42 +31,69 @@ def with_payload(packets: DataFrame, number: str = "event_id") -> DataFrame:
     return out.withColumn("protocol", S.kernel_sniff(F.col("payload")))
 
 
-def encode(packets: DataFrame) -> DataFrame:
-    """Records of 72 bytes and the payload, from columns named as in the layout."""
+def encode(rows: DataFrame, layout: tuple = schema.PACKET, size: int = schema.HEADER_BYTES, rest: str = "payload") -> DataFrame:
+    """Records of a header and what follows it (a binary column), from columns named as in the layout."""
 
-    def field(name: str, size: int, kind: str) -> Column:
+    def field(name: str, n: int, kind: str) -> Column:
         if kind == "text":
-            return F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, size - 1), "UTF-8")), 2 * size, "0")
+            return F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, n - 1), "UTF-8")), 2 * n, "0")
         if kind == "ip":
             return F.concat(*[F.lpad(F.hex(F.split(F.col(name), r"\.")[i].cast("int")), 2, "0") for i in range(4)])
         wide = F.lpad(F.hex(F.col(name).cast("long")), 16, "0")
-        return F.concat(*[F.substring(wide, 15 - 2 * i, 2) for i in range(size)])
+        return F.concat(*[F.substring(wide, 15 - 2 * i, 2) for i in range(n)])
 
     parts, at = [], 0
-    for name, offset, size, kind in schema.PACKET:
+    for name, offset, n, kind in layout:
         parts.append(F.lit("00" * (offset - at)))
-        parts.append(field(name, size, kind))
-        at = offset + size
-    parts.append(F.lit("00" * (schema.HEADER_BYTES - at)))
-    return packets.withColumn("record", F.unhex(F.concat(*parts, F.hex("payload"))))
+        parts.append(field(name, n, kind))
+        at = offset + n
+    parts.append(F.lit("00" * (size - at)))
+    return rows.withColumn("record", F.unhex(F.concat(*parts, F.hex(rest))))
+
+
+def _fields(data: Column, layout: tuple, size: int) -> dict[str, Column]:
+    """The header's fields: its hex form is made once, and each number is a turned slice of it."""
+    digits = F.hex(F.substring(data, 1, size))
+    fields = {}
+    for name, offset, n, kind in layout:
+        if kind == "text":
+            fields[name] = S.clean_text(F.substring(data, offset + 1, n))
+            continue
+        own = [F.substring(digits, 2 * (offset + i) + 1, 2) for i in range(n)]
+        if kind == "ip":
+            fields[name] = F.concat_ws(".", *[F.conv(x, 16, 10) for x in own])
+            continue
+        number = F.conv(F.concat(*own[::-1]), 16, -10 if n == 8 else 10).cast("long")
+        fields[name] = F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number) if kind == "i" else number
+    return fields
 
 
 def decode(records: DataFrame, col: str = "record") -> DataFrame:
-    """The header's fields and the payload. A record shorter than a header is dropped; a claimed length beyond what is
+    """A packet's fields and its payload. A record shorter than a header is dropped; a claimed length beyond what is
     there is clipped to it; unknown enumeration codes become the first one."""
     data = F.col(col)
-    fields = {}
-    for name, offset, size, kind in schema.PACKET:
-        if kind == "text":
-            fields[name] = S.clean_text(F.substring(data, offset + 1, size))
-        elif kind == "ip":
-            fields[name] = S.ipv4(S.uint_be(data, offset, size))
-        else:
-            fields[name] = S.uint_le(data, offset, size)
-    have = F.length(data) - schema.HEADER_BYTES
-    fields["payload_len"] = F.least(fields["payload_len"], have.cast("long"))
+    fields = _fields(data, schema.PACKET, schema.HEADER_BYTES)
+    fields["payload_len"] = F.least(fields["payload_len"], (F.length(data) - schema.HEADER_BYTES).cast("long"))
     fields["direction"] = F.when(fields["direction"].isin(1, 2, 3), fields["direction"]).otherwise(1).cast("int")
     fields["protocol"] = F.when(fields["protocol"] <= 8, fields["protocol"]).otherwise(0).cast("int")
     fields["truncated"] = fields["truncated"] != 0
     good = records.where(F.length(data) >= schema.HEADER_BYTES)
     return good.withColumns(fields).withColumn("payload", F.expr(f"substring({col}, {schema.HEADER_BYTES + 1}, cast(payload_len as int))"))
+
+
+def decode_ssl(records: DataFrame, col: str = "record") -> DataFrame:
+    """A TLS-plaintext event's fields and its data, of 65536 bytes at most. Direction 1 is a write, all others are reads."""
+    data = F.col(col)
+    fields = _fields(data, schema.SSL, schema.SSL_BYTES)
+    fields["data_len"] = F.least(fields["data_len"], F.lit(schema.MAX_PAYLOAD), (F.length(data) - schema.SSL_BYTES).cast("long"))
+    fields["direction"] = F.when(fields["direction"] == 1, "write").otherwise("read")
+    fields["truncated"] = fields["truncated"] != 0
+    good = records.where(F.length(data) >= schema.SSL_BYTES)
+    return good.withColumns(fields).withColumn("data", F.expr(f"substring({col}, {schema.SSL_BYTES + 1}, cast(data_len as int))"))
+
+
+def decode_proc(records: DataFrame, col: str = "record") -> DataFrame:
+    """A process event's fields, and its path up to the first NUL."""
+    data = F.col(col)
+    path = S.clean_text(F.expr(f"substring({col}, {schema.PROC_BYTES + 1})"))
+    return records.where(F.length(data) >= schema.PROC_BYTES).withColumns(_fields(data, schema.PROC, schema.PROC_BYTES) | {"path": path})

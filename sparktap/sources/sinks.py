@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import time
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.functions.scalars import hex64
 
-Sink = Callable[[DataFrame], None]
+#: A sink may return what it wrote and what failed, as a dictionary.
+Sink = Callable[[DataFrame], dict | None]
 _kinds: dict[str, Callable[..., Sink]] = {}
 
 
@@ -40,23 +42,38 @@ def kafka(servers: str, topic: str) -> Sink:
     return lambda df: keyed(df).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.compression.type", "lz4").option("kafka.acks", "1").save()
 
 
-def webhook(url: str, tries: int = 3, wait_s: float = 0.5, most_s: float = 30.0) -> Sink:
-    """A POST for each batch of lines, tried again with doubled waits; what fails in the end is counted, not raised."""
+def webhook(url: str, tries: int = 3, wait_s: float = 0.5, most_s: float = 30.0, rows_per_post: int = 500) -> Sink:
+    """A POST for each batch of lines, tried again with doubled waits. The sink returns how many lines went out and how
+    many failed in the end, which raise nothing."""
 
-    def post(rows: Iterable) -> None:
-        rows = list(rows)
-        for low in range(0, len(rows), 500):
-            body, pause = "\n".join(r.value for r in rows[low : low + 500]).encode(), wait_s
-            for k in range(tries):
-                try:
-                    urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/x-ndjson"}), timeout=10).close()
-                    break
-                except OSError:
-                    if k + 1 < tries:
-                        time.sleep(min(pause, most_s))
-                        pause *= 2
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = failed = 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows_per_post):
+                lines = batch.column(0).slice(low, rows_per_post).to_pylist()
+                if _posted(url, "\n".join(lines).encode(), tries, wait_s, most_s):
+                    sent += len(lines)
+                else:
+                    failed += len(lines)
+        yield pa.RecordBatch.from_pydict({"sent": [sent], "failed": [failed]})
 
-    return lambda df: as_lines(df).foreachPartition(post)
+    def sink(df: DataFrame) -> dict:
+        found = as_lines(df).mapInArrow(post, "sent long, failed long").agg(F.sum("sent").alias("sent"), F.sum("failed").alias("failed")).first()
+        return {"written": found["sent"] or 0, "failed": found["failed"] or 0}
+
+    return sink
+
+
+def _posted(url: str, body: bytes, tries: int, pause: float, most_s: float) -> bool:
+    for k in range(tries):
+        try:
+            urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/x-ndjson"}), timeout=10).close()
+            return True
+        except OSError:
+            if k + 1 < tries:
+                time.sleep(min(pause, most_s))
+                pause *= 2
+    return False
 
 
 def callback(f: Callable[[DataFrame], None]) -> Sink:
@@ -67,6 +84,11 @@ for _name, _make in (("file", ndjson), ("stdout", stdout), ("kafka", kafka), ("w
     register(_name, _make)
 
 
+def remove(kind: str) -> bool:
+    """Forget a kind of sink; whether there was one."""
+    return _kinds.pop(kind, None) is not None
+
+
 def build(plans: list[dict]) -> tuple[list[tuple[str, Sink]], list[str]]:
     """Sinks of a list of settings, and what was wrong with others: unknown kinds and keys are named. None left: stdout."""
     good, bad = [], []
@@ -82,16 +104,16 @@ def build(plans: list[dict]) -> tuple[list[tuple[str, Sink]], list[str]]:
 
 
 def fan_out(df: DataFrame, sinks: list[tuple[str, Sink]], keep: Column | None = None) -> list[dict]:
-    """Write to every sink; one that fails doesn't stop the others. Returns what each wrote."""
+    """Write to every sink; one that fails doesn't stop the others. Returns what each wrote, and what failed."""
     rows = (df.where(keep) if keep is not None else df).persist()
     try:
         n, out = rows.count(), []
         for kind, sink in sinks:
             try:
-                sink(rows)
-                out.append({"sink": kind, "written": n, "error": None})
+                told = sink(rows) or {"written": n, "failed": 0}
+                out.append({"sink": kind, "error": None} | told)
             except Exception as e:
-                out.append({"sink": kind, "written": 0, "error": str(e)[:200]})
+                out.append({"sink": kind, "error": str(e)[:200], "written": 0, "failed": n})
         return out
     finally:
         rows.unpersist()

@@ -1,4 +1,6 @@
+import http.server
 import json
+import threading
 import time
 
 import duckdb
@@ -113,3 +115,35 @@ def test_consumer_reads_one_http_branch_of_a_message(spark):
         {"method": "POST", "grpc_method": "M"}, tool, {"method": "POST", "raw_path": "/mcp/unknown"}, {"method": "POST", "raw_path": "/mcp/None"},
         tool | {"method": "GET", "raw_path": "/own", "host": "c.example"}, {"method": "PUT", "raw_path": "/h2", "host": "b.example", "status_code": 201, "response_schema": '{"b":"str"}'}, {},
     ]
+
+
+def test_webhook_counts_what_went_out_and_what_failed(spark):
+    got = []
+
+    class Take(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            bad = b'"id":3' in body
+            got.append(0 if bad else body.count(b"\n") + 1)
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Take)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        sink = sinks.webhook(f"http://127.0.0.1:{server.server_port}", tries=2, wait_s=0.01, rows_per_post=1)
+        out = sinks.fan_out(spark.range(10), [("webhook", sink)])
+        gone = sinks.fan_out(spark.range(4), [("webhook", sinks.webhook("http://127.0.0.1:9", tries=1))])
+    finally:
+        server.shutdown()
+    assert out == [{"sink": "webhook", "error": None, "written": 9, "failed": 1}] and sum(got) == 9
+    assert gone[0]["failed"] == 4 and gone[0]["written"] == 0
+
+
+def test_sinks_can_be_removed():
+    sinks.register("own", lambda: print)
+    assert sinks.build([{"type": "own"}])[0][0][0] == "own"
+    assert sinks.remove("own") and not sinks.remove("own") and sinks.build([{"type": "own"}])[1]
