@@ -75,3 +75,12 @@ def numbered(packets: DataFrame) -> DataFrame:
 
 def stats(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if("is_open").alias("active"), F.count(F.lit(1)).alias("created"), F.count_if(~F.col("is_open")).alias("closed"))
+
+
+TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "pid")
+
+
+def by_tuple(packets: DataFrame) -> DataFrame:
+    """Packets with the key of their connection (a struct) and whether they are the first of it, which creates it."""
+    w = W.partitionBy(*TUPLE).orderBy(*ORDER)
+    return packets.withColumns({"tuple": F.struct(*TUPLE), "created": F.row_number().over(w) == 1})

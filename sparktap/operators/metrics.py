@@ -31,3 +31,15 @@ def rates(packets: DataFrame, seconds: int = 10) -> DataFrame:
     """Events a second in tumbling windows; the ends of a window that has no events aren't shown."""
     start = F.floor(F.col("timestamp_ns") / (seconds * 1_000_000_000)).cast("long")
     return packets.groupBy((start * seconds).alias("window_start_s")).agg(F.count(F.lit(1)).alias("n")).withColumn("rate", F.col("n") / float(seconds))
+
+
+def event_counters(packets: DataFrame, malformed: Column) -> DataFrame:
+    """One row: totals, bytes, closes, malformed packets, the time covered, and a map of counts by protocol code. Counts
+    by protocol are made first, so what is put together in the end are a few rows."""
+    each = packets.groupBy("protocol").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("original_len").alias("b"), F.count_if(F.col("direction") == 3).alias("c"), F.count_if(malformed).alias("m"), F.min("timestamp_ns").alias("t0"), F.max("timestamp_ns").alias("t1")
+    )
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("c"), F.lit(0)).alias("closes"), F.coalesce(F.sum("m"), F.lit(0)).alias("malformed"),
+        F.round((F.max("t1") - F.min("t0")) / 1e9, 3).alias("uptime_s"), F.map_from_entries(F.collect_list(F.struct("protocol", "n"))).alias("by_protocol"),
+    )

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktap import schema
 from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
 from sparktap.operators import bodies, detect, filters, metrics, processes, sse, topic
 from sparktap.sources import packets as records_io
+from sparktap.sources import sinks
 from sparktap.sources.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +81,15 @@ def _(spark, sf):
     return C.expired(records(spark, sf), now, 3_600_000_000_000).select("conn_id", "incarnation", "last_ns")
 
 
-@query("t10_promotion")
+#: Each life's packets in order, one step of the promotion table after the other.
+PROMOTION = ALL_PACKETS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT conn_id, incarnation, protocol, row_number() OVER (PARTITION BY conn_id, incarnation ORDER BY timestamp_ns, event_id) AS k FROM numbered),
+  p(conn_id, incarnation, k, protocol) AS (SELECT conn_id, incarnation, k, protocol FROM o WHERE k = 1 UNION ALL
+    SELECT o.conn_id, o.incarnation, o.k, CASE WHEN (p.protocol = 0 AND o.protocol BETWEEN 1 AND 8) OR (p.protocol = 6 AND o.protocol IN (7, 8)) OR (p.protocol = 1 AND o.protocol IN (4, 5)) OR (p.protocol = 2 AND o.protocol = 3) THEN o.protocol ELSE p.protocol END
+    FROM p JOIN o ON o.conn_id = p.conn_id AND o.incarnation = p.incarnation AND o.k = p.k + 1)
+  SELECT conn_id, incarnation, arg_max(protocol, k) AS protocol FROM p GROUP BY 1, 2"""
+
+
+@query("t10_promotion", PROMOTION)
 def _(spark, sf):
     return C.totals(C.incarnations(view(spark, sf, "packets"))).select("conn_id", "incarnation", "protocol")
 
@@ -282,7 +292,14 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", S.preview(F.encode("url", "ISO-8859-1"), 40).alias("preview"))
 
 
-@query("m5_conn_id")
+def _fold_sql(words: list[str]) -> str:
+    h = "14695981039346656037::UBIGINT"
+    for w in words:
+        h = f"((xor({h}, {w}::UBIGINT)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return h
+
+
+@query("m5_conn_id", duck("packets") + ", f AS (SELECT event_id, " + _fold_sql(["pid", "conn_id", "src_port", "dst_port", "timestamp_ns"]) + " AS h FROM packets) SELECT event_id, CASE WHEN h > 9223372036854775807 THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS folded FROM f")
 def _(spark, sf):
     return view(spark, sf, "packets").select("event_id", S.fold_conn_id([F.col("pid"), F.col("conn_id"), F.col("src_port"), F.col("dst_port"), F.col("timestamp_ns")]).alias("folded"))
 
@@ -313,20 +330,41 @@ def _(spark, sf):
     return detect.detect(records_io.with_payload(view(spark, sf, "packets")))
 
 
-@query("t4_p5_detected_protocols")
+#: What each of the eleven payloads says by itself; the first sure one of a life stands for the rest of it.
+DETECTED = ALL_PACKETS + """, own AS (SELECT *, CASE WHEN direction = 3 THEN 0 ELSE [1, 1, 1, 6, 2, 3, 4, 5, 0, 4, 0][event_id % 11 + 1] END AS p, CASE WHEN direction <> 3 AND event_id % 11 IN (8, 10) THEN 1 ELSE 3 END AS c FROM numbered),
+  l AS (SELECT *, first_value(CASE WHEN c = 3 THEN p END IGNORE NULLS) OVER (PARTITION BY conn_id, incarnation ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latched FROM own),
+  f AS (SELECT CASE WHEN direction = 3 THEN p ELSE coalesce(latched, p) END AS p, CASE WHEN direction <> 3 AND latched IS NOT NULL THEN 3 ELSE c END AS confidence FROM l)
+  SELECT CASE p WHEN 0 THEN 'unknown' WHEN 1 THEN 'HTTP/1.x' WHEN 2 THEN 'HTTP/2' WHEN 3 THEN 'gRPC' WHEN 4 THEN 'WebSocket' WHEN 5 THEN 'MCP' WHEN 6 THEN 'TLS' END AS protocol, confidence, count(*) AS n FROM f GROUP BY 1, 2"""
+
+
+@query("t4_p5_detected_protocols", DETECTED)
 def _(spark, sf):
     found = detect.detect(records_io.with_payload(view(spark, sf, "packets")))
     return found.groupBy(S.protocol_name(F.col("final_protocol")).alias("protocol"), "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x1_x2_body_schema", "SELECT event_id, '{\"root_type\": \"object\", \"schema\": {\"k\": \"integer\"}, \"truncated\": false}' AS schema FROM events")
+#: A string of each event, in one of several formats.
+VALUE = """CASE event_id % 8 WHEN 0 THEN concat(CAST(user_id AS STRING), '@x.example') WHEN 1 THEN concat('10.0.', CAST(user_id % 256 AS STRING), '.7') WHEN 2 THEN concat('2024-01-', lpad(CAST(user_id % 28 + 1 AS STRING), 2, '0'))
+  WHEN 3 THEN concat('1.', CAST(user_id AS STRING), '.0') WHEN 4 THEN concat('https://h.example/', event_type) WHEN 5 THEN concat('0xdead', CAST(1000 + event_id AS STRING)) WHEN 6 THEN upper(substring(event_type, 1, 2)) ELSE event_type END"""
+
+
+@query("x1_x2_body_schema", "WITH v AS (SELECT *, " + VALUE.replace("STRING", "VARCHAR") + " AS s FROM events), t AS (SELECT *, " + S.format_sql("s") + """ AS token FROM v)
+  SELECT event_id, concat('{"root_type": "object", "schema": {"a": "integer", "b": "', token, '", "c": [', CASE WHEN event_id % 7 = 0 THEN '["integer", "string"]' ELSE '"integer"' END, '], "d": {"e": ', CASE event_id % 3 WHEN 0 THEN '"null"' WHEN 1 THEN '"boolean"' ELSE '"number"' END, '}}, "truncated": false}') AS schema FROM t""")
 def _(spark, sf):
-    return bodies.infer(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.encode("props", "UTF-8").alias("body")))
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("s", F.expr(VALUE))
+    n = F.col("event_id").cast("string")
+    items = F.when(F.col("event_id") % 7 == 0, F.concat(n, F.lit(', "x"'))).otherwise(F.concat(n, F.lit(", 1")))
+    inner = F.when(F.col("event_id") % 3 == 0, "null").when(F.col("event_id") % 3 == 1, "true").otherwise("1.5")
+    body = F.concat(F.lit('{"a": '), n, F.lit(', "b": "'), F.col("s"), F.lit('", "c": ['), items, F.lit('], "d": {"e": '), inner, F.lit("}}"))
+    return bodies.infer(e.select("event_id", F.encode(body, "UTF-8").alias("body")))
 
 
-@query("a10_merged_schema", "SELECT event_type, '{\"k\": \"integer\"}' AS schema FROM events GROUP BY event_type")
+@query("a10_merged_schema", """WITH k AS (SELECT DISTINCT event_type, 'x' || user_id % 5 AS x, 'y' || event_id % 3 AS y FROM events)
+  SELECT event_type, '{"n": {' || (SELECT string_agg('"' || y || '": "boolean"', ', ' ORDER BY y) FROM (SELECT DISTINCT y FROM k i WHERE i.event_type = o.event_type)) || '}, ' || (SELECT string_agg('"' || x || '": "integer"', ', ' ORDER BY x) FROM (SELECT DISTINCT x FROM k i WHERE i.event_type = o.event_type)) || '}' AS schema
+  FROM (SELECT DISTINCT event_type FROM events) o""")
 def _(spark, sf):
-    return bodies.merged_by(spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.encode("props", "UTF-8").alias("body")), "event_type")
+    body = F.concat(F.lit('{"x'), (F.col("user_id") % 5).cast("string"), F.lit('": 1, "n": {"y'), (F.col("event_id") % 3).cast("string"), F.lit('": true}}'))
+    return bodies.merged_by(spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.encode(body, "UTF-8").alias("body")), "event_type")
 
 
 def _http_text(spark, sf):
@@ -334,8 +372,12 @@ def _http_text(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     host = F.regexp_extract("url", "//([^/]*)", 1)
     n = F.col("page_id").cast("string")
-    request = F.concat(F.lit("GET /x HTTP/1.1\r\nHost: "), host, F.lit("\r\nAuthorization: secret\r\nX-Id: "), n, F.lit("\r\nx-id: again\r\nConnection: Close\r\n\r\nbody"))
-    response = F.concat(F.lit("HTTP/1.1 "), (F.col("page_id") % 5 + 200).cast("string"), F.lit(" All Fine \r\nContent-Length: "), n, F.lit("\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n"))
+    third = (F.col("page_id") % 3).cast("string")
+    start = F.when(F.col("page_id") % 4 == 0, "GETS /x HTTP/1.1").otherwise("GET /x HTTP/1.1")
+    keep = F.when(F.col("page_id") % 2 == 0, "Close").otherwise("keep-alive")
+    request = F.concat(start, F.lit("\r\nHost: "), host, F.lit("\r\nAuthorization: secret\r\nX-Id: "), n, F.lit("\r\nx-id: again\r\nX-P"), third, F.lit(": v\r\nConnection: "), keep, F.lit("\r\n\r\nbody"))
+    why = F.element_at(F.array(F.lit("All Fine"), F.lit("OK"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int"))
+    response = F.concat(F.lit("HTTP/1."), (F.col("page_id") % 2).cast("string"), F.lit(" "), (F.col("page_id") % 5 + 200).cast("string"), F.lit(" "), why, F.lit(" \r\nContent-Length: "), n, F.lit("\r\nSet-Cookie: a="), third, F.lit("\r\nSet-Cookie: b=2\r\n\r\n"))
     return p.select("page_id", request.alias("request"), response.alias("response"))
 
 
@@ -343,14 +385,14 @@ def _block(c):
     return F.substring_index(F.substring(c, F.instr(c, "\r\n") + 2, F.length(c)), "\r\n\r\n", 1)
 
 
-@query("m6_m7_m8_m11_p7_request_headers", "SELECT page_id, true AS is_request, split_part(split_part(url, '//', 2), '/', 1) AS host, CAST(page_id AS VARCHAR) AS x_id, 'connection,host,x-id' AS names, false AS keep_alive FROM pages")
+@query("m6_m7_m8_m11_p7_request_headers", "SELECT page_id, page_id % 4 <> 0 AS is_request, split_part(split_part(url, '//', 2), '/', 1) AS host, CAST(page_id AS VARCHAR) AS x_id, 'connection,host,x-id,x-p' || page_id % 3 AS names, page_id % 2 <> 0 AS keep_alive FROM pages")
 def _(spark, sf):
     r = _http_text(spark, sf)
     named = S.redact(S.headers(_block(F.col("request"))))
     return r.select("page_id", S.is_request(F.col("request")).alias("is_request"), S.header(F.col("request"), "host").alias("host"), named["x-id"].alias("x_id"), F.array_join(F.array_sort(F.map_keys(named)), ",").alias("names"), S.keep_alive(named["connection"]).alias("keep_alive"))
 
 
-@query("m10_m12_response_lines", "SELECT page_id, 'HTTP/1.1' AS http_version, CAST(page_id % 5 + 200 AS INT) AS status_code, 'All Fine' AS reason, page_id AS body_len, 'a=1; b=2' AS cookies FROM pages")
+@query("m10_m12_response_lines", "SELECT page_id, 'HTTP/1.' || page_id % 2 AS http_version, CAST(page_id % 5 + 200 AS INT) AS status_code, ['All Fine', 'OK', ''][page_id % 3 + 1] AS reason, page_id AS body_len, 'a=' || page_id % 3 || '; b=2' AS cookies FROM pages")
 def _(spark, sf):
     r = _http_text(spark, sf)
     line = S.status_line(F.substring_index("response", "\r\n", 1))
@@ -364,7 +406,41 @@ def _(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", cut.alias("clipped"), over.alias("truncated"))
 
 
-@query("u2_a6_a7_fan_out", duck("packets") + "SELECT sink, count(*) AS written FROM packets, (VALUES ('a'), ('b')) s(sink) WHERE direction <> 3 GROUP BY sink")
+@query("u2_a6_a7_fan_out", duck("packets") + "SELECT sink, CASE sink WHEN 'bad' THEN 0 ELSE count(*) END AS written, CASE sink WHEN 'bad' THEN count(*) ELSE 0 END AS failed FROM packets, (VALUES ('a'), ('b'), ('bad')) s(sink) WHERE direction <> 3 GROUP BY sink")
+def _(spark, sf):
+    """Two sinks that write all that is left, and one that fails."""
+    write = sinks.callback(lambda df: df.write.format("noop").mode("overwrite").save())
+    told = sinks.fan_out(view(spark, sf, "packets"), [("a", write), ("b", write), ("bad", lambda df: 1 / 0)], F.col("direction") != 3)
+    return spark.createDataFrame([(x["sink"], x["written"], x["failed"]) for x in told], "sink string, written long, failed long")
+
+
+@query("s3_decode_ssl_records", duck("ssl_events") + "SELECT pid, root_pid, tid, timestamp_ns, seq, direction, comm, seq % 3 = 0 AS truncated, least(strlen(data), 65536) AS data_len, data FROM ssl_events")
+def _(spark, sf):
+    e = view(spark, sf, "ssl_events").withColumns({"data_len": F.octet_length("data"), "direction": F.when(F.col("direction") == "write", 1).otherwise(2), "truncated": (F.col("seq") % 3 == 0).cast("int"), "data": F.encode("data", "UTF-8")})
+    found = records_io.decode_ssl(records_io.encode(e, schema.SSL, schema.SSL_BYTES, "data").select("record"))
+    return found.select("pid", "root_pid", "tid", "timestamp_ns", "seq", "direction", "comm", "truncated", "data_len", F.decode("data", "UTF-8").alias("data"))
+
+
+@query("s4_decode_proc_records", duck("proc_events") + "SELECT event_id, timestamp_ns, pid, pid + 1 AS ppid, event_type, retval, bytes_count, fd AS flags, '10.1.' || pid % 200 || '.' || fd AS dst_addr, 1000 + fd AS dst_port, comm, path FROM proc_events")
+def _(spark, sf):
+    zero = F.lit(0)
+    address = F.concat(F.lit("10.1."), (F.col("pid") % 200).cast("string"), F.lit("."), F.col("fd").cast("string"))
+    e = view(spark, sf, "proc_events").withColumns({"root_pid": zero, "ppid": F.col("pid") + 1, "tid": zero, "uid": zero, "flags": F.col("fd"), "dst_addr": address, "src_addr": F.lit("0.0.0.0"), "dst_port": F.col("fd") + 1000, "src_port": zero})
+    e = e.withColumn("rest", F.concat(F.encode("path", "UTF-8"), F.unhex(F.lit("00414243"))))
+    found = records_io.decode_proc(records_io.encode(e, schema.PROC, schema.PROC_BYTES, "rest").select("event_id", "record"))
+    return found.select("event_id", "timestamp_ns", "pid", "ppid", F.col("event_type").cast("int").alias("event_type"), F.col("retval").cast("int").alias("retval"), "bytes_count", "flags", "dst_addr", "dst_port", "comm", "path")
+
+
+@query("a4_a3b_event_counters", duck("packets") + """SELECT count(*) AS events, sum(original_len)::BIGINT AS bytes, count(*) FILTER (direction = 3) AS closes, count(*) FILTER (payload_len < original_len) AS malformed, round((max(timestamp_ns) - min(timestamp_ns)) / 1e9, 3) AS uptime_s,
+  (SELECT string_agg(p || '=' || n, ',' ORDER BY p) FROM (SELECT protocol AS p, count(*) AS n FROM packets GROUP BY 1)) AS by_protocol FROM packets""")
+def _(spark, sf):
+    found = metrics.event_counters(view(spark, sf, "packets"), F.col("payload_len") < F.col("original_len"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("by_protocol")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumn("by_protocol", shown)
+
+
+@query("j2_tuple_lookup", duck("packets") + "SELECT event_id, min(conn_id) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, pid) AS found_conn, row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, pid ORDER BY timestamp_ns, event_id) = 1 AS created FROM packets")
 def _(spark, sf):
-    kept, _rest = filters.split_by_filter(view(spark, sf, "packets"), F.col("direction") != 3)
-    return kept.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("sink")).groupBy("sink").agg(F.count(F.lit(1)).alias("written"))
+    p = C.by_tuple(view(spark, sf, "packets"))
+    first = p.groupBy("tuple").agg(F.min("conn_id").alias("found_conn"))
+    return p.join(first, "tuple").select("event_id", "found_conn", "created")
