@@ -60,3 +60,30 @@ def resolved_paths(writes: DataFrame, opens: DataFrame) -> DataFrame:
     both = opens.select("pid", "fd", "timestamp_ns", F.lit(0).alias("side"), F.col("path").alias("opened"), F.lit(None).cast("long").alias("event_id")).unionByName(writes.select("pid", "fd", "timestamp_ns", F.lit(1).alias("side"), F.lit(None).cast("string").alias("opened"), "event_id"))
     w = W.partitionBy("pid", "fd").orderBy("timestamp_ns", "side").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("resolved_path", F.last("opened", ignorenulls=True).over(w)).where("side = 1").select("event_id", "pid", "fd", "timestamp_ns", "resolved_path")
+
+
+def tree_at(events: DataFrame, now_ns: int) -> DataFrame:
+    """The process table at a time, by one grouping: rows (pid, ppid, comm, exited_ns, is_root).
+
+    Events have pid, ppid, comm, timestamp_ns and kind: `register` makes a pid a root, and a node where there is none;
+    `exec` puts a new node in the place of the old one; `exit` marks the node and takes the pid from the roots. Of events
+    at the same time, an exec comes first and an exit last. Pids with nothing but exits have no node.
+    """
+    kind = F.col("kind")
+    when = lambda k, c: F.when(kind == k, F.col(c))
+    rank = F.when(kind == "exec", 0).when(kind == "register", 1).otherwise(2)
+    order = F.struct("timestamp_ns", rank)
+    rooted = F.max_by(kind, F.when(kind.isin("register", "exit"), order)) == "register"
+    each = events.where((F.col("timestamp_ns") <= now_ns) & kind.isin("register", "exec", "exit")).groupBy("pid").agg(
+        F.max(F.when(kind == "exec", F.struct("timestamp_ns", "ppid", "comm"))).alias("node"),
+        F.min(F.when(kind == "register", F.struct("timestamp_ns", F.lit(0).cast("long").alias("ppid"), "comm"))).alias("root"),
+        F.max(when("exit", "timestamp_ns")).alias("exited_ns"), F.coalesce(rooted, F.lit(False)).alias("is_root"),
+    )
+    found = each.withColumn("n", F.coalesce("node", "root")).where(F.col("n").isNotNull())
+    exited = F.when(F.col("exited_ns") >= F.col("n.timestamp_ns"), F.col("exited_ns"))
+    return found.select("pid", "n.ppid", "n.comm", exited.alias("exited_ns"), "is_root")
+
+
+def collected(nodes: DataFrame, now_ns: int, keep_ns: int = 300_000_000_000) -> DataFrame:
+    """The table without nodes that ended longer ago than the limit."""
+    return nodes.where(F.col("exited_ns").isNull() | (F.col("exited_ns") >= now_ns - keep_ns))

@@ -42,6 +42,14 @@ def reassemble(events: DataFrame, idle_ns: int | None = None) -> DataFrame:
     return parts.select("pid", "part", F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.transform("chunks", lambda c: c["data"]), "").alias("data"), "complete")
 
 
+def cut(part: int, held: int, ended: bool, gap: bool, n_bytes: int, last: bool) -> tuple[int, int, bool]:
+    """The part that a read belongs to, the bytes that it then holds, and whether the read ends it. Both a last chunk and
+    a gap count, as two cuts with nothing between them."""
+    cuts = int(ended) + int(gap)
+    held = n_bytes if cuts else held + n_bytes
+    return part + cuts, held, last or held >= MAX_BYTES
+
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the part's number to each pid's reads in order; whether the byte count cuts depends on the cuts before."""
     now, part, held, ended = None, 0, 0, False
@@ -51,11 +59,6 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pid, last, gap, n in zip(*(batch.column(c).to_pylist() for c in ("pid", "last", "gap", "bytes"))):
             if first or pid != now:
                 now, part, held, ended, first = pid, 0, 0, False, False
-            # Both a last chunk and a gap count, as two cuts with nothing between them.
-            cuts = int(ended) + int(gap)
-            if cuts:
-                part, held = part + cuts, 0
-            held += n
-            ended = bool(last) or held >= MAX_BYTES
+            part, held, ended = cut(part, held, ended, gap, n, bool(last))
             parts.append(part)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "part"])

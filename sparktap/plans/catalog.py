@@ -444,3 +444,19 @@ def _(spark, sf):
     p = C.by_tuple(view(spark, sf, "packets"))
     first = p.groupBy("tuple").agg(F.min("conn_id").alias("found_conn"))
     return p.join(first, "tuple").select("event_id", "found_conn", "created")
+
+
+#: Process events as changes of the tree: event types stand for the three kinds, a third of the pid for its parent.
+CHANGES = "SELECT pid, CAST(floor(pid / 3) AS BIGINT) AS ppid, comm, timestamp_ns, CASE event_type WHEN 3 THEN 'exec' WHEN 4 THEN 'exit' ELSE 'register' END AS kind FROM {0}"
+TREE = duck("proc_events") + ", e AS (" + CHANGES.format("proc_events") + """), t AS (SELECT CAST(max(timestamp_ns) * 0.9 AS BIGINT) AS now FROM e), c AS (SELECT * FROM e WHERE timestamp_ns <= (SELECT now FROM t)),
+  g AS (SELECT pid, max(timestamp_ns) FILTER (kind = 'exec') AS born, min(timestamp_ns) FILTER (kind = 'register') AS registered, max(timestamp_ns) FILTER (kind = 'exit') AS gone, arg_max(ppid, timestamp_ns) FILTER (kind = 'exec') AS ppid, arg_max(comm, timestamp_ns) FILTER (kind = 'exec') AS comm,
+    arg_min(comm, timestamp_ns) FILTER (kind = 'register') AS root_comm, coalesce(arg_max(kind, timestamp_ns) FILTER (kind <> 'exec') = 'register', false) AS is_root FROM c GROUP BY pid)
+  SELECT pid, CASE WHEN born IS NULL THEN 0 ELSE ppid END AS ppid, CASE WHEN born IS NULL THEN root_comm ELSE comm END AS comm, CASE WHEN gone >= coalesce(born, registered) THEN gone END AS exited_ns, is_root
+  FROM g, t WHERE coalesce(born, registered) IS NOT NULL AND NOT coalesce(gone >= coalesce(born, registered) AND gone < now - 20000000, false)"""
+
+
+@query("t11_t12_process_tree_at", TREE)
+def _(spark, sf):
+    events = spark.sql(CHANGES.format("{e}"), e=view(spark, sf, "proc_events"))
+    now = int((events.agg(F.max("timestamp_ns")).first()[0] or 0) * 0.9 + 0.5)
+    return processes.collected(processes.tree_at(events, now), now, 20_000_000)
