@@ -18,9 +18,11 @@ from sparktap.functions import wire
 from sparktap.session import ship
 
 FRESH = (0, -1, 0)
+#: With what notes need: whether the connection began with an HTTP/2 preface, and its gRPC service and method.
+START = (*FRESH, 0, None, None)
 _TYPE = re.compile(rb"\r\ncontent-type:[ \t]*([^\r\n]*)", re.I)
 _UPGRADE = re.compile(rb"upgrade:\s*websocket", re.I)
-RESULT = "final_protocol int, confidence int, is_ws_handshake boolean, latched boolean, packet_no long, parsed string"
+RESULT = "final_protocol int, confidence int, is_ws_handshake boolean, latched boolean, packet_no long, info string, parsed string"
 
 
 def _tls(d: bytes) -> tuple[int, int]:
@@ -122,39 +124,101 @@ def step(state: tuple, code: int, direction: int, data: bytes) -> tuple[tuple, t
     return (packets, found[0] if found[1] == P.HIGH else -1, upgraded), (*found, shake, False, packets)
 
 
-def follow(rows: pd.DataFrame, state: tuple = FRESH) -> tuple[pd.DataFrame, tuple]:
-    """Results of one connection's rows, sorted here by time and number."""
+def note(seen: tuple, protocol: int, data: bytes, parsed: dict) -> tuple[tuple, dict]:
+    """What a packet's first frame or message says, under its protocol's name; {} for protocols without notes.
+
+    `seen` is (preface, service, method) of the connection: later packets of a gRPC call show the service and method that
+    its headers named. An MCP message inside HTTP has no notes, as a message must start the packet.
+    """
+    preface, service, method = seen
+    if protocol == P.TLS:
+        found = wire.tls(data)
+        return seen, {"tls": {"record_type": found["record_type"], "version": found["version"], "is_handshake": data[:1] == b"\x16", "hs_type_name": found["hs_type"]}}
+    if protocol in (P.HTTP2, P.HTTP2_TLS, P.GRPC):
+        preface = int(preface or data.startswith(wire.PREFACE))
+        at = len(wire.PREFACE) if data.startswith(wire.PREFACE) else 0
+        kind = data[at + 3] if len(data) >= at + 9 and data[at + 3] <= 9 else None
+        frame = {"has_preface": bool(preface) and kind is not None, "frame_type": kind, "stream_id": None if kind is None else int.from_bytes(data[at + 5 : at + 9], "big") & 0x7FFFFFFF}
+        out: dict = {"http2": frame}
+        if protocol == P.GRPC:
+            service, method = (service, method) if service else wire.grpc_path(data) or (service, method)
+            body = data[at + 9 : at + 14] if kind == 0 else b""
+            out["grpc"] = {"service": service, "method": method, "compressed": len(body) == 5 and body[0] == 1, "message_len": int.from_bytes(body[1:], "big") if len(body) == 5 else None}
+        return (preface, service, method), out
+    if protocol == P.WEBSOCKET:
+        asked = bool(wire.is_start(data) and _UPGRADE.search(data))
+        if asked or data.startswith(b"HTTP/1.1 101"):
+            return seen, {"websocket": {"is_upgrade_request": asked and not data.startswith(b"HTTP/"), "is_upgrade_response": data.startswith(b"HTTP/"), "opcode_name": None, "masked": None, "payload_len": None}}
+        if len(data) >= 2:
+            return seen, {"websocket": {"is_upgrade_request": False, "is_upgrade_response": False, "opcode_name": wire.OPCODES.get(data[0] & 0x0F), "masked": bool(data[1] & 0x80), "payload_len": data[1] & 0x7F}}
+    if protocol == P.MCP and data[:1] == b"{" and (found := wire.rpc(data[:4096])):
+        return seen, {"mcp": {"method": found["method"], "msg_id": parsed.get("mcp", {}).get("id"), **{f"is_{k}": found["kind"] == k for k in ("request", "response", "notification")}}}
+    return seen, {}
+
+
+def follow(rows: pd.DataFrame, state: tuple = START, keep: tuple = ()) -> tuple[pd.DataFrame, tuple]:
+    """Results of one connection's rows, sorted here by time and number, with the columns named in `keep`."""
     rows = rows.sort_values(["timestamp_ns", "event_id"], kind="stable")
     out = []
+    now, seen = tuple(state[:3]), tuple(state[3:])
     for code, direction, data in zip(rows.protocol, rows.direction, rows.payload):
         data = bytes(data or b"")
-        state, found = step(state, int(code), int(direction), data)
-        out.append((*found, json.dumps(wire.parse(data, found[0]), sort_keys=True) if direction != 3 else "{}"))
-    cols = ("final_protocol", "confidence", "is_ws_handshake", "latched", "packet_no", "parsed")
-    return rows[["event_id", "conn_id"]].assign(**{c: [x[i] for x in out] for i, c in enumerate(cols)}), state
-
-
-def detect(packets: DataFrame) -> DataFrame:
+        now, found = step(now, int(code), int(direction), data)
+        if direction == 3:
+            seen, info, parsed = START[3:], {}, {}
+        else:
+            parsed = wire.parse(data, found[0])
+            try:
+                seen, info = note(seen, found[0], data, parsed)
+            except Exception:
+                info = {}
+        if found[0] != code:
+            info["was_upgraded"] = True
+            if not found[3]:
+                info["correction_reason"] = f"{P.PROTOCOLS.get(int(code), code)} to {P.PROTOCOLS[found[0]]}"
+        out.append((*found, json.dumps(info, sort_keys=True), json.dumps(parsed, sort_keys=True)))
+    cols = ("final_protocol", "confidence", "is_ws_handshake", "latched", "packet_no", "info", "parsed")
+    return rows[["event_id", "conn_id", *keep]].assign(**{c: [x[i] for x in out] for i, c in enumerate(cols)}), (*now, *seen)
+
+
+def detect(packets: DataFrame, keep: tuple = ()) -> DataFrame:
     """Each packet with its connection's protocol by then and the parsed payload: one shuffle on conn_id, one pass.
+    Columns named in `keep` go along.
 
     Rows are sorted within partitions and followed as a stream, so no connection is held in memory as a whole.
     """
     ship(packets.sparkSession)
-    ordered = packets.select("event_id", "conn_id", "timestamp_ns", "protocol", "direction", "payload").repartition("conn_id").sortWithinPartitions("conn_id", "timestamp_ns", "event_id")
+    needed = ("event_id", "conn_id", "timestamp_ns", "protocol", "direction", "payload")
+    taken = packets.select(*needed, *[c for c in keep if c not in needed])
+    kept = "".join(f", `{c}` {taken.schema[c].dataType.simpleString()}" for c in keep)
+    ordered = taken.repartition("conn_id").sortWithinPartitions("conn_id", "timestamp_ns", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, FRESH
+        last, state = None, START
         for batch in batches:
             parts = []
             for conn, rows in batch.groupby("conn_id", sort=False, dropna=False):
                 if conn != last:
-                    last, state = conn, FRESH
-                found, state = follow(rows, state)
+                    last, state = conn, START
+                found, state = follow(rows, state, keep)
                 parts.append(found)
             if parts:
                 yield pd.concat(parts)
 
-    return ordered.mapInPandas(run, f"event_id long, conn_id long, {RESULT}")
+    return ordered.mapInPandas(run, f"event_id long, conn_id long{kept}, {RESULT}")
+
+
+INFO = (
+    "tls struct<record_type: string, version: string, is_handshake: boolean, hs_type_name: string>, http2 struct<has_preface: boolean, frame_type: int, stream_id: long>, "
+    "grpc struct<service: string, method: string, compressed: boolean, message_len: long>, "
+    "websocket struct<is_upgrade_request: boolean, is_upgrade_response: boolean, opcode_name: string, masked: boolean, payload_len: int>, "
+    "mcp struct<method: string, msg_id: string, is_request: boolean, is_response: boolean, is_notification: boolean>, was_upgraded boolean, correction_reason string"
+)
+
+
+def with_info(detected: DataFrame) -> DataFrame:
+    """The notes as a struct. was_upgraded is null where the first guess stands."""
+    return detected.withColumn("info", F.from_json("info", INFO))
 
 
 def parsed_with_schema(packets: DataFrame) -> DataFrame:

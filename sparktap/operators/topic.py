@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktap.functions.scalars import basename, hex64, protocol_name, request_line
+from sparktap.functions.scalars import basename, direction_name, hex64, protocol_name, request_line
 
 SCHEMA_VERSION = "2"
 
@@ -24,6 +24,29 @@ def proc_payload(events: DataFrame) -> DataFrame:
     return events.select(F.shiftleft(F.col("pid").cast("long"), 16).bitwiseOR(F.col("timestamp_ns").bitwiseAND(F.lit(0xFFFF))).alias("conn_id"), "timestamp_ns", "pid", "comm", F.lit("0.0.0.0").alias("src_ip"), F.lit("KERNEL").alias("protocol"), "event_type", "bytes_count", path.alias("path"))
 
 
+#: What http_payload reads of a parsed packet; schemas stay JSON text.
+PARSED = (
+    "http1 struct<headers: map<string, string>, kind: string, method: string, path: string, query: string, body_len: long, schema: string, status_code: int>, "
+    "http2 struct<frames: array<struct<type: string, headers: map<string, string>, data_schema: string>>>, grpc struct<service: string, method: string, message_len: long>, mcp struct<method: string, params: string, result: string>"
+)
+
+
+def http_payload(parsed: DataFrame) -> DataFrame:
+    """A parsed packet (the detector's result with timestamp_ns, pid and direction) in the topic's form. The request of
+    HTTP/2 is what the first frame of headers says."""
+    read = parsed.withColumn("p", F.from_json("parsed", PARSED))
+    h1, h2, mcp = F.col("p.http1"), F.col("p.http2"), F.col("p.mcp")
+    first = F.get(F.filter(h2["frames"], lambda f: f["type"] == "HEADERS"), F.lit(0))["headers"]
+    http1 = F.struct(h1["headers"].alias("headers"), (h1["kind"] == "request").alias("is_request"), (h1["kind"] == "response").alias("is_response"), h1["method"].alias("method"), h1["path"].alias("path"), h1["query"].alias("query"), h1["body_len"].alias("body_len"), h1["schema"].alias("body_schema"), h1["status_code"].alias("status_code"))
+    request = F.struct(first[":method"].alias("method"), first[":path"].alias("path"), first[":authority"].alias("authority"), first[":status"].cast("int").alias("status"))
+    http2 = F.struct(request.alias("request"), F.transform(h2["frames"], lambda f: F.struct(f["type"].alias("type"), f["data_schema"].alias("data_schema"))).alias("frames"))
+    tool = F.struct(mcp["method"].alias("method"), mcp["params"].alias("params_schema"), mcp["result"].alias("result_schema"))
+    return read.select(
+        "conn_id", "timestamp_ns", "pid", protocol_name(F.col("final_protocol")).alias("protocol"), direction_name(F.col("direction")).alias("direction"),
+        F.when(h1.isNotNull(), http1).alias("http1"), F.when(h2.isNotNull(), http2).alias("http2"), F.col("p.grpc").alias("grpc"), F.when(mcp.isNotNull(), tool).alias("mcp"),
+    )
+
+
 def packet_dict(packets: DataFrame) -> DataFrame:
     """Canonical form of a packet: both the number and the text of addresses and ids are there."""
     return packets.select("event_id", hex64(F.col("conn_id")).alias("conn_id_hex"), "conn_id", "timestamp_ns", "pid", F.concat("src_ip", F.lit(":"), F.col("src_port").cast("string")).alias("src"), F.concat("dst_ip", F.lit(":"), F.col("dst_port").cast("string")).alias("dst"), protocol_name(F.col("protocol")).alias("protocol"), "payload_len", "original_len", "truncated")

@@ -460,3 +460,41 @@ def _(spark, sf):
     events = spark.sql(CHANGES.format("{e}"), e=view(spark, sf, "proc_events"))
     now = int((events.agg(F.max("timestamp_ns")).first()[0] or 0) * 0.9 + 0.5)
     return processes.collected(processes.tree_at(events, now), now, 20_000_000)
+
+
+#: The notes read from the payloads' hex digits; a packet's protocol is as in DETECTED.
+PAYLOADS = ", ".join(f"({k}, '{p.hex()}')" for k, p in enumerate(records_io.PAYLOADS))
+NOTES = DETECTED.split(",\n  f AS")[0] + """, f AS (SELECT *, event_id % 11 AS k, coalesce(latched, p) AS q FROM l WHERE direction <> 3), pay(k, hex) AS (VALUES """ + PAYLOADS + """),
+  b AS (SELECT *, CASE WHEN starts_with(hex, '505249202a20') THEN 48 ELSE 0 END AS skip_hex, max((k = 4 AND q IN (2, 3))::INT) OVER (PARTITION BY conn_id, incarnation ORDER BY timestamp_ns, event_id) = 1 AS prefaced FROM f JOIN pay USING (k)),
+  t AS (SELECT *, CASE WHEN q IN (2, 3) AND length(hex) >= skip_hex + 18 AND ('0x' || substr(hex, skip_hex + 7, 2))::INT <= 9 THEN ('0x' || substr(hex, skip_hex + 7, 2))::INT END AS frame_type FROM b),
+  n AS (SELECT q <> protocol AS moved, frame_type, frame_type IS NOT NULL AND prefaced AS has_preface, CASE WHEN frame_type IS NOT NULL THEN ('0x' || substr(hex, skip_hex + 11, 8))::BIGINT & 2147483647 END AS stream_id, CASE WHEN q = 3 THEN 'pkg.Svc.M' END AS call,
+    CASE WHEN q = 4 AND k <> 9 THEN CASE ('0x' || hex[1:2])::INT & 15 WHEN 0 THEN 'continuation' WHEN 1 THEN 'text' WHEN 2 THEN 'binary' WHEN 8 THEN 'close' WHEN 9 THEN 'ping' WHEN 10 THEN 'pong' END END AS opcode, CASE WHEN q = 4 AND k <> 9 THEN ('0x' || hex[3:4])::INT & 127 END AS payload_len,
+    CASE WHEN q = 5 AND k = 7 THEN 'tools/call' END AS tool, CASE WHEN q = 6 THEN CASE WHEN hex[1:2] = '16' THEN 'Handshake' ELSE 'unknown' END END AS record_type FROM (SELECT * REPLACE ([1, 1, 1, 6, 2, 2, 4, 5, 5, 1, 0][k + 1] AS protocol) FROM t))
+  SELECT *, count(*) AS n FROM n GROUP BY ALL"""
+
+
+@query("p5_t5_b8_b9_b13_b14_detection_notes", NOTES)
+def _(spark, sf):
+    packets = records_io.with_payload(view(spark, sf, "packets"))
+    found = detect.with_info(detect.detect(packets, keep=("direction",))).where("direction <> 3")
+    i = lambda n: F.col(f"info.{n}")
+    rows = found.select(
+        F.coalesce(i("was_upgraded"), F.lit(False)).alias("moved"), i("http2.frame_type").alias("frame_type"), F.coalesce(i("http2.has_preface"), F.lit(False)).alias("has_preface"), i("http2.stream_id").alias("stream_id"), F.concat(i("grpc.service"), F.lit("."), i("grpc.method")).alias("call"),
+        i("websocket.opcode_name").alias("opcode"), i("websocket.payload_len").alias("payload_len"), i("mcp.method").alias("tool"), i("tls.record_type").alias("record_type"),
+    )
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u1_p14_p16_p17_http_stream", duck("packets") + """, p AS (SELECT *, CASE WHEN direction = 3 THEN -1 ELSE event_id % 11 END AS k FROM packets)
+  SELECT conn_id * 11 + event_id % 11 AS conn_id, timestamp_ns, pid, CASE direction WHEN 2 THEN 'INGRESS' WHEN 3 THEN 'CLOSE' ELSE 'EGRESS' END AS direction, CASE k WHEN 0 THEN 'HTTP/1.x' WHEN 1 THEN 'HTTP/1.x' WHEN 2 THEN 'HTTP/1.x' WHEN 3 THEN 'TLS' WHEN 4 THEN 'HTTP/2' WHEN 5 THEN 'gRPC' WHEN 6 THEN 'WebSocket' WHEN 7 THEN 'MCP' WHEN 9 THEN 'WebSocket' ELSE 'unknown' END AS protocol,
+    CASE WHEN k = 0 THEN 'PUT' WHEN k IN (1, 5, 7) THEN 'POST' END AS method, CASE k WHEN 0 THEN '/p' || event_id % 50 WHEN 1 THEN '/u' WHEN 5 THEN '/pkg.Svc/M' WHEN 7 THEN '/mcp/tools/call' END AS raw_path, CASE WHEN k = 0 THEN 'h' || pid END AS host, CASE WHEN k = 0 THEN 'x=' || conn_id END AS query,
+    CASE k WHEN 0 THEN pid WHEN 1 THEN 18 END AS request_size, CASE k WHEN 2 THEN 5 END AS response_size, CASE k WHEN 2 THEN 200 END AS status_code, CASE k WHEN 5 THEN 'pkg.Svc' END AS grpc_service, CASE k WHEN 7 THEN 'tools/call' END AS mcp_method FROM p""")
+def _(spark, sf):
+    """Packets, each kind of payload in a connection of its own, through the detector and the topic to the consumer."""
+    text = lambda c: F.col(c).cast("string")
+    put = F.concat(F.lit("PUT /p"), (F.col("event_id") % 50).cast("string"), F.lit("?x="), text("conn_id"), F.lit(" HTTP/1.1\r\nHost: h"), text("pid"), F.lit("\r\nContent-Length: "), text("pid"), F.lit("\r\n\r\n"))
+    packets = records_io.with_payload(view(spark, sf, "packets")).withColumn("payload", F.when((F.col("event_id") % 11 == 0) & (F.col("direction") != 3), F.encode(put, "UTF-8")).otherwise(F.col("payload")))
+    own = packets.withColumn("conn_id", F.col("conn_id") * 11 + F.col("event_id") % 11)
+    payload = topic.http_payload(detect.detect(own, keep=("timestamp_ns", "pid", "direction")))
+    shown = ("conn_id", "timestamp_ns", "pid", "direction", "protocol", "method", "raw_path", "host", "query", "request_size", "response_size", "status_code", "grpc_service", "mcp_method")
+    return topic.normalise(topic.envelope(payload, "http", F.lit("key-3"))).select(*shown)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparktap.operators.detect import FRESH, RESULT, follow
+from sparktap.operators.detect import RESULT, START, follow
 from sparktap.session import ship
 
 
@@ -21,14 +21,14 @@ def detect_stream(packets: DataFrame, idle_ms: int = 300_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        now = tuple(state.get) if state.exists else FRESH
+        now = tuple(state.get) if state.exists else START
         found, now = follow(pd.concat(list(frames)), now)
         state.update(now)
         state.setTimeoutDuration(idle_ms)
         yield found
 
     few = packets.select("event_id", "conn_id", "timestamp_ns", "protocol", "direction", "payload")
-    return few.groupBy("conn_id").applyInPandasWithState(run, f"event_id long, conn_id long, {RESULT}", "packets long, latched int, upgraded int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return few.groupBy("conn_id").applyInPandasWithState(run, f"event_id long, conn_id long, {RESULT}", "packets long, latched int, upgraded int, preface int, service string, method string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counters(packets: DataFrame, window: str = "10 seconds", late: str = "1 minute") -> DataFrame:
