@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, html_extract, language_id, media_match, near_dedup, packing, piece_bpe, secret_scan, toxicity
+from sparktap.llm import chat_format, exact_dedup, filter_audit, html_extract, language_id, media_match, near_dedup, packing, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
     "op1_media_match": media_match.op1_media_match,
@@ -15,10 +15,12 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op7_packing": packing.op7_packing,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLE = {
     "op3_secret_scan": secret_scan.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }

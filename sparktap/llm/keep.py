@@ -18,8 +18,9 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
-def join_named(rows: DataFrame, named: DataFrame, key: str, uses: str, total: int) -> DataFrame:
-    """The rows with the columns of `named`, which has one row for each key and how often the key is used.
+def join_named(rows: DataFrame, named: DataFrame, key: str, uses: str, total: int, how: str = "inner") -> DataFrame:
+    """The rows with the columns of `named`, which has one row for each key and how often the key is used. how: "left"
+    keeps rows whose key has no name, with nulls; a null key has none.
 
     A key with over a thousandth of all uses (and over 1000) is hot: there are 1000 such keys at most, so they are
     broadcast and their rows stay where they are. All others are joined by shuffle.
@@ -28,4 +29,4 @@ def join_named(rows: DataFrame, named: DataFrame, key: str, uses: str, total: in
     few, many = named.where(hot).drop(uses), named.where(~hot).drop(uses)
     by_few = rows.join(F.broadcast(few), key)
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
-    return by_few.unionByName(rest.join(many, key))
+    return by_few.unionByName(rest.join(many, key, how))

@@ -11,7 +11,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_its_sql(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_small}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, sf_small)
     cols = sorted(got.columns)
