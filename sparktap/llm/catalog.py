@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktap.llm import chat_format, exact_dedup, filter_audit, html_extract, language_id, media_match, merkle, near_dedup, packing, piece_bpe, secret_scan, toxicity
+from sparktap.llm import chat_format, exact_dedup, filter_audit, html_extract, language_id, media_match, merkle, near_dedup, ngram_join, packing, piece_bpe, secret_scan, toxicity
 
 QUERIES = {
     "op1_media_match": media_match.op1_media_match,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_ngram_jaccard": ngram_join.op12_ngram_jaccard,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE = {
@@ -24,5 +25,6 @@ ORACLE = {
     "op9_near_dedup": near_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_ngram_jaccard": ngram_join.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }

@@ -30,3 +30,16 @@ def join_named(rows: DataFrame, named: DataFrame, key: str, uses: str, total: in
     by_few = rows.join(F.broadcast(few), key)
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
     return by_few.unionByName(rest.join(many, key, how))
+
+
+def join_salted(rows: DataFrame, named: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """The rows with the columns of `named`, which has one row for each key. A key of over a thousandth of all `total` rows
+    (and over 1000) is dealt out by the column `other` to as many parts, each with a copy of the key's row: there are 2000
+    copies at most, and nothing but the names of these keys is broadcast."""
+    most = max(1000, total // 1000)
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__uses")).where(F.col("__uses") > most)
+    hot = F.broadcast(hot.select("__hot", F.ceil(F.col("__uses") / most).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("__hot", "__parts")
+    right = named.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")

@@ -6,13 +6,13 @@ from collections import defaultdict
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, width=5):
     w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").translate(UP).encode())
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def groups(texts, num):
-    sets = {i: shingles(t) for i, t in texts.items()}
+def groups(texts, num, width=5):
+    sets = {i: shingles(t, width) for i, t in texts.items()}
     parent = {i: i for i in sets}
 
     def find(x):
