@@ -10,7 +10,7 @@ given. An empty edge table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparktap.session import materialise, release
@@ -42,17 +42,22 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     return tied.select(ends.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """The edges as a table, and their number and combined hash, seen while they are written."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), name)
+    return table, seen.get
+
+
 def components(edges: DataFrame, least_hub: int = LEAST_HUB) -> DataFrame:
     """Rows (id, component) of all vertices in edges (a, b) but the least of each component, whose label it is."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = materialise(now, "edges")
-    state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+    now, state = _written(now, "edges")
     while state["n"]:
         hub = max(least_hub, state["n"] // 1000)
-        new = materialise(_small_star(_large_star(now, hub), hub), "stars")
+        new, then = _written(_small_star(_large_star(now, hub), hub), "stars")
         release(now)
-        now, before = new, state
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        now, state, before = new, then, state
         if state == before:
             break
     out = now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -4,12 +4,10 @@ Under each of P permutations both the least and the greatest shingle hash are ke
 signature values, which agree with the probability of the Jaccard similarity. Bands of ROWS values are the buckets.
 BANDS follow from the threshold, so that a pair at the threshold is missed with probability 1e-6 at most.
 
-Documents with equal shingle sets are one vertex, so copies are never paired. Within a bucket a leader is compared with
-each member; linked members are joined, and only members of different components are compared further. First more
-leaders are tried while that settles much, then all pairs of members that are still apart, whatever their number, whose
-sketches (two bits of each signature value) allow the threshold; at the threshold they rule out a pair in a million, and
-sketch=False leaves them out. So a group of near copies isn't expanded into its pairs. The pairs of a large bucket are
-compared in blocks, so that no task holds the bucket. Every link is confirmed on the full sets.
+Documents with equal shingle sets are one vertex, so copies are never paired. Documents of a bucket are compared in rounds
+(see settle): with leaders first, at last all that are still apart, whatever their number, whose sketches (two bits of
+each signature value) allow the threshold; at the threshold they rule out a pair in a million, and sketch=False leaves
+them out. Every link is confirmed on the full sets.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component. A row whose id is
 null has a null component and is kept. Rows that repeat an id are one vertex, with the links of each of its texts.
@@ -22,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.llm import spans
-from sparktap.llm.components import components
-from sparktap.llm.keep import BROADCAST_IDS, without
-from sparktap.session import materialise, release, ship
+from sparktap.llm.keep import without
+from sparktap.llm.settle import Sets, classes_of, fingerprints, lists, pairs_of, per_document, settle, word_sets
+from sparktap.session import materialise, ship
 
 ROWS = 8
 MISS = 1e-6
@@ -38,8 +36,6 @@ WIDTH = 5
 STRAY = 4.9
 #: Bits of a sketch for each signature value.
 SKETCH = 2
-#: Members of a bucket that are compared with as many others in one group of a join.
-BLOCK = 1024
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -83,143 +79,57 @@ def signatures(runs: np.ndarray, bounds: np.ndarray, n_bands: int, rows: int = R
     return out, np.packbits(bits, axis=0).T.copy().view(spans.U)
 
 
-def _runs(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    texts = batch.column(1).to_pylist()
-    texts = [(x or b"").lower() for x in texts]
-    for low, high in spans.blocks([len(x) for x in texts]):
-        yield batch.column(0).slice(low, high - low), *spans.word_runs(*spans.words(texts[low:high]), width)
-
-
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-
-
 def _sign(n_bands: int, width: int):
     width_s = sketch_words(n_bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans.slices(batches):
-            for ids, runs, bounds in _runs(batch, width):
+            for ids, runs, bounds in word_sets(batch, width):
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 own = np.concatenate([bounds[:-1][full], bounds[-1:]])
-                sums = np.zeros((2, len(sizes)), spans.U)
+                sums = fingerprints(runs, bounds)
                 bands = np.zeros((0, n_bands), spans.U)
                 sketches = np.zeros((0, width_s), spans.U)
                 if len(full):
                     bands, sketches = signatures(runs, own, n_bands)
-                    for k in range(2):
-                        sums[k, full] = np.add.reduceat(spans.mix(runs + spans.U(3 + k)), own[:-1])
                 upto = np.concatenate([[0], np.cumsum(sizes > 0)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bands.reshape(-1), upto * n_bands), _lists(sketches.reshape(-1), upto * width_s)], names=["id", "n", "h1", "h2", "bands", "sketch"])
-
-    return run
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.slices(batches):
-            for ids, runs, bounds in _runs(batch, width):
-                yield pa.RecordBatch.from_arrays([ids, _lists(runs, bounds)], names=["id", "runs"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(bands.reshape(-1), upto * n_bands), lists(sketches.reshape(-1), upto * width_s)], names=["id", "n", "h1", "h2", "bands", "sketch"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
-    b = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-    a = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
-    both = F.size(F.array_intersect("runs_a", "runs_b")).cast("long")
-    union = F.size("runs_a") + F.size("runs_b") - both
-    return pairs.join(b, "b").join(a, "a").where(den * both >= num * union).select("a", "b")
-
-
-def _blocks(rows: DataFrame, minor: bool, cols: list) -> DataFrame:
-    """A bucket's members dealt into blocks: each of the minor ones has a row of blocks, each member a column of them."""
-    count = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), count).cast("int")
-    all_ = F.explode(F.sequence(F.lit(0), count - 1))
-    at = (own.alias("i"), all_.alias("j")) if minor else (all_.alias("i"), own.alias("j"))
-    return rows.select("key", *at, *cols)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, sketch: bool = True) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept. Linked: den * intersection >= num * union.
 
     sketch: whether sketches rule out pairs before they are confirmed; without them all pairs that still count are.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     n_bands = bands_for(num / den)
     words = range(sketch_words(n_bands))
     id_type = docs.schema[id_col].dataType.simpleString()
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
     signed = materialise(bare.mapInArrow(_sign(n_bands, width), shown), "signed")
-    own = signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n")
-    classes = own.agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    stats = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    stats = stats.where("low < high").select("key", F.col("low").alias("lead"))
-    shared = materialise(members.join(stats, "key"), "shared")
-    involved = materialise(shared.select(F.col("rep").alias("id")).distinct(), "involved")
-    few = involved.count() <= BROADCAST_IDS
-    some = bare.join(F.broadcast(involved) if few else involved, "id", "left_semi")
-    sets = materialise(some.mapInArrow(_sets(width), f"id {id_type}, runs array<long>"), "sets")
-    first = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialise(first, "pairs")
-    links = materialise(_confirm(tested, sets, num, den), "links")
-    labels = components(links)
-    release(links, involved)
-    spare = classes.select(F.col("rep").alias("of"), "bands", *[F.col("sketch")[i].alias(f"w{i}") for i in words])
-    fits = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    if sketch:
-        unlike = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in words), F.lit(0))
-        fits = fits & (unlike <= most_unlike(num / den, n_bands * ROWS))
-    before = None
-    while True:
-        at = shared.join(labels, shared["rep"] == labels["id"], "left")
-        at = at.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        lead = F.min(F.struct(F.xxhash64("rep", F.lit(before or 0)).alias("h"), "rep")).alias("lead")
-        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), lead)
-        most = F.max(F.struct("c", "comp", "lead")).alias("most")
-        mixed = parts.groupBy("key").agg(most, F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("most.c < c")
-        cross = (F.col("c") * F.col("c") - F.col("squares")) / 2
-        mixed = mixed.select("key", F.col("most.comp").alias("most"), F.col("most.lead.rep").alias("lead"), cross.alias("cross"), "c")
-        open_ = materialise(at.join(mixed, "key"), "open")
-        each = open_.groupBy("key").agg(F.first("cross").alias("cross"), F.first("c").alias("c"))
-        size = each.agg(F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
-        if not size["rows"]:
-            break
-        minor = F.col("comp") != F.col("most")
-        last = size["cross"] <= 4 * size["rows"] or (before is not None and size["cross"] > 0.7 * before)
-        drawn = None
-        if last:
-            drawn = materialise(open_.join(spare, F.col("rep") == F.col("of")), "drawn")
-            cols = lambda s: [F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("comp").alias("c" + s), F.col("bands").alias("b" + s), *[F.col(f"w{i}").alias(f"{s}w{i}") for i in words]]
-            # A pair counts in its first common bucket only.
-            near = (F.col("cx") != F.col("cy")) & fits & (F.array_min(F.array_intersect("bx", "by")) == F.col("key"))
-            new = _blocks(drawn.where(minor), True, cols("x")).join(_blocks(drawn, False, cols("y")), ["key", "i", "j"])
-            new = new.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            new = open_.where(minor).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).where("a <> b")
-        new = materialise(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialise(_confirm(new, sets, num, den), "links")
-        # Earlier links are in the labels already.
-        joined = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-        release(labels, links, open_, drawn)
-        labels, before = joined, size["cross"]
-        if last:
-            break
-        tested = materialise(tested.union(new), "tested")
-    release(shared, sets)
-    named = classes.join(labels, F.col("rep") == F.col("id"), "left")
-    named = named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "rep").alias("component_id"))
-    same = (signed["h1"] == named["k1"]) & (signed["h2"] == named["k2"]) & (signed["n"] == named["kn"]) & signed["id"].isNotNull()
-    out = signed.join(named, same, "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    classes = classes_of(signed, "bands", "sketch")
+    members = classes.select(F.explode("bands").alias("key"), "rep", F.struct("n").alias("info"))
+    sets = Sets(bare, width, num, den)
+
+    def fits(x: Column, y: Column) -> Column:
+        return den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        own = classes.select(F.col("rep").alias("of"), F.struct("n", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
+        return rows.join(own, F.col("rep") == F.col("of")).drop("of", "info").withColumnRenamed("sketched", "info")
+
+    def alike(met: DataFrame) -> DataFrame:
+        unlike = sum((F.bit_count(F.col(f"ix.w{i}").bitwiseXOR(F.col(f"iy.w{i}"))) for i in words), F.lit(0))
+        return pairs_of(met.where(unlike <= most_unlike(num / den, n_bands * ROWS)), "x", "y")
+
+    labels = settle(members, fits, sets.confirm, *((alike, sketched) if sketch else ()))
+    sets.release()
+    out = per_document(signed, classes, labels, id_col)
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:

@@ -102,7 +102,7 @@ def _blocks(rows: DataFrame, minor: bool, name: str) -> DataFrame:
     return rows.select("key", *at, F.col("rep").alias(name), F.col("comp").alias("c" + name), F.col("info").alias("i" + name))
 
 
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+def pairs_of(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
@@ -117,7 +117,7 @@ def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm
     stats = members.groupBy("key").agg(lead, F.max("rep").alias("high")).where("lead.rep < high").select("key", "lead")
     shared = materialise(members.join(stats, "key"), "shared")
     first = shared.where(fits(F.col("lead.info"), F.col("info")))
-    tested = [materialise(_pairs(first, "lead.rep", "rep"), "pairs")]
+    tested = [materialise(pairs_of(first, "lead.rep", "rep"), "pairs")]
     links = confirm(tested[0])
     labels = components(links)
     release(links)
@@ -144,9 +144,9 @@ def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm
             drawn = materialise(describe(open_), "drawn") if describe else open_
             met = _blocks(drawn.where(minor), True, "x").join(_blocks(drawn, False, "y"), ["key", "i", "j"]).where("cx <> cy").where(fits(F.col("ix"), F.col("iy")))
             # Both of a pair may be minor; then each has met the other.
-            new = product(met) if product else _pairs(met, "x", "y")
+            new = product(met) if product else pairs_of(met, "x", "y")
         else:
-            new = _pairs(open_.where(minor).where(fits(F.col("lead.info"), F.col("info"))), "lead.rep", "rep")
+            new = pairs_of(open_.where(minor).where(fits(F.col("lead.info"), F.col("info"))), "lead.rep", "rep")
         for t in tested:
             new = new.join(t, ["a", "b"], "left_anti")
         tested.append(materialise(new, "pairs"))
