@@ -6,9 +6,11 @@ of a text for hidden: clean, or one of the kinds of toxic text, which groups of
 state each voter fires with a chance of its own (its accuracy), and where voters depend on each other beyond what the state
 explains, it fires with another chance if the voter that it hangs on has fired (its correlations: a forest of the strongest
 significant dependencies). Chances, shares and forest come from the voters' agreement by expectation maximisation; given
-labels take no part in it: they choose the voters and, in the end, say which states are toxic. A
-linear classifier of all words and word beginnings is trained on the posterior labels of all these texts;
-it scores every text.
+labels take no part in it: they choose the voters and, in the end, say which states are toxic. One voter, or two that fire
+together with no other, show no agreement that accuracies could be read from: the accuracy of such small kinds is their
+rate in the labelled texts of each class, of toxic ones as far as no state explains them. A text is toxic by a state or by
+a small kind. A linear classifier of all words and word beginnings is trained on the posterior
+labels of all these texts; it scores every text.
 
 The training sample is bounded by MOST_PER_CLASS and MOST_ROWS (labelled texts) and MOST_UNLABELLED; label counts cover
 all learning rows. Counts of columns are made on the executors, and only chosen columns (MOST_COLUMNS) come to the driver.
@@ -279,6 +281,50 @@ def label_model(votes: np.ndarray, steps: int = 40) -> tuple[np.ndarray, dict]:
     return states, {"accuracy": fire, "chance": chance, "parent": parent, "share": states.mean(0), "votes": votes}
 
 
+def voter_kinds(votes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Voters whose kind has three different ones or more, with the copies of these, and the other kinds without copies."""
+    use = np.flatnonzero((votes.mean(0) > 0) & (votes.mean(0) < 1)) if len(votes) else np.zeros(0, int)
+    if not len(use):
+        return use, []
+    phi = correlations(votes[:, use].astype(float))
+    first = np.flatnonzero(~(np.triu(phi, 1) >= SAME).any(0))
+    all_ = [first[g] for g in kinds(phi[np.ix_(first, first)], size=1)]
+    small = [g for g in all_ if len(g) < 3]
+    lone = np.concatenate(small) if small else np.zeros(0, int)
+    copies = (phi[lone] >= SAME).any(0) if len(lone) else np.zeros(len(use), bool)
+    return use[~copies], [use[g] for g in small]
+
+
+def anchored(votes: np.ndarray, small: list[np.ndarray], given: np.ndarray, unexplained: np.ndarray, share: float) -> np.ndarray:
+    """Chance that a text is toxic in a way that small kinds show. Of a kind's votes taken together, their share among
+    labelled toxic texts, as far as these are unexplained, stands against that among labelled clean ones, each with two
+    texts of the overall share added."""
+    weight = np.where(given == 1, unexplained, given == 0)
+    left = weight[given == 1].mean() if (given == 1).any() else 1.0
+    odds = np.full(len(votes), np.log(np.clip(share * left, 1e-9, 1) / (1 - share)))
+    for g in small:
+        seen = votes[:, g].astype(int) @ (1 << np.arange(len(g)))
+        at = [np.bincount(seen[given == c], weight[given == c], minlength=1 << len(g)) for c in (0, 1)]
+        overall = (at[0] + at[1] + 1e-9) / (at[0] + at[1] + 1e-9).sum()
+        rate = [(x + 2 * overall) / (x.sum() + 2) for x in at]
+        odds += np.log(rate[1] / rate[0])[seen]
+    return linear.sigmoid(odds)
+
+
+def toxic_posterior(votes: np.ndarray, given: np.ndarray, share: float) -> tuple[np.ndarray, dict]:
+    """Chance that each text is toxic. given: 1 toxic, 0 clean, -1 unlabelled; share: that of toxic labels."""
+    agreeing, small = voter_kinds(votes)
+    p, stats = np.zeros(len(votes)), {"small": small}
+    if len(agreeing):
+        states, found = label_model(votes[:, agreeing])
+        # The voters don't know the states' names: labelled texts tell which of them are toxic.
+        toxic = [k for k in range(states.shape[1]) if states[given == 1, k].sum() > states[given == 0, k].sum()]
+        p, stats = states[:, toxic].sum(1), stats | found
+    if small or not len(agreeing):
+        p = 1 - (1 - p) * (1 - anchored(votes, small, given, 1 - p, share))
+    return np.clip(p, 0, 1), stats
+
+
 def lexicon_votes(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, z: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Votes (texts x voters) of the columns that tell labelled toxic texts best. A voter fires where its column's rate in
     a text reaches a bound of its own: that of the three tried (any, the median and the upper quartile of toxic texts that
@@ -308,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model: hashed columns and their weights, pattern weights, bias. None where labels of a class are missing.
 
     learn: condition on `__id` of the rows to learn from. posteriors: another function of (votes, share, given labels
-    with -1 for none) than the label model, for comparisons.
+    with -1 for none) than the label model, for comparisons; texts for which it gives NaN teach nothing.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -358,18 +404,14 @@ def _fitted(table: DataFrame, shares: dict, posteriors) -> dict | None:
     marks = marks[:, [m for m in range(N_PATTERNS) if marks[given == 1, m].mean() > marks[given == 0, m].mean()]]
     votes = np.column_stack([fires, marks])
     share = shares[1] / (shares[0] + shares[1])
-    if posteriors is None:
-        states, stats = label_model(votes)
-        # The voters don't know the states' names: labelled texts tell which of them are toxic.
-        toxic = [k for k in range(states.shape[1]) if states[given == 1, k].sum() > states[given == 0, k].sum()]
-        post = states[:, toxic].sum(1)
-    else:
-        post, stats = posteriors(votes, share, given), {}
+    post, stats = toxic_posterior(votes, given, share) if posteriors is None else (posteriors(votes, share, given), {})
+    told = ~np.isnan(post)
+    post = np.where(told, post, 0.0)
     x_rows = np.concatenate([x_rows, np.repeat(np.arange(n), N_PATTERNS)])
     x_cols = np.concatenate([x_cols, np.tile(len(kept) + np.arange(N_PATTERNS), n)])
     x = linear.Sparse(x_rows, x_cols, np.concatenate([values.astype(float), patterns.reshape(-1)]), (n, len(kept) + N_PATTERNS))
     # The classes count as often as they occur among the learning rows, whatever the sample holds of them.
-    weight = post * (share * n / max(post.sum(), 1e-9)) + (1 - post) * ((1 - share) * n / max((1 - post).sum(), 1e-9))
+    weight = told * (post * (share * n / max(post[told].sum(), 1e-9)) + (1 - post) * ((1 - share) * n / max((1 - post)[told].sum(), 1e-9)))
     w, b = linear.fit(x, post, weight, penalty=0.02)
     return {"columns": kept, "weights": w[: len(kept)].astype(np.float32), "patterns": w[len(kept) :], "bias": b, "voters": votes.shape[1], "label_model": stats}
 
