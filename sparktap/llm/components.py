@@ -32,8 +32,7 @@ def _with_minima(edges: DataFrame, own: bool, hub: int) -> DataFrame:
 
 def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    star = _with_minima(both, True, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return star.where("a <> b").distinct()
+    return _with_minima(both, True, hub).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, hub: int) -> DataFrame:
@@ -49,17 +48,25 @@ def _written(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
-def components(edges: DataFrame, least_hub: int = LEAST_HUB) -> DataFrame:
-    """Rows (id, component) of all vertices in edges (a, b) but the least of each component, whose label it is."""
+def contracted(edges: DataFrame, steps: int | None = None, least_hub: int = LEAST_HUB) -> DataFrame:
+    """A table of edges (a, b), b < a, with the same components; without a limit of steps each vertex but the least of its
+    component is linked with that one only."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, state = _written(now, "edges")
-    while state["n"]:
+    while state["n"] and steps != 0:
         hub = max(least_hub, state["n"] // 1000)
         new, then = _written(_small_star(_large_star(now, hub), hub), "stars")
         release(now)
         now, state, before = new, then, state
+        steps = steps and steps - 1
         if state == before:
             break
+    return now
+
+
+def components(edges: DataFrame, least_hub: int = LEAST_HUB) -> DataFrame:
+    """Rows (id, component) of all vertices in edges (a, b) but the least of each component, whose label it is."""
+    now = contracted(edges, None, least_hub)
     out = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out.table_path = now.table_path
     return out

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sparktap.llm import spans
 from sparktap.llm.keep import without
-from sparktap.llm.settle import Sets, classes_of, fingerprints, lists, pairs_of, per_document, settle, word_sets
-from sparktap.session import materialise, ship
+from sparktap.llm.settle import Sets, classes_of, crossed, fingerprints, lists, per_document, settle, word_sets
+from sparktap.session import materialise, release, ship
 
 ROWS = 8
 MISS = 1e-6
@@ -112,21 +112,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
     signed = materialise(bare.mapInArrow(_sign(n_bands, width), shown), "signed")
     classes = classes_of(signed, "bands", "sketch")
-    members = classes.select(F.explode("bands").alias("key"), "rep", F.struct("n").alias("info"))
+    members = classes.select(F.explode("bands").alias("key"), "rep", F.col("n").alias("info"))
     sets = Sets(bare, width, num, den)
 
     def fits(x: Column, y: Column) -> Column:
-        return den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])
+        return den * F.least(x, y) >= num * F.greatest(x, y)
 
     def sketched(rows: DataFrame) -> DataFrame:
         own = classes.select(F.col("rep").alias("of"), F.struct("n", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
         return rows.join(own, F.col("rep") == F.col("of")).drop("of", "info").withColumnRenamed("sketched", "info")
 
-    def alike(met: DataFrame) -> DataFrame:
-        unlike = sum((F.bit_count(F.col(f"ix.w{i}").bitwiseXOR(F.col(f"iy.w{i}"))) for i in words), F.lit(0))
-        return pairs_of(met.where(unlike <= most_unlike(num / den, n_bands * ROWS)), "x", "y")
+    def alike(x: Column, y: Column) -> Column:
+        unlike = sum((F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"])) for i in words), F.lit(0))
+        return fits(x["n"], y["n"]) & (unlike <= most_unlike(num / den, n_bands * ROWS))
 
-    labels = settle(members, fits, sets.confirm, *((alike, sketched) if sketch else ()))
+    def cross(rows: DataFrame) -> DataFrame:
+        told = materialise(sketched(rows), "told")
+        pairs = materialise(crossed(told, alike), "pairs")
+        release(told)
+        return pairs
+
+    labels = settle(members, fits, sets.confirm, cross if sketch else None)
     sets.release()
     out = per_document(signed, classes, labels, id_col)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

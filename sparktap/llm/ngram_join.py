@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.llm import spans
-from sparktap.llm.settle import Sets, classes_of, fingerprints, lists, per_document, settle, word_sets
+from sparktap.llm.settle import BLOCK, Sets, classes_of, fingerprints, lists, per_document, settle, word_sets
 from sparktap.session import materialise, ship
 
 WIDTH = 4
 #: Bits of an n-gram's hash that choose its counter: 2**18 counters, whatever the input.
 BITS = 18
 #: Bits that an n-gram's rank takes in a column's name, and those of its hash that follow.
-RANK, REST = 24, 40
+RANK, REST = 23, 41
 
 
 def first_columns(n, num: int, den: int):
@@ -83,6 +83,66 @@ def _rows(width: int, shared_table, num: int, den: int):
     return run
 
 
+def _product(num: int, den: int):
+    """The product of a block of rows (side 0) with a block of rows (side 1): pairs of different comp, with the number of
+    columns they share and their last places in them. Two rows of side 0 that also meet the other way count once."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("key")
+        side, minor, key, rep, comp, n, pos = (block.column(c).to_numpy() for c in ("side", "minor", "key", "rep", "comp", "n", "pos"))
+        entries = [np.flatnonzero(side == k) for k in (0, 1)]
+        rows = [np.unique(rep[e], return_index=True) for e in entries]
+        own = [e[r[1]] for e, r in zip(entries, rows)]
+        at = [np.searchsorted(r[0], rep) for r in rows]
+        shape = tuple(len(r[0]) for r in rows)
+        count, last_x, last_y = (np.zeros(shape, np.int32) for _ in range(3))
+        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+        # Two n-grams of one text may have one name; each of their meetings counts then.
+        twice = len(np.unique(np.column_stack([key, rep, side]), axis=0)) < len(key) if len(key) else False
+        for low, high in zip(bounds, bounds[1:]):
+            x = low + np.flatnonzero(side[low:high] == 0)
+            y = low + np.flatnonzero(side[low:high] == 1)
+            if len(x) and len(y):
+                cell = np.ix_(at[0][x], at[1][y])
+                if twice:
+                    np.add.at(count, cell, 1)
+                    np.maximum.at(last_x, cell, pos[x][:, None].astype(np.int32))
+                    np.maximum.at(last_y, cell, pos[y][None].astype(np.int32))
+                else:
+                    count[cell] += 1
+                    last_x[cell] = np.maximum(last_x[cell], pos[x][:, None])
+                    last_y[cell] = np.maximum(last_y[cell], pos[y][None])
+        found = (count > 0) & (comp[own[0]][:, None] != comp[own[1]][None])
+        nx, ny = n[own[0]][:, None], n[own[1]][None]
+        found &= den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)
+        found &= (minor[own[1]][None] == 0) | (rows[0][0][:, None] < rows[1][0][None])
+        i, j = np.nonzero(found)
+        swap = rows[0][0][i] > rows[1][0][j]
+        pick = lambda u, v: np.where(swap, v, u)
+        x, y, px, py = rows[0][0][i], rows[1][0][j], last_x[i, j].astype(np.int64), last_y[i, j].astype(np.int64)
+        nx, ny = n[own[0]][i], n[own[1]][j]
+        return pa.table({"a": pick(x, y), "b": pick(y, x), "c": count[i, j].astype(np.int64), "pa": pick(px, py), "pb": pick(py, px), "na": pick(nx, ny), "nb": pick(ny, nx)})
+
+    return run
+
+
+def block_product(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b, c, pa, pb, na, nb) from rows (key, rep, info, comp, most) that are of different comp and share columns.
+
+    Columns with the same largest component form one matrix. Its rows are dealt into blocks, and each block of those that
+    aren't of that component is multiplied with each block of all.
+    """
+    kind = rows.schema["rep"].dataType.simpleString()
+    count = rows.select("most", "rep").distinct().groupBy("most").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    named = rows.join(count, "most")
+    own, all_ = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    minor = F.col("comp") != F.col("most")
+    cols = ["key", "rep", "comp", F.shiftright("info", 32).alias("n"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), minor.cast("int").alias("minor")]
+    left = named.where(minor).select("most", F.lit(0).alias("side"), own.alias("i"), all_.alias("j"), *cols)
+    right = named.select("most", F.lit(1).alias("side"), all_.alias("i"), own.alias("j"), *cols)
+    return left.union(right).groupBy("most", "i", "j").applyInArrow(_product(num, den), f"a {kind}, b {kind}, c long, pa long, pb long, na long, nb long")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """One row per document: id, n_shingles, component_id. Linked: den * intersection >= num * union."""
     spark = docs.sparkSession
@@ -95,7 +155,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared_table = spark.sparkContext.broadcast(ranks(table))
     signed = materialise(bare.mapInArrow(_rows(width, shared_table, num, den), f"id {id_type}, n long, h1 long, h2 long, firsts array<long>"), "incidence")
     classes = classes_of(signed, "firsts")
-    members = classes.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", F.struct("n", "pos").alias("info"))
+    place = F.shiftleft(F.col("n"), 32) + F.col("pos")
+    members = classes.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", place.alias("info"))
     sets = Sets(bare, width, num, den)
 
     def room(overlap: Column, nx: Column, ny: Column) -> Column:
@@ -103,19 +164,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def fits(x: Column, y: Column) -> Column:
         """By a shared column: at most so many are shared before it, and so many from it on."""
-        close = den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])
-        return close & room(F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"]), x["n"], y["n"])
+        nx, ny = F.shiftright(x, 32), F.shiftright(y, 32)
+        px, py = (v.bitwiseAND(F.lit((1 << 32) - 1)) for v in (x, y))
+        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & room(F.least(px, py) + F.least(nx - px, ny - py), nx, ny)
 
-    def product(met: DataFrame) -> DataFrame:
+    def cross(rows: DataFrame) -> DataFrame:
         """By all columns of the first block that a pair shares: those, and what may follow the last of them."""
-        swap = F.col("x") > F.col("y")
-        pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-        each = met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("ix", "iy").alias("ia"), pick("iy", "ix").alias("ib"))
-        # Where both are minor each of their columns comes twice; a count that is too large drops no pair.
-        sums = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("ia.pos").alias("pa"), F.max("ib.pos").alias("pb"), F.first("ia.n").alias("na"), F.first("ib.n").alias("nb"))
+        sums = block_product(rows, num, den).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return sums.where(room(F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1), F.col("na"), F.col("nb"))).select("a", "b")
 
-    labels = settle(members, fits, sets.confirm, product)
+    labels = settle(members, fits, sets.confirm, cross)
     sets.release()
     return per_document(signed, classes, labels, id_col)
 

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparktap.llm import spans
-from sparktap.llm.components import components
+from sparktap.llm.components import components, contracted
 from sparktap.llm.keep import BROADCAST_IDS, join_named, join_salted
 from sparktap.session import materialise, release
 
+#: Steps of contraction after each round but the last.
+STEPS = 2
 #: Members of a key that are compared with as many others in one group of a join.
 BLOCK = 1024
 
@@ -61,8 +63,9 @@ class Sets:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         for p in self.parts:
             asked = asked.join(p.select("id"), "id", "left_anti")
-        asked = materialise(asked, "asked")
-        n = asked.count()
+        seen = Observation()
+        asked = materialise(asked.observe(seen, F.count(F.lit(1)).alias("n")), "asked")
+        n = seen.get["n"]
         if n:
             some = self.bare.join(F.broadcast(asked) if n <= BROADCAST_IDS else asked, "id", "left_semi")
             self.parts.append(materialise(some.mapInArrow(_sets(self.width), f"id {self.kind}, runs array<long>"), "sets"))
@@ -106,57 +109,57 @@ def pairs_of(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
-def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], product: Callable[[DataFrame], DataFrame] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def crossed(rows: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs (a, b) of rows (key, rep, info, comp, most, c) that fit, have a common key and are of different comp."""
+    met = _blocks(rows.where("comp <> most"), True, "x").join(_blocks(rows, False, "y"), ["key", "i", "j"])
+    return pairs_of(met.where("cx <> cy").where(fits(F.col("ix"), F.col("iy"))), "x", "y")
+
+
+def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows (id, component) of the members that are linked with a lesser one.
 
     members: key, rep, info. fits: whether two rows that share a key may be linked, by their infos. confirm: the links
-    among pairs (a, b). product: pairs (a, b) that may be linked, from rows (x, y, ix, iy), one for each key that x and y
-    share; their distinct pairs if not given. describe: other infos for the last step, which compares most pairs.
+    among pairs (a, b). cross: pairs that may be linked, from rows (key, rep, info, comp, most, c) of keys with several
+    components; two rows of a key are compared if their comp differs. c: members of the key; most: its largest comp.
     """
-    lead = F.min(F.struct("rep", "info")).alias("lead")
-    stats = members.groupBy("key").agg(lead, F.max("rep").alias("high")).where("lead.rep < high").select("key", "lead")
+    stats = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.min_by("info", "rep").alias("lead_info")).where("lead < high").drop("high")
     shared = materialise(members.join(stats, "key"), "shared")
-    first = shared.where(fits(F.col("lead.info"), F.col("info")))
-    tested = [materialise(pairs_of(first, "lead.rep", "rep"), "pairs")]
-    links = confirm(tested[0])
-    labels = components(links)
-    release(links)
-    shared_by = shared.drop("lead")
+    first = materialise(pairs_of(shared.where("rep <> lead").where(fits(F.col("lead_info"), F.col("info"))), "lead", "rep"), "pairs")
+    links = confirm(first)
+    stars = contracted(links, STEPS)
+    release(links, first)
+    shared_by = shared.drop("lead", "lead_info")
     number, before, last = 0, None, False
     while not last:
         number += 1
+        # Rows of one label belong together. Until the end some that do may have several.
+        labels = stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
         at = shared_by.join(labels, shared_by["rep"] == labels["id"], "left").select("key", "rep", "info", F.coalesce("component", "rep").alias("comp"))
-        lead = F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("h"), "rep", "info")).alias("lead")
-        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), lead)
-        mixed = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "lead")).alias("most"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("most.c < c")
-        mixed = mixed.select("key", F.col("most.comp").alias("most"), F.col("most.lead").alias("lead"), "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("cross"))
+        drawn = F.xxhash64("rep", F.lit(number))
+        parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("rep", drawn).alias("lead"), F.min_by("info", drawn).alias("lead_info"))
+        most = [F.max_by(x, "c").alias(y) for x, y in (("comp", "most"), ("lead", "lead"), ("lead_info", "lead_info"))]
+        mixed = parts.groupBy("key").agg(*most, F.max("c").alias("top"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("top < c")
+        mixed = mixed.select("key", "most", "lead", "lead_info", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("cross"))
         seen = Observation()
         # Each row has its share of its key's pairs.
         open_ = materialise(at.join(mixed, "key").observe(seen, F.sum(F.col("cross") / F.col("c")).alias("cross"), F.count(F.lit(1)).alias("rows")), "open")
-        rows, cross = seen.get["rows"], seen.get["cross"] or 0
+        rows, left = seen.get["rows"], seen.get["cross"] or 0
         if not rows:
             release(open_)
             break
-        last = cross <= 4 * rows or (before is not None and cross > 0.7 * before)
+        last = left <= 4 * rows or (before is not None and left > 0.7 * before)
         minor = F.col("comp") != F.col("most")
-        drawn = None
         if last:
-            drawn = materialise(describe(open_), "drawn") if describe else open_
-            met = _blocks(drawn.where(minor), True, "x").join(_blocks(drawn, False, "y"), ["key", "i", "j"]).where("cx <> cy").where(fits(F.col("ix"), F.col("iy")))
-            # Both of a pair may be minor; then each has met the other.
-            new = product(met) if product else pairs_of(met, "x", "y")
+            new = cross(open_) if cross else crossed(open_, fits)
         else:
-            new = pairs_of(open_.where(minor).where(fits(F.col("lead.info"), F.col("info"))), "lead.rep", "rep")
-        for t in tested:
-            new = new.join(t, ["a", "b"], "left_anti")
-        tested.append(materialise(new, "pairs"))
-        links = confirm(tested[-1])
-        # Earlier links are in the labels already.
-        joined = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-        release(labels, links, open_, drawn)
-        labels, before = joined, cross
-    release(shared, *tested)
-    return labels
+            new = pairs_of(open_.where(minor).where(fits(F.col("lead_info"), F.col("info"))), "lead", "rep")
+        new = materialise(new, "pairs")
+        links = confirm(new)
+        joined = contracted(stars.select("a", "b").union(links), None if last else STEPS)
+        release(stars, links, new, open_)
+        stars, before = joined, left
+    release(shared)
+    return components(stars) if not last else stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def classes_of(signed: DataFrame, *more: str) -> DataFrame:

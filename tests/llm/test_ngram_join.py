@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 
 from sparktap.llm import ngram_join as J
-from sparktap.llm import settle as S
 from tests.llm.brute import groups
 from tests.llm.test_near_dedup import variants
 
@@ -41,7 +40,8 @@ def test_chains_and_odd_rows(spark):
 @pytest.mark.parametrize("bits,block", [(18, 1024), (2, 5)])
 def test_pairs_near_the_threshold(spark, monkeypatch, bits, block):
     """Any order of the columns and any size of blocks give the same links."""
-    monkeypatch.setattr(S, "BLOCK", block)
+    product = J.block_product
+    monkeypatch.setattr(J, "block_product", lambda rows, num, den: product(rows, num, den, block))
     texts = variants(np.random.default_rng(5), 60)
     half = " ".join(f"h{k}" for k in range(100))
     texts += [half + " " + " ".join(f"u{i}_{k}" for k in range(100)) for i in range(40)]
@@ -68,3 +68,27 @@ def test_first_columns_meet():
         if 100 * both >= 85 * (len(x) + len(y) - both):
             firsts = [set(np.sort(v)[: J.first_columns(len(v), 85, 100)].tolist()) for v in (x, y)]
             assert firsts[0] & firsts[1]
+
+
+def test_a_block_product_against_plain_python():
+    """Columns that a row has twice, rows of one component, sizes too far apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    reps = {r: (int(rng.integers(3)), int(rng.integers(8, 12))) for r in range(20)}
+    for twice in (False, True):
+        entries = []
+        for r, (comp, n) in reps.items():
+            for pos, key in enumerate(sorted(rng.choice(12, n, replace=twice).tolist())):
+                entries.append((key, r, comp, n, pos))
+        rows = [(0, int(e[2] != 0), *e) for e in entries if e[2]] + [(1, int(e[2] != 0), *e) for e in entries]
+        names = ["side", "minor", "key", "rep", "comp", "n", "pos"]
+        got = J._product(85, 100)(pa.table({c: pa.array([r[i] for r in rows]) for i, c in enumerate(names)}))
+        want = {}
+        for k1, r1, c1, n1, p1 in entries:
+            for k2, r2, c2, n2, p2 in entries:
+                if k1 == k2 and r1 < r2 and c1 != c2 and 100 * min(n1, n2) >= 85 * max(n1, n2):
+                    c, a, b = want.get((r1, r2), (0, 0, 0))
+                    want[r1, r2] = (c + 1, max(a, p1), max(b, p2))
+        assert {(r["a"], r["b"]): (r["c"], r["pa"], r["pb"]) for r in got.to_pylist()} == want
+        assert all((r["na"], r["nb"]) == (reps[r["a"]][1], reps[r["b"]][1]) for r in got.to_pylist())
