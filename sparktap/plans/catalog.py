@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparktap import schema
 from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
-from sparktap.operators import bodies, detect, filters, metrics, processes, sse, topic
+from sparktap.operators import bodies, detect, filters, metrics, processes, sse, temporal, topic
 from sparktap.sources import packets as records_io
 from sparktap.sources import sinks
 from sparktap.sources.fixtures import duck, view
@@ -498,3 +498,63 @@ def _(spark, sf):
     payload = topic.http_payload(detect.detect(own, keep=("timestamp_ns", "pid", "direction")))
     shown = ("conn_id", "timestamp_ns", "pid", "direction", "protocol", "method", "raw_path", "host", "query", "request_size", "response_size", "status_code", "grpc_service", "mcp_method")
     return topic.normalise(topic.envelope(payload, "http", F.lit("key-3"))).select(*shown)
+
+
+MINUTE = 60_000_000_000
+
+
+@query("j9_correlation_by_root", duck("activity") + f""", h AS (SELECT * FROM activity WHERE kind = 'http'),
+  m AS (SELECT h.event_id, o.kind, o.event_id AS other, row_number() OVER (PARTITION BY h.event_id, o.kind ORDER BY abs(o.timestamp_ns - h.timestamp_ns), o.timestamp_ns, o.event_id) AS k
+    FROM h JOIN activity o ON o.kind <> 'http' AND o.root_pid = h.root_pid AND o.timestamp_ns BETWEEN h.timestamp_ns - {10 * MINUTE} AND h.timestamp_ns + {30 * MINUTE})
+  SELECT h.event_id, h.root_pid, count(m.k) FILTER (m.kind = 'ssl') AS n_ssl, max(other) FILTER (m.kind = 'ssl' AND k = 1) AS nearest_ssl, count(m.k) FILTER (m.kind = 'proc') AS n_proc, max(other) FILTER (m.kind = 'proc' AND k = 1) AS nearest_proc
+  FROM h LEFT JOIN m USING (event_id) GROUP BY 1, 2""")
+def _(spark, sf):
+    a = view(spark, sf, "activity")
+    return temporal.correlated(*[a.where(F.col("kind") == k) for k in ("http", "ssl", "proc")], 10 * MINUTE, 30 * MINUTE)
+
+
+#: Each event walks up the tree as it stood at its time. The events are those of all pids, half a microsecond later.
+LIVES = duck("lives").replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT pid, ppid, timestamp_ns AS low, lead(timestamp_ns, 1, 9223372036854775807) OVER (PARTITION BY pid ORDER BY timestamp_ns) AS high FROM lives WHERE kind = 'exec'),
+  r AS (SELECT pid, kind = 'register' AS is_on, timestamp_ns AS low, lead(timestamp_ns, 1, 9223372036854775807) OVER (PARTITION BY pid ORDER BY timestamp_ns) AS high FROM lives WHERE kind <> 'exec'),
+  e AS (SELECT event_id, pid, timestamp_ns + 500 AS t FROM lives),
+  up(event_id, t, anc, depth, root) AS (
+    SELECT e.event_id, e.t, e.pid, 0, CASE WHEN r.is_on THEN e.pid END FROM e LEFT JOIN r ON r.pid = e.pid AND r.low <= e.t AND r.high > e.t
+    UNION ALL
+    SELECT up.event_id, up.t, n.ppid, up.depth + 1, CASE WHEN r.is_on THEN n.ppid END
+    FROM up JOIN n ON n.pid = up.anc AND n.low <= up.t AND n.high > up.t LEFT JOIN r ON r.pid = n.ppid AND r.low <= up.t AND r.high > up.t
+    WHERE up.root IS NULL AND n.ppid > 0 AND up.depth < {0}),
+  found AS (SELECT event_id, max(root) AS root FROM up GROUP BY 1) """
+
+
+def _later(spark, sf):
+    lives = view(spark, sf, "lives")
+    return lives.select("event_id", "pid", (F.col("timestamp_ns") + 500).alias("timestamp_ns")), lives
+
+
+@query("g1_j6_roots_over_time", LIVES.format(15) + "SELECT e.event_id, e.pid, e.t AS timestamp_ns, coalesce(root, e.pid) AS root_pid FROM e JOIN found USING (event_id)")
+def _(spark, sf):
+    return temporal.roots_over_time(*_later(spark, sf))
+
+
+@query("f5_f14_t11a_captured_over_time", LIVES.format(8) + "SELECT e.event_id, e.pid, e.t AS timestamp_ns FROM e JOIN found USING (event_id) WHERE root IS NOT NULL OR e.t < (SELECT min(timestamp_ns) FROM lives WHERE kind = 'register')")
+def _(spark, sf):
+    return temporal.captured_over_time(*_later(spark, sf))
+
+
+@query("j5_t11a_registered_in_time", duck("activity") + """, s AS (SELECT DISTINCT root_pid, timestamp_ns, 1 AS is_on FROM activity WHERE kind = 'ssl' UNION ALL SELECT DISTINCT root_pid, timestamp_ns, 0 FROM activity WHERE kind = 'http' AND event_id % 4 = 3)
+  SELECT p.event_id, p.root_pid AS pid, p.timestamp_ns FROM activity p ASOF JOIN s ON p.root_pid = s.root_pid AND p.timestamp_ns >= s.timestamp_ns WHERE p.kind = 'proc' AND s.is_on = 1
+  UNION ALL SELECT event_id, root_pid, timestamp_ns FROM activity WHERE kind = 'proc' AND timestamp_ns < (SELECT min(timestamp_ns) FROM activity WHERE kind = 'ssl')""")
+def _(spark, sf):
+    """TLS events register their pid, some http events end that; process events count while their pid is registered."""
+    a = view(spark, sf, "activity").withColumnRenamed("root_pid", "pid")
+    lives = temporal.registrations(a.where("kind = 'ssl'"), a.where("kind = 'http' AND event_id % 4 = 3"))
+    return temporal.captured_over_time(a.where("kind = 'proc'").select("event_id", "pid", "timestamp_ns"), lives, hops=0)
+
+
+@query("t9_anchored_rates", duck("packets").replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT timestamp_ns AS t, count(*) AS n FROM packets GROUP BY 1),
+  c(t) AS (SELECT min(t) FROM e UNION ALL SELECT (SELECT min(e.t) FROM e WHERE e.t >= c.t + {60 * MINUTE}) FROM c WHERE c.t IS NOT NULL),
+  w AS (SELECT t AS start_ns, lead(t) OVER (ORDER BY t) AS end_ns FROM c WHERE t IS NOT NULL),
+  s AS (SELECT start_ns, end_ns, (sum(n) + (start_ns = (SELECT min(t) FROM e))::INT)::BIGINT AS n FROM w JOIN e ON e.t >= start_ns AND e.t < end_ns GROUP BY 1, 2)
+  SELECT start_ns, end_ns, n, n / ((end_ns - start_ns) / 1e9) AS rate FROM s""")
+def _(spark, sf):
+    return temporal.anchored_rates(view(spark, sf, "packets"), 60 * MINUTE)

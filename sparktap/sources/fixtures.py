@@ -36,6 +36,15 @@ VIEWS = {
           CAST(floor(o_totalprice) AS BIGINT) AS bytes_count, o_orderkey % 7 AS fd, o_orderkey * 1000 AS timestamp_ns, CAST(o_orderkey % 4 - 1 AS INT) AS retval,
           concat('/usr/lib/', o_orderpriority) AS path, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('w', CAST(o_custkey % 7 AS STRING)) END AS comm
         FROM orders""",
+    "activity": """
+        SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'ssl' ELSE 'proc' END AS kind,
+          CASE WHEN event_id % 2 = 0 THEN 1 ELSE user_id % 40 + 2 END AS root_pid, MICROS(ts) * 1000 AS timestamp_ns
+        FROM events""",
+    "lives": """
+        SELECT o_orderkey AS event_id, o_custkey + 1 AS pid, o_orderkey * 1000 AS timestamp_ns,
+          CASE WHEN o_orderkey % 13 = 0 THEN 'register' WHEN o_orderkey % 13 = 1 THEN 'exit' WHEN o_orderkey % 13 = 2 THEN 'deregister' ELSE 'exec' END AS kind,
+          CAST(CASE WHEN o_orderkey % 11 = 0 THEN (o_orderkey * 7) % 1000 + 1 ELSE floor((o_custkey + 1) / 3) END AS BIGINT) AS ppid
+        FROM orders""",
     "syscalls": """
         SELECT l_suppkey AS tid, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey % 10000 AS ts, l_orderkey, l_linenumber, l_partkey,
           l_linenumber % 2 = 1 AS is_entry, CAST(l_partkey % 9 AS INT) - 1 AS ret
