@@ -37,6 +37,8 @@ def join_salted(rows: DataFrame, named: DataFrame, key: str, other: str, total:
     (and over 1000) is dealt out by the column `other` to as many parts, each with a copy of the key's row: there are 2000
     copies at most, and nothing but the names of these keys is broadcast."""
     most = max(1000, total // 1000)
+    if total <= most:
+        return rows.join(named, key)
     hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__uses")).where(F.col("__uses") > most)
     hot = F.broadcast(hot.select("__hot", F.ceil(F.col("__uses") / most).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))

@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.llm import spans
+from sparktap.llm.keep import join_salted
 from sparktap.llm.settle import BLOCK, Sets, classes_of, fingerprints, lists, per_document, settle, word_sets
-from sparktap.session import materialise, ship
+from sparktap.session import materialise, release, ship
 
 WIDTH = 4
 #: Bits of an n-gram's hash that choose its counter: 2**18 counters, whatever the input.
 BITS = 18
+#: Bits of a sketch, a power of two.
+SKETCH = 1024
 #: Bits that an n-gram's rank takes in a column's name, and those of its hash that follow.
 RANK, REST = 23, 41
 
@@ -40,6 +43,15 @@ def first_columns(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def odd_sketches(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each text (as words): each n-gram turns one of them. Sketches of two sets differ in as many bits as
+    the sets differ in n-grams at most."""
+    sizes = np.diff(bounds)
+    at = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (spans.mix(runs + spans.U(7)) & spans.U(SKETCH - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=len(sizes) * SKETCH) & 1).astype(np.uint8).reshape(len(sizes), SKETCH)
+    return np.packbits(bits, axis=1).view(spans.U)
+
+
 def _counted(width: int, bits: int):
     """Rows (bucket, n): how many n-grams of this task's documents fall in each bucket."""
 
@@ -78,7 +90,9 @@ def _rows(width: int, shared_table, num: int, den: int):
                 firsts = [np.sort(named[low : low + n])[:k] for low, n, k in zip(bounds.tolist(), sizes.tolist(), takes.tolist())]
                 sums = fingerprints(runs, bounds)
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, spans.U)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums], lists(flat, np.concatenate([[0], np.cumsum(takes)]))], names=["id", "n", "h1", "h2", "firsts"])
+                sketches = odd_sketches(runs, bounds)
+                words = lists(sketches.reshape(-1), np.arange(len(sizes) + 1) * (SKETCH // 64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums], lists(flat, np.concatenate([[0], np.cumsum(takes)])), words], names=["id", "n", "h1", "h2", "firsts", "sketch"])
 
     return run
 
@@ -89,7 +103,7 @@ def _product(num: int, den: int):
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("key")
-        side, minor, key, rep, comp, n, pos = (block.column(c).to_numpy() for c in ("side", "minor", "key", "rep", "comp", "n", "pos"))
+        side, minor, key, rep, comp, n, pos, of = (block.column(c).to_numpy() for c in ("side", "minor", "key", "rep", "comp", "n", "pos", "of"))
         entries = [np.flatnonzero(side == k) for k in (0, 1)]
         rows = [np.unique(rep[e], return_index=True) for e in entries]
         own = [e[r[1]] for e, r in zip(entries, rows)]
@@ -116,6 +130,11 @@ def _product(num: int, den: int):
         nx, ny = n[own[0]][:, None], n[own[1]][None]
         found &= den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)
         found &= (minor[own[1]][None] == 0) | (rows[0][0][:, None] < rows[1][0][None])
+        # What they may share besides: columns of other matrices, and what follows the last one here.
+        here = [np.bincount(a[e], minlength=len(o)) for a, e, o in zip(at, entries, own)]
+        besides = np.minimum((of[own[0]] - here[0])[:, None], (of[own[1]] - here[1])[None])
+        after = np.minimum(nx - last_x - 1, ny - last_y - 1)
+        found &= (num + den) * (count + besides + after) >= num * (nx + ny)
         i, j = np.nonzero(found)
         swap = rows[0][0][i] > rows[1][0][j]
         pick = lambda u, v: np.where(swap, v, u)
@@ -127,17 +146,19 @@ def _product(num: int, den: int):
 
 
 def block_product(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Rows (a, b, c, pa, pb, na, nb) from rows (key, rep, info, comp, most) that are of different comp and share columns.
+    """Rows (a, b, c, pa, pb, na, nb) of pairs of rows (key, rep, info, comp, most) that are of different comp and share
+    enough columns for a link, as far as one matrix can tell.
 
     Columns with the same largest component form one matrix. Its rows are dealt into blocks, and each block of those that
     aren't of that component is multiplied with each block of all.
     """
     kind = rows.schema["rep"].dataType.simpleString()
     count = rows.select("most", "rep").distinct().groupBy("most").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    named = rows.join(count, "most")
+    columns_of = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("of"))
+    named = rows.join(count, "most").join(columns_of, "rep")
     own, all_ = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     minor = F.col("comp") != F.col("most")
-    cols = ["key", "rep", "comp", F.shiftright("info", 32).alias("n"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), minor.cast("int").alias("minor")]
+    cols = ["key", "rep", "comp", "of", F.shiftright("info", 32).alias("n"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), minor.cast("int").alias("minor")]
     left = named.where(minor).select("most", F.lit(0).alias("side"), own.alias("i"), all_.alias("j"), *cols)
     right = named.select("most", F.lit(1).alias("side"), all_.alias("i"), own.alias("j"), *cols)
     return left.union(right).groupBy("most", "i", "j").applyInArrow(_product(num, den), f"a {kind}, b {kind}, c long, pa long, pb long, na long, nb long")
@@ -153,8 +174,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = np.zeros(1 << bits, np.int64)
     table[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     shared_table = spark.sparkContext.broadcast(ranks(table))
-    signed = materialise(bare.mapInArrow(_rows(width, shared_table, num, den), f"id {id_type}, n long, h1 long, h2 long, firsts array<long>"), "incidence")
-    classes = classes_of(signed, "firsts")
+    signed = materialise(bare.mapInArrow(_rows(width, shared_table, num, den), f"id {id_type}, n long, h1 long, h2 long, firsts array<long>, sketch array<long>"), "incidence")
+    classes = classes_of(signed, "firsts", "sketch")
     place = F.shiftleft(F.col("n"), 32) + F.col("pos")
     members = classes.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", place.alias("info"))
     sets = Sets(bare, width, num, den)
@@ -173,7 +194,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sums = block_product(rows, num, den).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return sums.where(room(F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1), F.col("na"), F.col("nb"))).select("a", "b")
 
-    labels = settle(members, fits, sets.confirm, cross)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """By sketches first: with more n-grams in one set only than the sizes allow, a pair is no link."""
+        total = pairs.count()
+        told = pairs
+        for x, y in (("a", "b"), ("b", "a")):
+            told = join_salted(told, classes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)), x, y, total)
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+        # overlap = (na + nb - apart) / 2 at most
+        told = materialise(told.where((num + den) * (F.col("na") + F.col("nb") - apart) >= 2 * num * (F.col("na") + F.col("nb"))).select("a", "b"), "told")
+        links = sets.confirm(told)
+        release(told)
+        return links
+
+    labels = settle(members, fits, confirm, cross)
     sets.release()
     return per_document(signed, classes, labels, id_col)
 

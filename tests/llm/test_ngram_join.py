@@ -58,6 +58,14 @@ def test_one_leader_of_many_near_copies(spark):
     assert got == {i: 0 if i < 1300 else i for i in range(1301)}
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        x, y = (np.unique(rng.integers(0, 2000, rng.integers(0, 3000)).astype(np.uint64)) for _ in range(2))
+        a, b = J.odd_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_first_columns_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -82,7 +90,9 @@ def test_a_block_product_against_plain_python():
             for pos, key in enumerate(sorted(rng.choice(12, n, replace=twice).tolist())):
                 entries.append((key, r, comp, n, pos))
         rows = [(0, int(e[2] != 0), *e) for e in entries if e[2]] + [(1, int(e[2] != 0), *e) for e in entries]
-        names = ["side", "minor", "key", "rep", "comp", "n", "pos"]
+        # As if each row had so many columns in other matrices that no bound applies.
+        rows = [(*r, 100) for r in rows]
+        names = ["side", "minor", "key", "rep", "comp", "n", "pos", "of"]
         got = J._product(85, 100)(pa.table({c: pa.array([r[i] for r in rows]) for i, c in enumerate(names)}))
         want = {}
         for k1, r1, c1, n1, p1 in entries:
