@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparktap import schema
 from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
-from sparktap.operators import bodies, detect, filters, metrics, processes, sse, temporal, topic
+from sparktap.operators import bodies, detect, filters, metrics, processes, split, sse, temporal, topic
 from sparktap.sources import packets as records_io
 from sparktap.sources import sinks
 from sparktap.sources.fixtures import duck, view
@@ -558,3 +558,25 @@ def _(spark, sf):
   SELECT start_ns, end_ns, n, n / ((end_ns - start_ns) / 1e9) AS rate FROM s""")
 def _(spark, sf):
     return temporal.anchored_rates(view(spark, sf, "packets"), 60 * MINUTE)
+
+
+@query("m13_pipelined_messages", duck("pipelines") + """, k AS (SELECT event_id, k, (event_id + k) % 3 AS kind, (event_id + k) % 7 AS size FROM pipelines, range(1, 6) r(k) WHERE k <= n)
+  SELECT event_id, (k - 1)::INT AS message_no, CASE kind WHEN 2 THEN 'response' ELSE 'request' END AS kind, CASE kind WHEN 0 THEN 'POST' WHEN 1 THEN 'GET' END AS method,
+    CASE WHEN kind < 2 THEN '/e/' || event_id || '/' || k || CASE kind WHEN 1 THEN '?q=1' ELSE '' END END AS target, CASE kind WHEN 2 THEN (200 + event_id % 5)::INT END AS status_code,
+    CASE kind WHEN 1 THEN 13 ELSE size END::INT AS body_len, CASE kind WHEN 1 THEN '3\\r\\nabc\\r\\n0\\r\\n\\r\\n' ELSE repeat('x', size::INT) END AS body, true AS whole FROM k""".replace("'3\\r\\nabc\\r\\n0\\r\\n\\r\\n'", "'3' || chr(13) || chr(10) || 'abc' || chr(13) || chr(10) || '0' || chr(13) || chr(10) || chr(13) || chr(10)"))
+def _(spark, sf):
+    made = view(spark, sf, "pipelines").select("event_id", F.encode("text", "UTF-8").alias("payload"))
+    found = split.messages(made).select("event_id", "message_no", "kind", "method", "target", "status_code", "body_len", "body", "whole")
+    return found.withColumn("body", F.decode("body", "UTF-8"))
+
+
+@query("b1_b3_b4_frames", duck("frames") + """, k AS (SELECT event_id, k, (event_id + k * k) % 10 AS t, event_id % 4 AS pad FROM frames, range(1, 6) r(k) WHERE k <= n)
+  SELECT event_id, (k - 1)::INT AS frame_no, ['DATA', 'HEADERS', 'PRIORITY', 'RST_STREAM', 'SETTINGS', 'PUSH_PROMISE', 'PING', 'GOAWAY', 'WINDOW_UPDATE', 'CONTINUATION'][t + 1] AS type,
+    (CASE t WHEN 0 THEN 5 + pad WHEN 3 THEN 4 WHEN 4 THEN 6 WHEN 7 THEN 8 WHEN 8 THEN 4 ELSE pad END)::BIGINT AS length, (event_id % 6)::BIGINT AS flags, event_id % 1000 * 2 + 1 AS stream_id,
+    CASE t WHEN 0 THEN event_id % 2 = 1 END AS compressed, CASE t WHEN 0 THEN event_id % 3000 END AS message_len, CASE WHEN t IN (3, 7) THEN event_id % 14 END AS error_code,
+    CASE t WHEN 7 THEN event_id % 50 END AS last_stream_id, CASE t WHEN 8 THEN event_id + 1 END AS increment,
+    CASE t WHEN 4 THEN coalesce(['HEADER_TABLE_SIZE', 'ENABLE_PUSH', 'MAX_CONCURRENT_STREAMS', 'INITIAL_WINDOW_SIZE', 'MAX_FRAME_SIZE', 'MAX_HEADER_LIST_SIZE'][event_id % 8 + 1], CAST(event_id % 8 + 1 AS VARCHAR)) || '=' || event_id * 3 END AS settings FROM k""")
+def _(spark, sf):
+    made = view(spark, sf, "frames").select("event_id", F.unhex("digits").alias("payload"))
+    told = F.array_join(F.transform("settings", lambda s: F.concat(s["name"], F.lit("="), s["value"].cast("string"))), ",")
+    return split.frames(made).withColumn("settings", told).drop("payload", "held")

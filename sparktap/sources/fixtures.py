@@ -9,7 +9,32 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Up to five HTTP/1 messages in a text, by place: requests with a declared length, chunked ones and responses.
+_BODY = "repeat('x', CAST((event_id + {k}) % 7 AS INT))"
+_MESSAGE = (
+    "CASE WHEN event_id % 5 + 1 >= {k} THEN CASE (event_id + {k}) % 3 "
+    "WHEN 0 THEN concat('POST /e/', CAST(event_id AS STRING), '/{k} HTTP/1.1', CRLF, 'Content-Length: ', CAST((event_id + {k}) % 7 AS STRING), CRLF, CRLF, " + _BODY + ") "
+    "WHEN 1 THEN concat('GET /e/', CAST(event_id AS STRING), '/{k}?q=1 HTTP/1.1', CRLF, 'Host: h', CRLF, 'Transfer-Encoding: Chunked', CRLF, CRLF, '3', CRLF, 'abc', CRLF, '0', CRLF, CRLF) "
+    "ELSE concat('HTTP/1.1 ', CAST(200 + event_id % 5 AS STRING), ' OK', CRLF, 'content-length: ', CAST((event_id + {k}) % 7 AS STRING), CRLF, CRLF, " + _BODY + ") END ELSE '' END"
+)
+#: Up to five HTTP/2 frames in hexadecimal digits, by place: the type follows from id and place, the body from the type.
+_HEX = "lpad(hex(CAST({x} AS BIGINT)), {n}, '0')"
+_TYPE = "(event_id + {k} * {k}) % 10"
+_FRAME_BODY = (
+    "CASE " + _TYPE + " WHEN 0 THEN concat('0', CAST(event_id % 2 AS STRING), " + _HEX.format(x="event_id % 3000", n=8) + ", repeat('ab', CAST(event_id % 4 AS INT))) "
+    "WHEN 3 THEN " + _HEX.format(x="event_id % 14", n=8) + " WHEN 4 THEN concat(" + _HEX.format(x="event_id % 8 + 1", n=4) + ", " + _HEX.format(x="event_id * 3", n=8) + ") "
+    "WHEN 7 THEN concat(" + _HEX.format(x="event_id % 50", n=8) + ", " + _HEX.format(x="event_id % 14", n=8) + ") WHEN 8 THEN " + _HEX.format(x="event_id + 1", n=8) + " ELSE repeat('00', CAST(event_id % 4 AS INT)) END"
+)
+_FRAME = (
+    "CASE WHEN event_id % 5 + 1 >= {k} THEN concat(lpad(hex(CAST(length(" + _FRAME_BODY + ") / 2 AS BIGINT)), 6, '0'), " + _HEX.format(x=_TYPE, n=2) + ", " + _HEX.format(x="event_id % 6", n=2) + ", " + _HEX.format(x="event_id % 1000 * 2 + 1", n=8) + ", " + _FRAME_BODY + ") ELSE '' END"
+)
+_places = lambda text: ", ".join(text.replace("{k}", str(k)) for k in range(1, 6))
+
 VIEWS = {
+    "pipelines": f"""
+        SELECT event_id, event_id % 5 + 1 AS n, concat({_places(_MESSAGE).replace("CRLF", "chr(13), chr(10)")}) AS text FROM events""",
+    "frames": f"""
+        SELECT event_id, event_id % 5 + 1 AS n, concat(CASE WHEN event_id % 4 = 0 THEN '505249202a20485454502f322e300d0a0d0a534d0d0a0d0a' ELSE '' END, {_places(_FRAME)}) AS digits FROM events""",
     "packets": """
         SELECT event_id, user_id AS conn_id, MICROS(ts) * 1000 AS timestamp_ns, 1000 + user_id % 20 AS pid,
           CASE event_type WHEN 'error' THEN 3 WHEN 'view' THEN 2 WHEN 'signup' THEN 2 ELSE 1 END AS direction,
