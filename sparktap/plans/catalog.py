@@ -15,7 +15,8 @@ from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
 from sparktap.operators import bodies, detect, filters, metrics, processes, split, sse, temporal, topic
 from sparktap.sources import packets as records_io
-from sparktap.sources import sinks
+from sparktap.session import ship, temporary_folder
+from sparktap.sources import landed, sinks
 from sparktap.sources.fixtures import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,3 +581,17 @@ def _(spark, sf):
     made = view(spark, sf, "frames").select("event_id", F.unhex("digits").alias("payload"))
     told = F.array_join(F.transform("settings", lambda s: F.concat(s["name"], F.lit("="), s["value"].cast("string"))), ",")
     return split.frames(made).withColumn("settings", told).drop("payload", "held")
+
+
+@query("s1_k2_landed_records", duck("packets") + "SELECT event_id, timestamp_ns, conn_id, pid, src_ip, direction, comm, original_len, octet_length(encode('payload ' || event_id)) AS payload_len FROM packets")
+def _(spark, sf):
+    """Packets as records in files that rotate by bytes, read again in parts of files."""
+    ship(spark)
+    spark.dataSource.register(landed.LandedRecords)
+    p = view(spark, sf, "packets").withColumns({"tid": F.col("pid") + 7, "uid": F.lit(1000), "ip_version": F.lit(4), "truncated": F.col("truncated").cast("int")})
+    p = p.withColumn("payload", F.encode(F.concat(F.lit("payload "), F.col("event_id").cast("string")), "UTF-8")).withColumn("payload_len", F.length("payload").cast("long"))
+    folder = temporary_folder(spark, "landed")
+    records_io.encode(p).select("record").write.format("landed_records").option("path", folder).option("rotateBytes", 1 << 20).mode("append").save()
+    found = records_io.decode(spark.read.format("landed_records").option("path", folder).option("splitBytes", 1 << 18).load())
+    number = F.split(F.decode("payload", "UTF-8"), " ")[1].cast("long")
+    return found.select(number.alias("event_id"), "timestamp_ns", "conn_id", "pid", "src_ip", "direction", "comm", "original_len", "payload_len")

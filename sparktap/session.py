@@ -67,6 +67,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one for what isn't a table; it goes at the end of a temporary_tables() block around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
