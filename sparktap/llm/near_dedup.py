@@ -5,9 +5,9 @@ signature values, which agree with the probability of the Jaccard similarity. Ba
 BANDS follow from the threshold, so that a pair at the threshold is missed with probability 1e-6 at most.
 
 Documents with equal shingle sets are one vertex, so copies are never paired. Documents of a bucket are compared in rounds
-(see settle): with leaders first, at last all that are still apart, whatever their number, whose sketches (two bits of
-each signature value) allow the threshold; at the threshold they rule out a pair in a million, and sketch=False leaves
-them out. Every link is confirmed on the full sets.
+(see settle): with leaders first, at last all that are still apart, whatever their number, whose sketches allow the
+threshold. Those of two bits of each signature value rule out a pair at the threshold once in a million; odd sketches, in
+which each shingle turns one bit, never do. sketch=False leaves both out. Every link is confirmed on the full sets.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component. A row whose id is
 null has a null component and is kept. Rows that repeat an id are one vertex, with the links of each of its texts.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparktap.llm import spans
 from sparktap.llm.keep import without
-from sparktap.llm.settle import Sets, classes_of, crossed, fingerprints, lists, per_document, settle, word_sets
+from sparktap.llm.settle import Sets, classes_of, crossed, fingerprints, lists, odd_sketches, per_document, settle, word_sets
 from sparktap.session import materialise, release, ship
 
 ROWS = 8
@@ -93,8 +93,9 @@ def _sign(n_bands: int, width: int):
                 sketches = np.zeros((0, width_s), spans.U)
                 if len(full):
                     bands, sketches = signatures(runs, own, n_bands)
+                odd = odd_sketches(runs, bounds)
                 upto = np.concatenate([[0], np.cumsum(sizes > 0)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(bands.reshape(-1), upto * n_bands), lists(sketches.reshape(-1), upto * width_s)], names=["id", "n", "h1", "h2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(bands.reshape(-1), upto * n_bands), lists(sketches.reshape(-1), upto * width_s), lists(odd.reshape(-1), np.arange(len(sizes) + 1) * odd.shape[1])], names=["id", "n", "h1", "h2", "bands", "sketch", "odd"])
 
     return run
 
@@ -109,9 +110,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = range(sketch_words(n_bands))
     id_type = docs.schema[id_col].dataType.simpleString()
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
+    shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>, odd array<long>"
     signed = materialise(bare.mapInArrow(_sign(n_bands, width), shown), "signed")
-    classes = classes_of(signed, "bands", "sketch")
+    classes = classes_of(signed, "bands", "sketch", "odd")
     members = classes.select(F.explode("bands").alias("key"), "rep", F.col("n").alias("info"))
     sets = Sets(bare, width, num, den)
 
@@ -119,12 +120,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return den * F.least(x, y) >= num * F.greatest(x, y)
 
     def sketched(rows: DataFrame) -> DataFrame:
-        own = classes.select(F.col("rep").alias("of"), F.struct("n", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
+        own = classes.select(F.col("rep").alias("of"), F.struct("n", "odd", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
         return rows.join(own, F.col("rep") == F.col("of")).drop("of", "info").withColumnRenamed("sketched", "info")
 
     def alike(x: Column, y: Column) -> Column:
         unlike = sum((F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"])) for i in words), F.lit(0))
-        return fits(x["n"], y["n"]) & (unlike <= most_unlike(num / den, n_bands * ROWS))
+        # Shingles of one set only are as many as odd sketches differ in at least, and so many at most in a link.
+        apart = F.aggregate(F.zip_with(x["odd"], y["odd"], lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+        total = x["n"] + y["n"]
+        return fits(x["n"], y["n"]) & (unlike <= most_unlike(num / den, n_bands * ROWS)) & ((num + den) * (total - apart) >= 2 * num * total)
 
     def cross(rows: DataFrame) -> DataFrame:
         told = materialise(sketched(rows), "told")

@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 
 from sparktap.llm import spans
 from sparktap.llm.keep import join_salted
-from sparktap.llm.settle import BLOCK, Sets, classes_of, fingerprints, lists, per_document, settle, word_sets
+from sparktap.llm.settle import BLOCK, SKETCH, Sets, classes_of, fingerprints, lists, odd_sketches, per_document, settle, word_sets
 from sparktap.session import materialise, release, ship
 
 WIDTH = 4
 #: Bits of an n-gram's hash that choose its counter: 2**18 counters, whatever the input.
 BITS = 18
-#: Bits of a sketch, a power of two.
-SKETCH = 1024
 #: Bits that an n-gram's rank takes in a column's name, and those of its hash that follow.
 RANK, REST = 23, 41
 
@@ -43,15 +41,6 @@ def first_columns(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-def odd_sketches(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SKETCH bits of each text (as words): each n-gram turns one of them. Sketches of two sets differ in as many bits as
-    the sets differ in n-grams at most."""
-    sizes = np.diff(bounds)
-    at = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (spans.mix(runs + spans.U(7)) & spans.U(SKETCH - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=len(sizes) * SKETCH) & 1).astype(np.uint8).reshape(len(sizes), SKETCH)
-    return np.packbits(bits, axis=1).view(spans.U)
-
-
 def _counted(width: int, bits: int):
     """Rows (bucket, n): how many n-grams of this task's documents fall in each bucket."""
 

@@ -22,6 +22,8 @@ from sparktap.llm.components import components, contracted
 from sparktap.llm.keep import BROADCAST_IDS, join_named, join_salted
 from sparktap.session import materialise, release
 
+#: Bits of an odd sketch, a power of two.
+SKETCH = 1024
 #: Steps of contraction after each round but the last.
 STEPS = 2
 #: Members of a key that are compared with as many others in one group of a join.
@@ -50,6 +52,15 @@ def fingerprints(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketches(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each text (as words): each n-gram turns one of them. Sketches of two sets differ in as many bits as
+    the sets differ in n-grams at most."""
+    sizes = np.diff(bounds)
+    at = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (spans.mix(runs + spans.U(7)) & spans.U(SKETCH - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=len(sizes) * SKETCH) & 1).astype(np.uint8).reshape(len(sizes), SKETCH)
+    return np.packbits(bits, axis=1).view(spans.U)
+
+
 class Sets:
     """Full sets of rows (id, text), made from the texts once for each row that some pair asks for."""
 
@@ -60,7 +71,7 @@ class Sets:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), a table, that are linked: den * intersection >= num * union."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for p in self.parts:
             asked = asked.join(p.select("id"), "id", "left_anti")
         seen = Observation()
