@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparktap.llm import spans
 from sparktap.llm.keep import without
-from sparktap.llm.settle import Sets, classes_of, crossed, fingerprints, lists, odd_sketches, per_document, settle, word_sets
+from sparktap.llm.settle import Sets, classes_of, crossed, fingerprints, lists, per_document, settle, word_sets
 from sparktap.session import materialise, release, ship
 
 ROWS = 8
@@ -93,9 +93,8 @@ def _sign(n_bands: int, width: int):
                 sketches = np.zeros((0, width_s), spans.U)
                 if len(full):
                     bands, sketches = signatures(runs, own, n_bands)
-                odd = odd_sketches(runs, bounds)
                 upto = np.concatenate([[0], np.cumsum(sizes > 0)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(bands.reshape(-1), upto * n_bands), lists(sketches.reshape(-1), upto * width_s), lists(odd.reshape(-1), np.arange(len(sizes) + 1) * odd.shape[1])], names=["id", "n", "h1", "h2", "bands", "sketch", "odd"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists(bands.reshape(-1), upto * n_bands), lists(sketches.reshape(-1), upto * width_s)], names=["id", "n", "h1", "h2", "bands", "sketch"])
 
     return run
 
@@ -110,9 +109,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = range(sketch_words(n_bands))
     id_type = docs.schema[id_col].dataType.simpleString()
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>, odd array<long>"
+    shown = f"id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
     signed = materialise(bare.mapInArrow(_sign(n_bands, width), shown), "signed")
-    classes = classes_of(signed, "bands", "sketch", "odd")
+    classes = classes_of(signed, "bands", "sketch")
     members = classes.select(F.explode("bands").alias("key"), "rep", F.col("n").alias("info"))
     sets = Sets(bare, width, num, den)
 
@@ -120,7 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return den * F.least(x, y) >= num * F.greatest(x, y)
 
     def sketched(rows: DataFrame) -> DataFrame:
-        own = classes.select(F.col("rep").alias("of"), F.struct("n", "odd", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
+        odd = sets.odd_sketches(rows.select(F.col("rep").alias("id")))
+        own = classes.join(odd, F.col("rep") == F.col("id")).select(F.col("rep").alias("of"), F.struct("n", "odd", *[F.col("sketch")[i].alias(f"w{i}") for i in words]).alias("sketched"))
         return rows.join(own, F.col("rep") == F.col("of")).drop("of", "info").withColumnRenamed("sketched", "info")
 
     def alike(x: Column, y: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Columns are ordered from rare to common by a table of counts over hashed n-grams; its size is fixed, and any order gives
 the same links. A document's first columns are the first block: so many that documents linked with it share one of them
-at least. The product of this block with itself, column by column, adds up how many columns two documents share and where
+at least, and one of even fewer of the smaller document (columns that are among these for none of their rows are left
+out). The product of this block with itself, column by column, adds up how many columns two documents share and where
 the last one stands, and a pair goes on only if the sizes leave room for the overlap that a link needs. For pairs that go
 on all other columns are the second block, where the overlap is completed and compared.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktap.llm import spans
-from sparktap.llm.keep import join_salted
+from sparktap.llm.keep import BROADCAST_IDS, join_salted
 from sparktap.llm.settle import BLOCK, SKETCH, Sets, classes_of, fingerprints, lists, odd_sketches, per_document, settle, word_sets
 from sparktap.session import materialise, release, ship
 
@@ -41,6 +42,12 @@ def first_columns(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def core_columns(n, num: int, den: int):
+    """How many of its columns the smaller of two linked documents has that meet those first ones of the larger: a link
+    needs num / (num + den) of both sizes."""
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
 def _counted(width: int, bits: int):
     """Rows (bucket, n): how many n-grams of this task's documents fall in each bucket."""
 
@@ -98,7 +105,10 @@ def _product(num: int, den: int):
         own = [e[r[1]] for e, r in zip(entries, rows)]
         at = [np.searchsorted(r[0], rep) for r in rows]
         shape = tuple(len(r[0]) for r in rows)
-        count, last_x, last_y = (np.zeros(shape, np.int32) for _ in range(3))
+        count = np.zeros(shape, np.int32)
+        # Places of the last common column that is among the core ones of either; others may be left out after it.
+        last_x, last_y = (np.full(shape, -1, np.int32) for _ in range(2))
+        core = pos < core_columns(n, num, den)
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
         # Two n-grams of one text may have one name; each of their meetings counts then.
         twice = len(np.unique(np.column_stack([key, rep, side]), axis=0)) < len(key) if len(key) else False
@@ -107,14 +117,16 @@ def _product(num: int, den: int):
             y = low + np.flatnonzero(side[low:high] == 1)
             if len(x) and len(y):
                 cell = np.ix_(at[0][x], at[1][y])
+                told = core[x][:, None] | core[y][None]
+                px, py = (np.where(told, p, -1).astype(np.int32) for p in (pos[x][:, None], pos[y][None]))
                 if twice:
                     np.add.at(count, cell, 1)
-                    np.maximum.at(last_x, cell, pos[x][:, None].astype(np.int32))
-                    np.maximum.at(last_y, cell, pos[y][None].astype(np.int32))
+                    np.maximum.at(last_x, cell, px)
+                    np.maximum.at(last_y, cell, py)
                 else:
                     count[cell] += 1
-                    last_x[cell] = np.maximum(last_x[cell], pos[x][:, None])
-                    last_y[cell] = np.maximum(last_y[cell], pos[y][None])
+                    last_x[cell] = np.maximum(last_x[cell], px)
+                    last_y[cell] = np.maximum(last_y[cell], py)
         found = (count > 0) & (comp[own[0]][:, None] != comp[own[1]][None])
         nx, ny = n[own[0]][:, None], n[own[1]][None]
         found &= den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)
@@ -165,6 +177,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared_table = spark.sparkContext.broadcast(ranks(table))
     signed = materialise(bare.mapInArrow(_rows(width, shared_table, num, den), f"id {id_type}, n long, h1 long, h2 long, firsts array<long>, sketch array<long>"), "incidence")
     classes = classes_of(signed, "firsts", "sketch")
+    slim = materialise(signed.drop("firsts", "sketch"), "sizes")
+    release(signed)
     place = F.shiftleft(F.col("n"), 32) + F.col("pos")
     members = classes.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", place.alias("info"))
     sets = Sets(bare, width, num, den)
@@ -185,20 +199,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """By sketches first: with more n-grams in one set only than the sizes allow, a pair is no link."""
-        total = pairs.count()
-        told = pairs
+        ids = materialise(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct(), "ids")
+        few = ids.count() <= BROADCAST_IDS
+        named = classes.join(F.broadcast(ids) if few else ids, F.col("rep") == F.col("of"), "left_semi")
+        total, told = pairs.count(), pairs
         for x, y in (("a", "b"), ("b", "a")):
-            told = join_salted(told, classes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)), x, y, total)
+            told = join_salted(told, named.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)), x, y, total)
         apart = F.aggregate(F.zip_with("sa", "sb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
         # overlap = (na + nb - apart) / 2 at most
         told = materialise(told.where((num + den) * (F.col("na") + F.col("nb") - apart) >= 2 * num * (F.col("na") + F.col("nb"))).select("a", "b"), "told")
         links = sets.confirm(told)
-        release(told)
+        release(told, ids)
         return links
 
-    labels = settle(members, fits, confirm, cross)
+    size, at = F.shiftright("info", 32), F.col("info").bitwiseAND(F.lit((1 << 32) - 1))
+    core = (num + den) * (size - at) >= 2 * num * size
+    labels = settle(members, fits, confirm, cross, core)
     sets.release()
-    return per_document(signed, classes, labels, id_col)
+    return per_document(slim, classes, labels, id_col)
 
 
 def op12_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

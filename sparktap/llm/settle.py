@@ -78,8 +78,7 @@ class Sets:
         asked = materialise(asked.observe(seen, F.count(F.lit(1)).alias("n")), "asked")
         n = seen.get["n"]
         if n:
-            some = self.bare.join(F.broadcast(asked) if n <= BROADCAST_IDS else asked, "id", "left_semi")
-            self.parts.append(materialise(some.mapInArrow(_sets(self.width), f"id {self.kind}, runs array<long>"), "sets"))
+            self.parts.append(materialise(self._texts(asked, n).mapInArrow(_sets(self.width), f"id {self.kind}, runs array<long>"), "sets"))
         release(asked)
         if not self.parts:
             return pairs.limit(0)
@@ -94,6 +93,16 @@ class Sets:
         linked = self.den * both >= self.num * (F.size("runs_a") + F.size("runs_b") - both)
         return materialise(out.where(linked).select("a", "b"), "links")
 
+    def _texts(self, ids: DataFrame, n: int) -> DataFrame:
+        return self.bare.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    def odd_sketches(self, ids: DataFrame) -> DataFrame:
+        """A table (id, odd) of the rows with these ids."""
+        asked = materialise(ids.distinct(), "asked")
+        out = materialise(self._texts(asked, asked.count()).mapInArrow(_odd(self.width), f"id {self.kind}, odd array<long>"), "odd")
+        release(asked)
+        return out
+
     def release(self) -> None:
         release(*self.parts)
 
@@ -107,6 +116,16 @@ def _sets(width: int):
     return run
 
 
+def _odd(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in spans.slices(batches):
+            for ids, runs, bounds in word_sets(batch, width):
+                odd = odd_sketches(runs, bounds)
+                yield pa.RecordBatch.from_arrays([ids, lists(odd.reshape(-1), np.arange(len(odd) + 1) * odd.shape[1])], names=["id", "odd"])
+
+    return run
+
+
 def _blocks(rows: DataFrame, minor: bool, name: str) -> DataFrame:
     """A key's members dealt into blocks: each of the minor ones has a row of blocks, each member a column of them."""
     count = F.ceil(F.col("c") / BLOCK).cast("int")
@@ -126,26 +145,29 @@ def crossed(rows: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFr
     return pairs_of(met.where("cx <> cy").where(fits(F.col("ix"), F.col("iy"))), "x", "y")
 
 
-def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None, useful: Column | None = None) -> DataFrame:
     """Rows (id, component) of the members that are linked with a lesser one.
 
     members: key, rep, info. fits: whether two rows that share a key may be linked, by their infos. confirm: the links
     among pairs (a, b). cross: pairs that may be linked, from rows (key, rep, info, comp, most, c) of keys with several
     components; two rows of a key are compared if their comp differs. c: members of the key; most: its largest comp.
+    useful: keys without a member of this condition are left out.
     """
-    stats = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.min_by("info", "rep").alias("lead_info")).where("lead < high").drop("high")
+    stats = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.min_by("info", "rep").alias("lead_info"), F.coalesce(F.bool_or(useful), F.lit(True)).alias("of_use") if useful is not None else F.lit(True).alias("of_use"))
+    stats = stats.where("lead < high AND of_use").drop("high", "of_use")
     shared = materialise(members.join(stats, "key"), "shared")
     first = materialise(pairs_of(shared.where("rep <> lead").where(fits(F.col("lead_info"), F.col("info"))), "lead", "rep"), "pairs")
     links = confirm(first)
     stars = contracted(links, STEPS)
     release(links, first)
-    shared_by = shared.drop("lead", "lead_info")
-    number, before, last = 0, None, False
+    open_, number, before, last = None, 0, None, False
     while not last:
         number += 1
         # Rows of one label belong together. Until the end some that do may have several.
         labels = stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-        at = shared_by.join(labels, shared_by["rep"] == labels["id"], "left").select("key", "rep", "info", F.coalesce("component", "rep").alias("comp"))
+        # A key whose members are of one component stays so.
+        rows_by = (shared if open_ is None else open_).select("key", "rep", "info")
+        at = rows_by.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "info", F.coalesce("component", "rep").alias("comp"))
         drawn = F.xxhash64("rep", F.lit(number))
         parts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("rep", drawn).alias("lead"), F.min_by("info", drawn).alias("lead_info"))
         most = [F.max_by(x, "c").alias(y) for x, y in (("comp", "most"), ("lead", "lead"), ("lead_info", "lead_info"))]
@@ -153,10 +175,10 @@ def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm
         mixed = mixed.select("key", "most", "lead", "lead_info", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("cross"))
         seen = Observation()
         # Each row has its share of its key's pairs.
-        open_ = materialise(at.join(mixed, "key").observe(seen, F.sum(F.col("cross") / F.col("c")).alias("cross"), F.count(F.lit(1)).alias("rows")), "open")
+        base, open_ = open_, materialise(at.join(mixed, "key").observe(seen, F.sum(F.col("cross") / F.col("c")).alias("cross"), F.count(F.lit(1)).alias("rows")), "open")
+        release(base)
         rows, left = seen.get["rows"], seen.get["cross"] or 0
         if not rows:
-            release(open_)
             break
         last = left <= 4 * rows or (before is not None and left > 0.7 * before)
         minor = F.col("comp") != F.col("most")
@@ -167,9 +189,9 @@ def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm
         new = materialise(new, "pairs")
         links = confirm(new)
         joined = contracted(stars.select("a", "b").union(links), None if last else STEPS)
-        release(stars, links, new, open_)
+        release(stars, links, new)
         stars, before = joined, left
-    release(shared)
+    release(shared, open_)
     return components(stars) if not last else stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
