@@ -29,19 +29,25 @@ def promote(codes: Column) -> Column:
 
 
 def totals(numbered: DataFrame, protocol: str | None = "protocol") -> DataFrame:
-    """One record for each life of a connection."""
+    """One record for each life of a connection.
+
+    Of each code only the first place counts in a promotion: the first known code stands until the first one that may
+    follow it, and what follows stays. So packets are first summed up by life and code, at most nine rows a life, which lie
+    where the packets of their connection do.
+    """
     way = lambda d: F.col("direction") == d
-    aggs = [
-        F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"), F.max(F.when(way(3), F.col("timestamp_ns"))).alias("closed_ns"),
-        F.count_if(way(1)).alias("packets_sent"), F.count_if(way(2)).alias("packets_recv"), F.sum(F.when(way(1), F.col("original_len")).otherwise(0)).alias("bytes_sent"), F.sum(F.when(way(2), F.col("original_len")).otherwise(0)).alias("bytes_recv"),
-        F.min_by("pid", F.struct(*ORDER)).alias("pid"),
-    ]
-    if protocol:
-        aggs.append(F.array_sort(F.collect_list(F.struct(*ORDER, F.col(protocol).alias("p")))).alias("seen"))
-    out = numbered.groupBy("conn_id", "incarnation").agg(*aggs)
-    if protocol:
-        out = out.withColumn("protocol", promote(F.transform("seen", lambda x: x["p"]))).drop("seen")
-    return with_derived(out)
+    aggs = {
+        "first_ns": F.min("timestamp_ns"), "last_ns": F.max("timestamp_ns"), "closed_ns": F.max(F.when(way(3), F.col("timestamp_ns"))),
+        "packets_sent": F.count_if(way(1)), "packets_recv": F.count_if(way(2)), "bytes_sent": F.sum(F.when(way(1), F.col("original_len")).otherwise(0)), "bytes_recv": F.sum(F.when(way(2), F.col("original_len")).otherwise(0)),
+    }
+    first = F.struct(*ORDER)
+    if not protocol:
+        return with_derived(numbered.groupBy("conn_id", "incarnation").agg(*[c.alias(k) for k, c in aggs.items()], F.min_by("pid", first).alias("pid")))
+    each = numbered.groupBy("conn_id", "incarnation", F.col(protocol).alias("p")).agg(*[c.alias(k) for k, c in aggs.items()], F.min_by("pid", first).alias("pid"), F.min(first).alias("at"))
+    again = {"first_ns": F.min, "last_ns": F.max, "closed_ns": F.max}
+    seen = F.array_sort(F.collect_list(F.struct("at", "p")))
+    out = each.groupBy("conn_id", "incarnation").agg(*[again.get(k, F.sum)(k).alias(k) for k in aggs], F.min_by("pid", "at").alias("pid"), seen.alias("seen"))
+    return with_derived(out.withColumn("protocol", promote(F.transform("seen", lambda x: x["p"]))).drop("seen"))
 
 
 def with_derived(records: DataFrame) -> DataFrame:
@@ -81,6 +87,7 @@ TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "pid")
 
 
 def by_tuple(packets: DataFrame) -> DataFrame:
-    """Packets with the key of their connection (a struct) and whether they are the first of it, which creates it."""
-    w = W.partitionBy(*TUPLE).orderBy(*ORDER)
-    return packets.withColumns({"tuple": F.struct(*TUPLE), "created": F.row_number().over(w) == 1})
+    """Packets with the key of their connection (a struct), whether they are the first of it, which creates it, and the
+    least connection id under that key. One shuffle serves all."""
+    w = W.partitionBy(*TUPLE)
+    return packets.withColumns({"tuple": F.struct(*TUPLE), "created": F.row_number().over(w.orderBy(*ORDER)) == 1, "found_conn": F.min("conn_id").over(w)})

@@ -15,7 +15,7 @@ from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
 from sparktap.operators import bodies, detect, filters, metrics, processes, split, sse, temporal, topic
 from sparktap.sources import packets as records_io
-from sparktap.session import ship, temporary_folder
+from sparktap.session import materialise, ship, temporary_folder
 from sparktap.sources import landed, sinks
 from sparktap.sources.fixtures import duck, view
 
@@ -194,10 +194,11 @@ def _(spark, sf):
     return pairs.where(filters.syscall_ok("read")).select("tid", "l_orderkey", "l_linenumber", "l_partkey", "entry_l_partkey")
 
 
-@query("j5_registered_pids", duck("proc_events", "ssl_events") + "SELECT e.event_id FROM proc_events e JOIN (SELECT pid, min(timestamp_ns) AS since FROM ssl_events GROUP BY pid) s USING (pid) WHERE e.timestamp_ns >= since / 1000000000000")
+@query("j5_registered_pids", duck("proc_events", "ssl_events") + "SELECT e.event_id FROM proc_events e JOIN (SELECT pid, min(timestamp_ns) AS since FROM ssl_events GROUP BY pid) s USING (pid) WHERE e.timestamp_ns * 1000 >= since // 1000000000")
 def _(spark, sf):
-    ssl = view(spark, sf, "ssl_events").withColumn("timestamp_ns", (F.col("timestamp_ns") / 1e12).cast("double"))
-    return processes.after_first_seen(view(spark, sf, "proc_events"), ssl).select("event_id")
+    # The two tables' clocks differ by a factor of 10**12.
+    ssl = view(spark, sf, "ssl_events").withColumn("timestamp_ns", F.expr("timestamp_ns div 1000000000"))
+    return processes.after_first_seen(view(spark, sf, "proc_events").withColumn("timestamp_ns", F.col("timestamp_ns") * 1000), ssl).select("event_id")
 
 
 @query("j7_resolved_paths", duck("proc_events") + ", o AS (SELECT pid, fd, timestamp_ns, path FROM proc_events WHERE event_type = 3) SELECT w.event_id, w.pid, w.fd, w.timestamp_ns, o.path AS resolved_path FROM (SELECT * FROM proc_events WHERE event_type = 4) w ASOF LEFT JOIN o ON w.pid = o.pid AND w.fd = o.fd AND w.timestamp_ns >= o.timestamp_ns")
@@ -258,9 +259,9 @@ def _(spark, sf):
   SELECT 'key-1' AS agent_key, (pid << 16) | (seq & 65535) AS conn_id, timestamp_ns, pid, comm AS process_name, 'HTTPS' AS protocol, CASE direction WHEN 'write' THEN 'EGRESS' ELSE 'INGRESS' END AS direction,
     CASE WHEN contains(data, '"messages"') OR contains(data, '"model"') THEN 'POST' END AS method, CAST(NULL AS VARCHAR) AS raw_path, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS bytes_count FROM ssl_events
   UNION ALL SELECT 'key-2', (pid << 16) | (timestamp_ns & 65535), timestamp_ns, pid, CASE WHEN event_type = 1 AND comm = '' THEN string_split(path, '/')[-1] ELSE comm END, 'KERNEL', '', NULL, NULL, path, bytes_count FROM proc_events)
-  SELECT * FROM t WHERE conn_id % 10 <> 0 AND conn_id % 17 <> 0""")
+  SELECT *, timestamp_ns // 1000 AS occurred_us FROM t WHERE conn_id % 10 <> 0 AND conn_id % 17 <> 0""")
 def _(spark, sf):
-    return topic.normalise(_messages(spark, sf)).drop("occurred_at", *topic.HTTP_COLUMNS)
+    return topic.normalise(_messages(spark, sf)).withColumn("occurred_us", F.unix_micros("occurred_at")).drop("occurred_at", *topic.HTTP_COLUMNS)
 
 
 @query("m9_p14_request_lines", "SELECT page_id, 'GET' AS method, '/' || CASE WHEN contains(t, '/') THEN split_part(substr(t, instr(t, '/') + 1), '?', 1) ELSE '' END AS path, nullif(CASE WHEN contains(t, '?') THEN substr(t, instr(t, '?') + 1) ELSE '' END, '') AS query FROM (SELECT page_id, split_part(split_part(url, '#', 1), '//', 2) AS t FROM pages)")
@@ -318,7 +319,11 @@ def _raw(spark, sf):
 
 @query("s2_p1_m1_decode_records", duck("packets") + "SELECT event_id, timestamp_ns, conn_id, pid, pid + 7 AS tid, src_ip, dst_ip, src_port::BIGINT AS src_port, direction, protocol, comm, truncated, least(payload_len, 3) AS payload_len, original_len FROM packets")
 def _(spark, sf):
-    return records_io.decode(_raw(spark, sf).select("event_id", "record")).select("event_id", "timestamp_ns", "conn_id", "pid", "tid", "src_ip", "dst_ip", "src_port", "direction", "protocol", "comm", "truncated", "payload_len", "original_len")
+    return decoded(materialise(_raw(spark, sf).select("event_id", "record"), "records"))
+
+
+def decoded(records: DataFrame) -> DataFrame:
+    return records_io.decode(records).select("event_id", "timestamp_ns", "conn_id", "pid", "tid", "src_ip", "dst_ip", "src_port", "direction", "protocol", "comm", "truncated", "payload_len", "original_len")
 
 
 @query("b12_kernel_sniff", duck("packets") + "SELECT event_id, CASE WHEN direction = 3 THEN 0 ELSE [1, 1, 1, 6, 2, 2, 4, 5, 5, 1, 0][event_id % 11 + 1] END AS protocol FROM packets")
@@ -442,9 +447,7 @@ def _(spark, sf):
 
 @query("j2_tuple_lookup", duck("packets") + "SELECT event_id, min(conn_id) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, pid) AS found_conn, row_number() OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, pid ORDER BY timestamp_ns, event_id) = 1 AS created FROM packets")
 def _(spark, sf):
-    p = C.by_tuple(view(spark, sf, "packets"))
-    first = p.groupBy("tuple").agg(F.min("conn_id").alias("found_conn"))
-    return p.join(first, "tuple").select("event_id", "found_conn", "created")
+    return C.by_tuple(view(spark, sf, "packets")).select("event_id", "found_conn", "created")
 
 
 #: Process events as changes of the tree: event types stand for the three kinds, a third of the pid for its parent.
