@@ -8,7 +8,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparktap.functions.scalars import hex64
@@ -104,16 +104,24 @@ def build(plans: list[dict]) -> tuple[list[tuple[str, Sink]], list[str]]:
 
 
 def fan_out(df: DataFrame, sinks: list[tuple[str, Sink]], keep: Column | None = None) -> list[dict]:
-    """Write to every sink; one that fails doesn't stop the others. Returns what each wrote, and what failed."""
-    rows = (df.where(keep) if keep is not None else df).persist()
+    """Write to every sink; one that fails doesn't stop the others. Returns what each wrote and what failed, how many rows the
+    filter left out and the bytes of the others as JSON lines, all counted in the one pass that keeps the rows."""
+    seen = Observation()
+    good = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    marked = df.withColumn("__kept", good)
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "true"})) + 1
+    counted = marked.observe(seen, F.count_if("__kept").alias("kept"), F.count_if(~F.col("__kept")).alias("filtered"), F.coalesce(F.sum(F.when(F.col("__kept"), size)), F.lit(0)).alias("bytes"))
+    rows = counted.where("__kept").drop("__kept").persist()
     try:
-        n, out = rows.count(), []
+        rows.count()
+        n, out = seen.get["kept"], []
         for kind, sink in sinks:
+            base = {"sink": kind, "error": None, "filtered": seen.get["filtered"]}
             try:
                 told = sink(rows) or {"written": n, "failed": 0}
-                out.append({"sink": kind, "error": None} | told)
+                out.append(base | {"bytes": seen.get["bytes"] if not told["failed"] else None} | told)
             except Exception as e:
-                out.append({"sink": kind, "error": str(e)[:200], "written": 0, "failed": n})
+                out.append(base | {"error": str(e)[:200], "written": 0, "failed": n, "bytes": 0})
         return out
     finally:
         rows.unpersist()
