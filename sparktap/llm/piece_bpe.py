@@ -3,12 +3,13 @@
 A text is a list of units: spaces and what follows up to the next space; no piece of the vocabulary spans two units, so
 each is merged alone, by an agenda: the candidate of the best score goes first, of equal ones the leftmost. A candidate
 is skipped for good where a keyed hash of seed, variant, unit and the candidate's place says so, with chance `dropout`.
-Each occurrence of a unit takes one of VARIANTS variants by a keyed hash of the document and the place, so one text has
-varied segmentations and a rerun gives the same. All distinct units of a block are merged at once by numpy; a very
+Each occurrence of a unit takes one of `variants` variants by a keyed hash of the document and the place, so one text has
+varied segmentations and a rerun gives the same; variants=None bounds them by nothing. All distinct units of a block are merged at once by numpy; a very
 long unit is merged by a heap, with the same result. Without dropout the ids are those of the sentencepiece library.
 
 Decoding gives the text back whatever was skipped: characters outside the vocabulary, and the literal mark that stands
-for a space, are written as bytes. Defined results: null text encodes to null, empty text to no ids, and back.
+for a space, are written as bytes. Defined results: null text encodes to null, empty text to no ids, and back; a null id
+names a document like any other, and rows that repeat an id and a text have the same ids.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from sparktap.session import ship
 MARK = 0x2581
 #: Stands for a literal mark inside the text, and for the end of a text in a block.
 LITERAL, BREAK = 0x110000, 0x110001
+#: Variants of a unit where the caller names no other number.
 VARIANTS = 8
 DROPOUT = 0.1
 SEED = 17
@@ -79,7 +81,8 @@ class Pieces:
 
 
 class Codec:
-    def __init__(self, path: str, dropout: float, seed: int):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = VARIANTS):
+        self.variants = variants
         self.pieces, self.dropout, self.seed = Pieces(path), dropout, spans.U(seed * 2 + 1)
         self.limit = spans.U(min(int(dropout * 2.0**64), (1 << 64) - 1))
         self._forget()
@@ -227,7 +230,9 @@ class Codec:
         nth = np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)
         keys = spans.span_hashes(spans.prefix(codes), starts, ends)
         if self.dropout:
-            variant = spans.mix(names[owner] + spans.mix(nth.astype(np.uint64) + self.seed)) % spans.U(VARIANTS)
+            variant = spans.mix(names[owner] + spans.mix(nth.astype(np.uint64) + self.seed))
+            if self.variants is not None:
+                variant %= spans.U(self.variants)
             keys = spans.mix(keys + (variant + spans.U(1)) * spans.U(spans.BASE) * self.seed)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.known, distinct)
@@ -271,25 +276,29 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> Codec:
+def codec(path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> Codec:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    key = (path, dropout, seed)
+    key = (path, dropout, seed, variants)
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """Rows (id, *keep, ids): token ids as 32-bit little-endian numbers, null for null text."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> DataFrame:
+    """Rows (id, *keep, ids): token ids as 32-bit little-endian numbers, null for null text.
+
+    variants: segmentations that a distinct unit has over all documents, so that most come from memory; None: each
+    occurrence draws its own, by document and place.
+    """
     ship(docs.sparkSession)
     few = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("ids"))
     schema = ", ".join(f"`{n}` {t}" for n, t in few.dtypes[:-1]) + ", ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, dropout, seed)
+        c = codec(path, dropout, seed, variants)
         for batch in spans.slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = c.encode([x or "" for x in texts], list(map(str, batch.column(0).to_pylist())))

@@ -79,3 +79,19 @@ def test_nulls_and_clashing_columns(spark):
     back = B.decode(B.encode(d)).collect()
     assert sorted((r.doc_id or 0, r.text or "-" if r.text is not None else None) for r in back if r.text is not None) == [(0, "-"), (1, "a b")]
     assert sum(r.text is None for r in back) == 1 and B.encode(d.limit(0)).count() == 0
+
+
+def test_variants_without_a_bound(spark):
+    """A frequent unit has more segmentations than any bound, a bound holds, and all decode; a very long unit goes through."""
+    word, long = "internationalisation", "unbreakable" * 900
+    rows = [(i if i else None, f"{word} {word} {word}") for i in range(300)] + [(7, long), (7, long)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    for variants in (None, 2):
+        encoded = B.encode(d, variants=variants, dropout=0.3)
+        back = B.decode(encoded, text_col="back").collect()
+        assert sorted(r.back for r in back) == sorted(t for _, t in rows)
+        one = B.codec(None, 0.3, B.SEED, variants)
+        seen[variants] = {x.tobytes() for i in range(300) for x in one.encode([word], [str(i)])}
+        assert len({bytes(r.ids) for r in back if r.back == long}) == 1
+    assert len(seen[2]) <= 2 and len(seen[None]) > 8
