@@ -2,8 +2,7 @@
 
 Columns are ordered from rare to common by a table of counts over hashed n-grams; its size is fixed, and any order gives
 the same links. A document's first columns are the first block: so many that documents linked with it share one of them
-at least, and one of even fewer of the smaller document (columns that are among these for none of their rows are left
-out). The product of this block with itself, column by column, adds up how many columns two documents share and where
+at least. The product of this block with itself, column by column, adds up how many columns two documents share and where
 the last one stands, and a pair goes on only if the sizes leave room for the overlap that a link needs. For pairs that go
 on all other columns are the second block, where the overlap is completed and compared.
 
@@ -42,12 +41,6 @@ def first_columns(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-def core_columns(n, num: int, den: int):
-    """How many of its columns the smaller of two linked documents has that meet those first ones of the larger: a link
-    needs num / (num + den) of both sizes."""
-    return n - -(-2 * num * n // (num + den)) + 1
-
-
 def _counted(width: int, bits: int):
     """Rows (bucket, n): how many n-grams of this task's documents fall in each bucket."""
 
@@ -105,10 +98,7 @@ def _product(num: int, den: int):
         own = [e[r[1]] for e, r in zip(entries, rows)]
         at = [np.searchsorted(r[0], rep) for r in rows]
         shape = tuple(len(r[0]) for r in rows)
-        count = np.zeros(shape, np.int32)
-        # Places of the last common column that is among the core ones of either; others may be left out after it.
-        last_x, last_y = (np.full(shape, -1, np.int32) for _ in range(2))
-        core = pos < core_columns(n, num, den)
+        count, last_x, last_y = (np.zeros(shape, np.int32) for _ in range(3))
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
         # Two n-grams of one text may have one name; each of their meetings counts then.
         twice = len(np.unique(np.column_stack([key, rep, side]), axis=0)) < len(key) if len(key) else False
@@ -117,8 +107,7 @@ def _product(num: int, den: int):
             y = low + np.flatnonzero(side[low:high] == 1)
             if len(x) and len(y):
                 cell = np.ix_(at[0][x], at[1][y])
-                told = core[x][:, None] | core[y][None]
-                px, py = (np.where(told, p, -1).astype(np.int32) for p in (pos[x][:, None], pos[y][None]))
+                px, py = (p.astype(np.int32) for p in (pos[x][:, None], pos[y][None]))
                 if twice:
                     np.add.at(count, cell, 1)
                     np.maximum.at(last_x, cell, px)
@@ -212,9 +201,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(told, ids)
         return links
 
-    size, at = F.shiftright("info", 32), F.col("info").bitwiseAND(F.lit((1 << 32) - 1))
-    core = (num + den) * (size - at) >= 2 * num * size
-    labels = settle(members, fits, confirm, cross, core)
+    labels = settle(members, fits, confirm, cross)
     sets.release()
     return per_document(slim, classes, labels, id_col)
 
