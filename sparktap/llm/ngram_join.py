@@ -165,11 +165,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     shared_table = spark.sparkContext.broadcast(ranks(table))
     signed = materialise(bare.mapInArrow(_rows(width, shared_table, num, den), f"id {id_type}, n long, h1 long, h2 long, firsts array<long>, sketch array<long>"), "incidence")
-    classes = classes_of(signed, "firsts", "sketch")
+    wide = classes_of(signed, "firsts", "sketch")
+    classes = materialise(wide.drop("firsts"), "classes")
     slim = materialise(signed.drop("firsts", "sketch"), "sizes")
     release(signed)
     place = F.shiftleft(F.col("n"), 32) + F.col("pos")
-    members = classes.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", place.alias("info"))
+    members = wide.select("rep", "n", F.posexplode("firsts").alias("pos", "key")).select("key", "rep", place.alias("info"))
     sets = Sets(bare, width, num, den)
 
     def room(overlap: Column, nx: Column, ny: Column) -> Column:
@@ -201,7 +202,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(told, ids)
         return links
 
-    labels = settle(members, fits, confirm, cross)
+    labels = settle(members, fits, confirm, cross, lambda: release(wide))
     sets.release()
     return per_document(slim, classes, labels, id_col)
 

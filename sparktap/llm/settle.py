@@ -145,15 +145,18 @@ def crossed(rows: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFr
     return pairs_of(met.where("cx <> cy").where(fits(F.col("ix"), F.col("iy"))), "x", "y")
 
 
-def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def settle(members: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None, read: Callable[[], None] | None = None) -> DataFrame:
     """Rows (id, component) of the members that are linked with a lesser one.
 
     members: key, rep, info. fits: whether two rows that share a key may be linked, by their infos. confirm: the links
     among pairs (a, b). cross: pairs that may be linked, from rows (key, rep, info, comp, most, c) of keys with several
     components; two rows of a key are compared if their comp differs. c: members of the key; most: its largest comp.
+    read: called when the members aren't read any more.
     """
     stats = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("high"), F.min_by("info", "rep").alias("lead_info")).where("lead < high").drop("high")
     shared = materialise(members.join(stats, "key"), "shared")
+    if read:
+        read()
     first = materialise(pairs_of(shared.where("rep <> lead").where(fits(F.col("lead_info"), F.col("info"))), "lead", "rep"), "pairs")
     links = confirm(first)
     stars = contracted(links, STEPS)
