@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparktap import schema
 from sparktap.functions import scalars as S
 from sparktap.operators import connections as C
-from sparktap.operators import bodies, detect, filters, metrics, processes, split, sse, temporal, topic
+from sparktap.operators import bodies, capacity, detect, filters, metrics, processes, split, sse, temporal, topic
 from sparktap.sources import packets as records_io
 from sparktap.session import materialise, ship, temporary_folder
 from sparktap.sources import landed, sinks
@@ -90,6 +90,34 @@ PROMOTION = ALL_PACKETS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELE
   SELECT conn_id, incarnation, arg_max(protocol, k) AS protocol FROM p GROUP BY 1, 2"""
 
 
+#: Packet after packet, with the list of all held connections: the least recent first.
+PLACES = 32
+REPLAY = duck("packets").replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT *, row_number() OVER (ORDER BY timestamp_ns, event_id) AS i FROM packets),
+  r(i, held, gone) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+    SELECT e.i, CASE WHEN e.direction = 3 THEN x.rest ELSE list_append(x.rest, e.conn_id) END, x.gone
+    FROM r JOIN e ON e.i = r.i + 1, LATERAL (SELECT NOT list_contains(r.held, e.conn_id) AND len(r.held) >= {PLACES} AS full) f,
+      LATERAL (SELECT CASE WHEN f.full THEN r.held[1] END AS gone, CASE WHEN f.full THEN r.held[2:] WHEN list_contains(r.held, e.conn_id)
+        THEN list_concat(r.held[:list_position(r.held, e.conn_id) - 1], r.held[list_position(r.held, e.conn_id) + 1:]) ELSE r.held END AS rest) x) """
+
+
+@query("t2_lru_evictions", REPLAY + """SELECT r.gone AS conn_id, l.timestamp_ns AS last_ns, l.event_id AS last_event_id, e.timestamp_ns AS at_ns, e.event_id AS at_event_id
+  FROM r JOIN e ON e.i = r.i JOIN (SELECT r.i, max(e.i) AS last FROM r JOIN e ON e.conn_id = r.gone AND e.i < r.i GROUP BY 1) m ON m.i = r.i JOIN e l ON l.i = m.last""")
+def _(spark, sf):
+    return capacity.bounded(view(spark, sf, "packets"), PLACES)[0]
+
+
+@query("o2_lru_order", REPLAY + """SELECT h.conn_id, max(e.timestamp_ns) AS last_ns, arg_max(e.event_id, e.i) AS last_event_id, h.lru_no
+  FROM (SELECT unnest(held) AS conn_id, generate_subscripts(held, 1)::BIGINT AS lru_no FROM r WHERE i = (SELECT max(i) FROM r)) h JOIN e USING (conn_id) GROUP BY 1, 4""")
+def _(spark, sf):
+    return capacity.bounded(view(spark, sf, "packets"), PLACES)[1]
+
+
+@query("a3_bounded_tracker", REPLAY + """SELECT (SELECT len(held) FROM r ORDER BY i DESC LIMIT 1)::BIGINT AS active, sum(CASE WHEN fresh THEN 1 ELSE 0 END)::BIGINT AS created, count(*) FILTER (direction = 3) AS closed, count(gone) AS evicted
+  FROM (SELECT e.direction, r.gone, NOT list_contains(b.held, e.conn_id) AS fresh FROM r JOIN e ON e.i = r.i JOIN r b ON b.i = r.i - 1)""")
+def _(spark, sf):
+    return capacity.bounded(view(spark, sf, "packets"), PLACES)[2]
+
+
 @query("t10_promotion", PROMOTION)
 def _(spark, sf):
     return C.totals(C.incarnations(view(spark, sf, "packets"))).select("conn_id", "incarnation", "protocol")
