@@ -44,6 +44,11 @@ def preview(data: Column, size: int = 128) -> Column:
     return F.regexp_replace(F.decode(F.substring(data, 1, size), "ISO-8859-1"), "(?s)[^ -~]", ".")
 
 
+def payload_fields(data: Column, include_payload: bool = False) -> dict[str, Column]:
+    """What a record shows of its payload: a preview, and all of it in hexadecimal digits where that is asked for."""
+    return {"payload_preview": preview(data)} | ({"payload_hex": F.lower(F.hex(data))} if include_payload else {})
+
+
 def direction_name(code: Column) -> Column:
     return F.when(code == 2, "INGRESS").when(code == 3, "CLOSE").otherwise("EGRESS")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,11 @@ def same_comm(col: str, name: str) -> Column:
     return F.substring(F.col(col), 1, 15) == name[:15]
 
 
+def inet_only(family: str = "family") -> Column:
+    """Sockets of the IPv4 family; what has no family isn't captured."""
+    return F.coalesce(F.col(family) == schema.AF_INET, F.lit(False))
+
+
 @dataclass
 class OutputFilter:
     """Conditions that must all hold; unset ones hold always. Protocols are display or enum names."""
@@ -44,8 +50,8 @@ class OutputFilter:
             raise ValueError(f"unknown filter keys: {sorted(extra)}")
         return cls(**given)
 
-    def column(self, protocol: str = "protocol", direction: str = "direction", body: str | None = None, parse_error: str | None = None) -> Column:
-        """Cheap conditions come first."""
+    def column(self, protocol: str = "protocol", direction: str = "direction", body: str | Sequence[str] | None = None, parse_error: str | None = None) -> Column:
+        """Cheap conditions come first. body: the column of the body's length, or several, of which the first known one counts."""
         out = F.lit(True)
         if self.protocols:
             known = {v.lower(): k for names in (schema.PROTOCOLS, schema.PROTOCOL_ENUMS) for k, v in names.items()}
@@ -56,7 +62,8 @@ class OutputFilter:
         if self.directions:
             out = out & F.col(direction).isin([k for k, v in schema.DIRECTIONS.items() if v in {d.upper() for d in self.directions}])
         if self.min_body_bytes and body:
-            out = out & F.coalesce(F.col(body) >= self.min_body_bytes, F.lit(True))  # an unknown length passes
+            known = F.coalesce(*([body] if isinstance(body, str) else body))
+            out = out & F.coalesce(known >= self.min_body_bytes, F.lit(True))  # an unknown length passes
         if self.drop_parse_errors and parse_error:
             out = out & F.col(parse_error).isNull()
         return out
@@ -74,3 +81,11 @@ def clip(payload: str = "payload", most: int = schema.MAX_PAYLOAD) -> tuple[Colu
 def split_by_filter(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     keep = F.coalesce(keep, F.lit(False))
     return df.where(keep), df.where(~keep)
+
+
+def first_of_each(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """One row for each value of `by` (null is one too), the first in the order: distinct values that keep their order.
+    Rows are cut down map-side, so a value with most rows is no hot group. Rows that tie in the order go by their other columns."""
+    rest = [c for c in rows.columns if c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("__first")
+    return rows.groupBy(F.col(by).alias("__by")).agg(first).select(*[F.col("__first")[c].alias(c) for c in rows.columns])

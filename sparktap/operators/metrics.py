@@ -27,6 +27,14 @@ def deltas(series: DataFrame, key: list[str], order: list[str], value: str) -> D
     return series.withColumn("delta", F.greatest(F.lit(0), F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))))
 
 
+def drops(readings: DataFrame, key: list[str], order: list[str], value: str = "drops") -> DataFrame:
+    """Rows (key, order, total, delta) from counters by CPU: their sum at each reading, and by how much it is above the
+    highest one before; a counter that falls back counts nothing until it is above that again. Null counters count as 0."""
+    each = readings.groupBy(*key, *order).agg(F.sum(F.coalesce(value, F.lit(0))).alias("total"))
+    before = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return each.withColumn("delta", F.greatest(F.lit(0), F.col("total") - F.greatest(F.lit(0), F.max("total").over(before))))
+
+
 def rates(packets: DataFrame, seconds: int = 10) -> DataFrame:
     """Events a second in tumbling windows; the ends of a window that has no events aren't shown."""
     start = F.floor(F.col("timestamp_ns") / (seconds * 1_000_000_000)).cast("long")

@@ -87,3 +87,11 @@ def tree_at(events: DataFrame, now_ns: int) -> DataFrame:
 def collected(nodes: DataFrame, now_ns: int, keep_ns: int = 300_000_000_000) -> DataFrame:
     """The table without nodes that ended longer ago than the limit."""
     return nodes.where(F.col("exited_ns").isNull() | (F.col("exited_ns") >= now_ns - keep_ns))
+
+
+def snapshot(nodes: DataFrame) -> DataFrame:
+    """The nodes (pid, ppid, more) with their children's pids, ascending, empty for none. A process has as many children as
+    the kernel has pids at most (4 million), so a list is bounded; no row's list is made twice."""
+    lists = nodes.where("ppid IS NOT NULL").groupBy("ppid").agg(F.array_sort(F.collect_set("pid")).alias("children")).withColumnRenamed("ppid", "__parent")
+    joined = nodes.join(lists, F.col("pid") == F.col("__parent"), "left").drop("__parent")
+    return joined.withColumn("children", F.coalesce("children", F.array().cast(lists.schema["children"].dataType)))

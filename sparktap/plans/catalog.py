@@ -629,3 +629,62 @@ def _(spark, sf):
     found = records_io.decode(spark.read.format("landed_records").option("path", folder).option("splitBytes", 1 << 18).load())
     number = F.split(F.decode("payload", "UTF-8"), " ")[1].cast("long")
     return found.select(number.alias("event_id"), "timestamp_ns", "conn_id", "pid", "src_ip", "direction", "comm", "original_len", "payload_len")
+
+
+@query("f3_inet_only", duck("packets") + "SELECT event_id FROM packets WHERE event_id % 7 IN (1, 2, 3, 5, 6)")
+def _(spark, sf):
+    family = F.when(F.col("event_id") % 7 == 0, 10).when(F.col("event_id") % 7 == 4, None).otherwise(2)
+    return view(spark, sf, "packets").withColumn("family", family).where(filters.inet_only()).select("event_id")
+
+
+@query("p3_payload_hex", """WITH h AS (SELECT conv_id, turn, coalesce(lower(hex(encode(text))), '') AS payload_hex FROM conversations)
+  SELECT conv_id, turn, payload_hex, coalesce(array_to_string([CASE WHEN x BETWEEN '20' AND '7e' THEN chr(('0x' || x)::INT) ELSE '.' END FOR x IN regexp_extract_all(payload_hex[:256], '..')], ''), '') AS payload_preview FROM h""")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    return rows.select("conv_id", "turn", *[v.alias(k) for k, v in S.payload_fields(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), include_payload=True).items()])
+
+
+@query("f6_f6a_length_and_errors", duck("packets") + """SELECT event_id FROM packets WHERE event_id % 11 <> 0
+  AND NOT (CASE WHEN protocol IN (1, 7) THEN payload_len < 1000 WHEN protocol = 3 AND event_id % 2 = 0 THEN original_len < 1000 ELSE false END)""")
+def _(spark, sf):
+    p = view(spark, sf, "packets").withColumns({
+        "http_len": F.when(F.col("protocol").isin(1, 7), F.col("payload_len")), "grpc_len": F.when((F.col("protocol") == 3) & (F.col("event_id") % 2 == 0), F.col("original_len")),
+        "parse_error": F.when(F.col("event_id") % 11 == 0, "no header end"),
+    })
+    f = filters.OutputFilter.of({"min_body_bytes": 1000, "drop_parse_errors": True})
+    return p.where(f.column(body=("http_len", "grpc_len"), parse_error="parse_error")).select("event_id")
+
+
+@query("a8_drops_by_cpu", """WITH t AS (SELECT l_orderkey % 10 AS host, l_orderkey AS reading, sum(l_partkey % 1000 + l_orderkey)::BIGINT AS total FROM lineitem GROUP BY 1, 2)
+  SELECT host, reading, total, greatest(0, total - coalesce(max(total) OVER (PARTITION BY host ORDER BY reading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS delta FROM t""")
+def _(spark, sf):
+    """Line numbers stand for CPUs, orders for readings."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = li.select((F.col("l_orderkey") % 10).alias("host"), F.col("l_orderkey").alias("reading"), (F.col("l_partkey") % 1000 + F.col("l_orderkey")).alias("drops"))
+    return metrics.drops(rows, ["host"], ["reading"])
+
+
+@query("a11_process_snapshot", duck("proc_tree") + """SELECT n.pid, n.ppid, n.comm, coalesce(array_to_string(c.pids, ','), '') AS children
+  FROM proc_tree n LEFT JOIN (SELECT ppid, list(pid ORDER BY pid) AS pids FROM proc_tree GROUP BY 1) c ON c.ppid = n.pid""")
+def _(spark, sf):
+    nodes = processes.snapshot(view(spark, sf, "proc_tree").select("pid", "ppid", "comm"))
+    return nodes.withColumn("children", F.array_join("children", ","))
+
+
+@query("u3_first_of_each", "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1")
+def _(spark, sf):
+    """The first order of each customer, as of links that lead to the same file the first one stays."""
+    return filters.first_of_each(spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", ["o_orderkey"])
+
+
+#: Content types that rows take in turn; null is one of them.
+TYPES = ("application/json", "Application/JSON; charset=utf-8", "application/vnd.api+json", "text/json", "application/ld+json", "text/html", "application/x-www-form-urlencoded", "APPLICATION/X-WWW-FORM-URLENCODED; a=b", "x/application/json", "")
+
+
+@query("m15_content_types", "WITH t AS (SELECT event_id, CASE WHEN event_id % 11 < 10 THEN [" + ", ".join(f"'{x}'" for x in TYPES) + """][event_id % 11 + 1] END AS kind FROM events)
+  SELECT event_id, coalesce(regexp_matches(lower(kind), '^(application/json|application/vnd\\.|text/json|application/ld\\+json)'), false) AS is_json, coalesce(contains(lower(kind), 'application/x-www-form-urlencoded'), false) AS is_form FROM t""")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    kind = F.when(F.col("event_id") % 11 < 10, F.element_at(F.array(*map(F.lit, TYPES)), (F.col("event_id") % 11).cast("int") + 1))
+    no = F.lit(False)
+    return e.select("event_id", F.coalesce(S.is_json_type(kind), no).alias("is_json"), F.coalesce(S.is_form_type(kind), no).alias("is_form"))

@@ -29,3 +29,6 @@ PROC = (
     ("dst_addr", 44, 4, "ip"), ("src_addr", 48, 4, "ip"), ("dst_port", 52, 2, "u"), ("src_port", 54, 2, "u"), ("bytes_count", 56, 8, "s"), ("comm", 64, 16, "text"),
 )
 PROC_BYTES = 80
+
+#: Fixed value: the address family of IPv4.
+AF_INET = 2
