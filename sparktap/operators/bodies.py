@@ -37,7 +37,8 @@ def merged_by(rows: DataFrame, key: str, body: str = "body") -> DataFrame:
                 found = wire.body_schema(bytes(b)) if b is not None else None
                 if found and isinstance(found["schema"], dict):
                     trees[k] = wire.merged([trees[k], found["schema"]]) if k in trees else found["schema"]
-        yield pd.DataFrame({key: list(trees), "tree": [json.dumps(t) for t in trees.values()]})
+        if trees:  # columns without rows have no type that Arrow takes for text
+            yield pd.DataFrame({key: list(trees), "tree": [json.dumps(t) for t in trees.values()]})
 
     def whole(batch: pd.DataFrame) -> pd.DataFrame:
         tree = wire.merged([json.loads(t) for t in sorted(batch.tree)])

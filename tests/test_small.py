@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sparktap.functions import scalars
-from sparktap.operators import filters, metrics, processes
+from sparktap.operators import bodies, filters, metrics, processes
 
 
 def test_only_the_ipv4_family_is_kept(spark):
@@ -49,3 +49,9 @@ def test_types_of_content(spark):
     kinds = {"application/json": (True, False), "APPLICATION/VND.x+json": (True, False), "text/jsonx": (True, False), "application/x": (False, False), "multipart; application/x-www-form-urlencoded": (False, True), None: (None, None)}
     rows = spark.createDataFrame([(k,) for k in kinds], "k string").select("k", scalars.is_json_type(F.col("k")), scalars.is_form_type(F.col("k"))).collect()
     assert {r[0]: (r[1], r[2]) for r in rows} == kinds
+
+
+def test_schemas_are_merged_where_tasks_have_no_rows(spark):
+    rows = spark.createDataFrame([("a", bytearray(b'{"x": 1}')), ("a", bytearray(b'{"y": null}')), ("b", bytearray(b"text")), ("c", None)], "kind string, body binary")
+    assert [tuple(r) for r in bodies.merged_by(rows.repartition(8, "kind"), "kind").collect()] == [("a", '{"x": "integer", "y": "null"}')]
+    assert bodies.merged_by(rows.where("kind = 'b'"), "kind").count() == bodies.merged_by(rows.limit(0), "kind").count() == 0
