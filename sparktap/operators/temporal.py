@@ -43,20 +43,48 @@ def correlate_streams(left: DataFrame, right: DataFrame, before_ns: int, after_n
     return l_rows.join(r_rows, (F.col(key) == F.col("__k")) & wide & close).drop("__lt", "__rt", "__k")
 
 
+#: A bucket of correlated() is so many intervals wide: fewer rows stand in two buckets, and a busy key is still parted by time.
+WIDE = 4
+
+
 def correlated(http: DataFrame, ssl: DataFrame, proc: DataFrame, before_ns: int, after_ns: int) -> DataFrame:
     """One row per http event: event_id, root_pid, and of the TLS and the process events of its root near it their number and
-    the nearest one (ties: the earlier, then the lesser id). The three have event_id, root_pid and timestamp_ns."""
+    the nearest one (ties: the earlier, then the lesser id). The three have event_id, root_pid and timestamp_ns.
+
+    No pair is made: the others are dealt to the buckets of root and time in which they may be near an http event, and one
+    sort of a bucket counts them up to both ends of each event's interval and shows those next to its time.
+    """
     cols = ["event_id", "root_pid", "timestamp_ns"]
-    other = ssl.select(*cols, F.lit("ssl").alias("kind")).unionByName(proc.select(*cols, F.lit("proc").alias("kind")))
-    met = correlate(http.select(*cols), other, before_ns, after_ns)
-    gap = F.struct(F.abs(F.col("right_timestamp_ns") - F.col("timestamp_ns")), "right_timestamp_ns", "right_event_id")
-    aggs = []
+    width = WIDE * (before_ns + after_ns + 1)
+    bucket = lambda ns: F.expr(f"((timestamp_ns + {ns}L) - pmod(timestamp_ns + {ns}L, {width}L)) div {width}L")
+    known = lambda d: d.select(*cols).where("root_pid IS NOT NULL AND timestamp_ns IS NOT NULL")
+    # What lies nearest is next to the event's time, or to the interval's end on its side.
+    marks = [-before_ns - 1, min(max(0, -before_ns), after_ns), after_ns]
+    asked = known(http).withColumns({"kind": F.lit("http"), "b": bucket(0)})
+    other = known(ssl).withColumn("kind", F.lit("ssl")).unionByName(known(proc).withColumn("kind", F.lit("proc")))
+    other = other.withColumn("b", F.explode(F.array_distinct(F.array(bucket(-after_ns), bucket(before_ns)))))
+    rows = asked.unionByName(other).repartition("root_pid", "b")
+    is_asked = F.col("kind") == "http"
+    rows = rows.select("*", F.posexplode(F.when(is_asked, F.array(*[F.col("timestamp_ns") + n for n in marks])).otherwise(F.array("timestamp_ns"))).alias("mark", "at"))
+    w = W.partitionBy("root_pid", "b").orderBy("at", is_asked, F.col("event_id").asc_nulls_last())
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = {}
+    for k in ("ssl", "proc"):
+        here = F.col("kind") == k
+        # Of equal times the least id is the last: its bits are turned.
+        seen[f"n_{k}"] = F.count_if(here).over(so_far)
+        seen[f"last_{k}"] = F.max(F.when(here, F.struct(F.col("at").alias("at"), F.bitwise_not("event_id").alias("turned")))).over(so_far)
+        seen[f"next_{k}"] = F.expr(f"lead(CASE WHEN kind = '{k}' THEN struct(at, event_id) END) IGNORE NULLS OVER (PARTITION BY root_pid, b ORDER BY at, kind = 'http', event_id NULLS LAST)")
+    near, nearest, number = rows.withColumns(seen).where(is_asked), [], []
     for k in ("ssl", "proc"):
-        here = F.col("right_kind") == k
-        aggs += [F.count_if(here).alias(f"n_{k}"), F.min(F.when(here, gap))["right_event_id"].alias(f"nearest_{k}")]
-    near = met.groupBy("event_id").agg(*aggs)
+        gap = lambda at, i: F.when((F.col("mark") == 1) & at.between(F.col("timestamp_ns") - before_ns, F.col("timestamp_ns") + after_ns), F.struct(F.abs(at - F.col("timestamp_ns")).alias("gap"), at.alias("at"), i.alias("id")))
+        number.append(F.sum(F.when(F.col("mark") == 2, F.col(f"n_{k}")).when(F.col("mark") == 0, -F.col(f"n_{k}"))).alias(f"n_{k}"))
+        nearest.append(F.min(F.least(gap(F.col(f"last_{k}.at"), F.bitwise_not(F.col(f"last_{k}.turned"))), gap(F.col(f"next_{k}.at"), F.col(f"next_{k}.event_id")))).alias(f"near_{k}"))
+    # By bucket first, where the rows are.
+    near = near.groupBy("root_pid", "b", "event_id").agg(*number, *nearest)
+    near = near.groupBy("event_id").agg(*[f(c).alias(c) for k in ("ssl", "proc") for f, c in ((F.sum, f"n_{k}"), (F.min, f"near_{k}"))])
     out = http.select("event_id", "root_pid").join(near, "event_id", "left")
-    return out.select("event_id", "root_pid", *[c for k in ("ssl", "proc") for c in (F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}"), F.col(f"nearest_{k}"))])
+    return out.select("event_id", "root_pid", *[c for k in ("ssl", "proc") for c in (F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}"), F.col(f"near_{k}.id").alias(f"nearest_{k}"))])
 
 
 def segments(events: DataFrame) -> DataFrame:

@@ -31,6 +31,24 @@ def test_interval_join_equals_all_pairs(spark, before, after):
     assert temporal.correlate(da.limit(0), db, before, after).count() == 0
 
 
+@pytest.mark.parametrize("before,after", [(40_000, 7_001), (0, 0), (-3000, 20_000), (20_000, -3000)])
+def test_numbers_and_nearest_ones_are_those_of_all_pairs(spark, before, after):
+    """Equal times, repeated and null ids among them; and no two rows of events meet in a join."""
+    (a, da), (b, db), (c, dc) = (made(spark, 150, k) for k in (1, 2, 3))
+    a, b = a + [(3, 1, 5000), (3, 2, 9000), (None, 1, 5000), (900, 1, 5000)], b + [(None, 1, 5000), (77, 1, 5000), (76, 1, 5000), (75, 1, 5000 + after), (74, 1, 5000 - before)]
+    da, db = (spark.createDataFrame(x, da.schema) for x in (a, b))
+    want = []
+    for i, k, _ in a:
+        row = [i, k]
+        for others in (b, c):
+            near = [(abs(u - t), u, j is None, j) for i2, k2, t in a if i2 == i and i is not None for j, m, u in others if k2 == m and None not in (k2, t, u) and -before <= u - t <= after]
+            row += [len(near), min(near)[3] if near else None]
+        want.append(tuple(row))
+    got = temporal.correlated(da, db, dc, before, after)
+    assert bag(got) == sorted(map(repr, want))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def stream_of(spark, df, tmp_path, name, parts=3):
     for k in range(parts):
         df.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == k).coalesce(1).write.parquet(str(tmp_path / name / f"{k:02d}"))
