@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,29 +157,59 @@ def note(seen: tuple, protocol: int, data: bytes, parsed: dict) -> tuple[tuple,
     return seen, {}
 
 
+COLUMNS = ("final_protocol", "confidence", "is_ws_handshake", "latched", "packet_no", "info", "parsed")
+#: Results of payloads seen before: of so many bytes at most, so many at once.
+SHORT, REMEMBERED = 1024, 1 << 13
+
+
+def _move(state: tuple, code: int, direction: int, data: bytes) -> tuple[tuple, tuple]:
+    """The next state and the columns of a packet."""
+    now, found = step(state[:3], code, direction, data)
+    if direction == 3:
+        seen, info, parsed = START[3:], {}, {}
+    else:
+        seen, parsed = state[3:], wire.parse(data, found[0])
+        try:
+            seen, info = note(seen, found[0], data, parsed)
+        except Exception:
+            info = {}
+    if found[0] != code:
+        info["was_upgraded"] = True
+        if not found[3]:
+            info["correction_reason"] = f"{P.PROTOCOLS.get(code, code)} to {P.PROTOCOLS[found[0]]}"
+    return (*now, *seen), (*found, json.dumps(info, sort_keys=True), json.dumps(parsed, sort_keys=True))
+
+
+def mover():
+    """_move, with a memory: what a packet shows depends on the packets before it by the state without their number, of which
+    only counts whether it is 0."""
+    known: dict[tuple, tuple] = {}
+
+    def move(state: tuple, code: int, direction: int, data: bytes) -> tuple[tuple, tuple]:
+        if len(data) > SHORT:
+            return _move(state, code, direction, data)
+        n = state[0]
+        key = (n > 0, state[1:], code, direction == 3, data)
+        found = known.get(key)
+        if found is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            now, row = _move((min(n, 1), *state[1:]), code, direction, data)
+            found = known[key] = (now[0] > 0, now[1:], row[:4], row[5:])
+        goes_on, later, head, tail = found
+        return (n + 1 if goes_on else 0, *later), (*head, n + 1, *tail)
+
+    return move
+
+
 def follow(rows: pd.DataFrame, state: tuple = START, keep: tuple = ()) -> tuple[pd.DataFrame, tuple]:
     """Results of one connection's rows, sorted here by time and number, with the columns named in `keep`."""
     rows = rows.sort_values(["timestamp_ns", "event_id"], kind="stable")
     out = []
-    now, seen = tuple(state[:3]), tuple(state[3:])
     for code, direction, data in zip(rows.protocol, rows.direction, rows.payload):
-        data = bytes(data or b"")
-        now, found = step(now, int(code), int(direction), data)
-        if direction == 3:
-            seen, info, parsed = START[3:], {}, {}
-        else:
-            parsed = wire.parse(data, found[0])
-            try:
-                seen, info = note(seen, found[0], data, parsed)
-            except Exception:
-                info = {}
-        if found[0] != code:
-            info["was_upgraded"] = True
-            if not found[3]:
-                info["correction_reason"] = f"{P.PROTOCOLS.get(int(code), code)} to {P.PROTOCOLS[found[0]]}"
-        out.append((*found, json.dumps(info, sort_keys=True), json.dumps(parsed, sort_keys=True)))
-    cols = ("final_protocol", "confidence", "is_ws_handshake", "latched", "packet_no", "info", "parsed")
-    return rows[["event_id", "conn_id", *keep]].assign(**{c: [x[i] for x in out] for i, c in enumerate(cols)}), (*now, *seen)
+        state, found = _move(tuple(state), int(code), int(direction), bytes(data or b""))
+        out.append(found)
+    return rows[["event_id", "conn_id", *keep]].assign(**{c: [x[i] for x in out] for i, c in enumerate(COLUMNS)}), tuple(state)
 
 
 def detect(packets: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -189,23 +220,26 @@ def detect(packets: DataFrame, keep: tuple = ()) -> DataFrame:
     """
     ship(packets.sparkSession)
     needed = ("event_id", "conn_id", "timestamp_ns", "protocol", "direction", "payload")
-    taken = packets.select(*needed, *[c for c in keep if c not in needed])
+    as_read = {"event_id": "long", "conn_id": "long", "protocol": "int", "direction": "int"}
+    taken = packets.select(*[F.col(c).cast(as_read[c]) if c in as_read else F.col(c) for c in needed], *[c for c in keep if c not in needed])
     kept = "".join(f", `{c}` {taken.schema[c].dataType.simpleString()}" for c in keep)
-    ordered = taken.repartition("conn_id").sortWithinPartitions("conn_id", "timestamp_ns", "event_id")
+    ordered = taken.repartition("conn_id").sortWithinPartitions("conn_id", F.col("timestamp_ns").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, START
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, move = None, START, mover()
         for batch in batches:
-            parts = []
-            for conn, rows in batch.groupby("conn_id", sort=False, dropna=False):
+            out = []
+            for conn, code, direction, data in zip(*(batch.column(c).to_pylist() for c in ("conn_id", "protocol", "direction", "payload"))):
                 if conn != last:
                     last, state = conn, START
-                found, state = follow(rows, state, keep)
-                parts.append(found)
-            if parts:
-                yield pd.concat(parts)
+                state, found = move(state, code, direction, data or b"")
+                out.append(found)
+            if out:
+                shown = [batch.column(c) for c in ("event_id", "conn_id", *keep)] + [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays(shown, names=["event_id", "conn_id", *keep, *COLUMNS])
 
-    return ordered.mapInPandas(run, f"event_id long, conn_id long{kept}, {RESULT}")
+    return ordered.mapInArrow(run, f"event_id long, conn_id long{kept}, {RESULT}")
 
 
 INFO = (

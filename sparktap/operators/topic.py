@@ -105,12 +105,13 @@ def http_fields(e: Column) -> dict[str, Column]:
 
 def normalise(messages: DataFrame) -> DataFrame:
     """Flat rows of good messages: without an agent key, or where the value is no JSON object, a message is dropped."""
-    text = F.decode("value", "UTF-8")
-    read = messages.withColumns({"agent_key": agent_key(F.col("headers")), "text": text}).where(F.col("agent_key").isNotNull() & F.ltrim("text").startswith("{"))
+    read = messages.withColumns({"agent_key": agent_key(F.col("headers")), "text": F.decode("value", "UTF-8")})
     # Parsed once, as the one item of a list, as the parser passes over what follows a value. A field of another type than
     # its own is null.
-    read = read.withColumn("v", F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]")))).where(F.col("v").isNotNull() & F.try_variant_get("v", "$[1]", "variant").isNull())
-    read = read.withColumn("e", F.try_variant_get("v", "$[0]", f"struct<{FIELDS}, {BRANCHES}>"))
+    read = read.withColumn("v", F.when(F.col("agent_key").isNotNull() & F.ltrim("text").startswith("{"), F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]")))))
+    # A generator drops the bad ones: a filter would be pushed below, and make and parse each message again for each of its terms.
+    good = F.col("v").isNotNull() & F.try_variant_get("v", "$[1]", "variant").isNull()
+    read = read.select("agent_key", F.explode(F.when(good, F.array(F.try_variant_get("v", "$[0]", f"struct<{FIELDS}, {BRANCHES}>")))).alias("e"))
     e = lambda n: F.col(f"e.{n}")
     ssl = e("ssl_content")
     line = request_line(F.substring_index(ssl, "\r\n", 1))

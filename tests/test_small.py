@@ -1,7 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from sparktap.functions import scalars
-from sparktap.operators import bodies, filters, metrics, processes
+from sparktap.operators import bodies, detect, filters, metrics, processes, topic
+from sparktap.plans import catalog
+from sparktap.sources.packets import PAYLOADS
 
 
 def test_only_the_ipv4_family_is_kept(spark):
@@ -55,3 +59,36 @@ def test_schemas_are_merged_where_tasks_have_no_rows(spark):
     rows = spark.createDataFrame([("a", bytearray(b'{"x": 1}')), ("a", bytearray(b'{"y": null}')), ("b", bytearray(b"text")), ("c", None)], "kind string, body binary")
     assert [tuple(r) for r in bodies.merged_by(rows.repartition(8, "kind"), "kind").collect()] == [("a", '{"x": "integer", "y": "null"}')]
     assert bodies.merged_by(rows.where("kind = 'b'"), "kind").count() == bodies.merged_by(rows.limit(0), "kind").count() == 0
+
+
+def test_remembered_packets_show_what_they_showed(monkeypatch):
+    """Any payloads in any order of states, with a memory so small that it is cleared now and then."""
+    monkeypatch.setattr(detect, "REMEMBERED", 50)
+    monkeypatch.setattr(detect, "SHORT", 200)
+    rng = random.Random(5)
+    some = [*PAYLOADS, b"", b"?", b"HTTP/1.1 101 Switching\r\n\r\n", b"\x00\x00\x05\x00\x00\x00\x00\x00\x01\x01\x00\x00\x00\x09", b"GET / HTTP/1.1\r\n\r\n" + b"x" * 300]
+    move, one, other = detect.mover(), detect.START, detect.START
+    for _ in range(4000):
+        packet = rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 7]), rng.choice([1, 2, 1, 2, 3]), rng.choice(some)
+        (one, found), (other, want) = move(one, *packet), detect._move(other, *packet)
+        assert (one, found) == (other, want)
+
+
+def test_times_kept_beside_unknown_ones_stay_exact(spark):
+    at = 1_700_000_000_123_456_789
+    rows = [(1, 7, at, 0, 1, bytearray(b"?")), (2, 7, None, 0, 1, bytearray(b"GET / HTTP/1.1\r\n\r\n")), (3, 7, at + 1, 0, 1, None)]
+    packets = spark.createDataFrame(rows, "event_id long, conn_id long, timestamp_ns long, protocol int, direction int, payload binary")
+    got = detect.detect(packets, keep=("timestamp_ns",)).orderBy("packet_no").collect()
+    assert [(r.event_id, r.timestamp_ns, r.packet_no) for r in got] == [(1, at, 1), (3, at + 1, 2), (2, None, 3)]
+
+
+def test_a_message_is_made_and_parsed_once(spark, sf_small):
+    plan = catalog.QUERIES["u1_p14_p16_p17_http_stream"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("from_json(", "StructsToJsonEvaluator", "VariantExpressionEvalUtils.parseJson")] == [1, 1, 1]
+
+
+def test_messages_that_are_no_objects_are_dropped(spark):
+    texts = [b'{"conn_id": 1}', b' {"conn_id": "x"}', b"[1]", b'{"a": 1', b"", b'{"conn_id": 2} x', None]
+    rows = [(None if t is None else bytearray(t), [("x-agent-key", bytearray(b"k"))]) for t in texts] + [(bytearray(texts[0]), [("x-agent-key", bytearray(b" "))]), (bytearray(texts[0]), None)]
+    got = topic.normalise(spark.createDataFrame(rows, "value binary, headers array<struct<key: string, value: binary>>"))
+    assert sorted((r.agent_key, r.conn_id) for r in got.collect()) == [("k", 0), ("k", 1)]
